@@ -46,11 +46,9 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return out.select(*columns) if columns else out
 
 
-def read_cohort_json(spark: SparkSession, path: str) -> DataFrame:
-    """Cohort payloads as flat pair rows; the aligned arrays are zipped by position."""
-    raw = spark.read.schema(COHORT_SCHEMA).option("multiLine", "true").json(path)
+def _flat_pairs(raw: DataFrame) -> DataFrame:
     rows = raw.select(
-        "year", "ablation", F.posexplode(F.arrays_zip("pairs", "mds_coords", "clusters")).alias("_pos", "_p")
+        "year", "ablation", F.explode(F.arrays_zip("pairs", "mds_coords", "clusters")).alias("_p")
     )
     return rows.select(
         "year", "ablation", "_p.pairs.*",
@@ -59,6 +57,16 @@ def read_cohort_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_cohort_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Cohort payloads as flat pair rows; the aligned arrays are zipped by position.
+
+    ``multi_line`` reads one document per file; without it every line is a document, and
+    large files are split.
+    """
+    reader = spark.read.schema(COHORT_SCHEMA).option("multiLine", str(multi_line).lower())
+    return _flat_pairs(reader.json(path))
+
+
 def read_reference_points(spark: SparkSession, path: str) -> DataFrame:
     """Training reference coordinates of cohort payloads."""
     raw = spark.read.schema(COHORT_SCHEMA).option("multiLine", "true").json(path)
