@@ -24,9 +24,9 @@ def standardize(df: DataFrame, vector: str = "vec", name: str = "scaled") -> Dat
             F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * (n - 1) / n)).alias("std"),
         )
     ).scalar()
-    centred = F.zip_with(values, stats["mean"], lambda v, m: v - m)
-    scaled = F.zip_with(centred, stats["std"], lambda v, s: F.when(s > 0, v / s).otherwise(v))
-    return df.withColumn(name, scaled)
+    centred = F.zip_with(values, F.col("_stats")["mean"], lambda v, m: v - m)
+    scaled = F.zip_with(centred, F.col("_stats")["std"], lambda v, s: F.when(s > 0, v / s).otherwise(v))
+    return df.withColumn("_stats", stats).withColumn(name, scaled).drop("_stats")
 
 
 def pca(df: DataFrame, k: int, vector: str = "vec", name: str = "pcs", scale: bool = True) -> DataFrame:
@@ -48,7 +48,9 @@ def landmarks_of(df: DataFrame, order: str, n: int, vector: str = "vec") -> Data
 def pairwise_distance(df: DataFrame, landmarks: DataFrame, key: str, vector: str = "vec") -> DataFrame:
     """Euclidean distance of every row to each landmark of a bounded set (at most a few hundred)."""
     marks = landmarks.agg(F.sort_array(F.collect_list(F.struct("landmark", "lv")))).scalar()
-    near = df.select(key, A.as_doubles(F.col(vector)).alias("_v"), F.explode(marks).alias("m"))
+    near = df.withColumn("_marks", marks).select(
+        key, A.as_doubles(F.col(vector)).alias("_v"), F.explode("_marks").alias("m")
+    )
     return near.select(
         key, F.col("m.landmark").alias("landmark"), A.distance(F.col("_v"), F.col("m.lv")).alias("distance")
     )

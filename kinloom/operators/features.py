@@ -147,7 +147,8 @@ def community_size(df: DataFrame, p: Panel = PANEL, approximate: bool = False) -
 def one_hot_rows(ids: DataFrame, index: str = "idx", name: str = "one_hot") -> DataFrame:
     """Identity-matrix row per id; meant for small code sets such as banners."""
     size = ids.agg(F.count("*")).scalar()
-    return ids.withColumn(name, A.one_hot(F.col(index), size))
+    sized = ids.withColumn("_size", size)
+    return sized.withColumn(name, A.one_hot(F.col(index), F.col("_size"))).drop("_size")
 
 
 def minmax_scale(df: DataFrame, columns: Sequence[str], flat: str = "one", suffix: str = "_01") -> DataFrame:

@@ -132,13 +132,13 @@ def hex_pack(
 
     centres = centroids.agg(F.sort_array(F.collect_list(F.struct("_cl", "_mx", "_my")))).scalar()
     to_centres = F.transform(
-        centres,
+        "_centres",
         lambda c: F.struct(
             ((F.col("cx") - c["_mx"]) * (F.col("cx") - c["_mx"]) + (F.col("cy") - c["_my"]) * (F.col("cy") - c["_my"])).alias("d"),
             c["_cl"].alias("cl"),
         ),
     )
-    owned = cells.withColumn("_own", F.array_min(to_centres)).select(
+    owned = cells.withColumn("_centres", centres).withColumn("_own", F.array_min(to_centres)).select(
         "q", "r", "cx", "cy", F.col("_own")["cl"].alias("_cl"), F.col("_own")["d"].alias("_d")
     )
     owned = numbered(owned, ["_cl"], ["_d", "q", "r"], "_block", start=0)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from kinloom.plans import (  # noqa: F401  (importing registers the queries)
+    pair_queries,
     panel_queries,
+    time_queries,
 )
 from kinloom.plans.registry import ORACLE, QUERIES
 

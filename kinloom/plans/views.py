@@ -192,10 +192,6 @@ raw_panel AS (
 
 # -- scored pairs ---------------------------------------------------------------------
 
-# Cohort years of the orders and their split.
-BOUNDS = {"train_end": 1998, "val_end": 2000, "low": 1995, "high": 2001}
-
-
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """(year, h, w, score, k): revenue of customer h with supplier w per order year."""
     orders = table(spark, sf, "orders")
