@@ -152,20 +152,21 @@ def score_cohorts(
             "true_score", F.when(F.col("_tv").isNotNull(), A.linear_score(features, list(w), bias))
         ).drop("_tv")
 
+    # Fresh names for the block keys: both sides may come from the same table.
     men = men.join(blocks, "year").select(
-        "year", "h", "hv", "true_w", "true_score",
+        F.col("year").alias("ly"), "h", "hv", "true_w", "true_score",
         F.pmod(F.xxhash64("h"), F.col("nl")).cast("int").alias("lb"),
-        F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rb"),
+        F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("lr"),
     )
     women = women.join(blocks, "year").select(
-        "year", "w", "wv",
-        F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("lb"),
+        F.col("year").alias("ry"), F.col("w").alias("w"), "wv",
+        F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("rl"),
         F.pmod(F.xxhash64("w"), F.col("nr")).cast("int").alias("rb"),
     )
     id_type = women.schema["w"].dataType
     schema = T.StructType(
         [
-            T.StructField("year", men.schema["year"].dataType),
+            T.StructField("year", men.schema["ly"].dataType),
             T.StructField("h", men.schema["h"].dataType),
             T.StructField("w", id_type),
             T.StructField("score", T.DoubleType()),
@@ -191,7 +192,7 @@ def score_cohorts(
         first = np.tile(np.arange(take) == 0, len(lp))
         return pd.DataFrame(
             {
-                "year": lp["year"].to_numpy()[rows],
+                "year": lp["ly"].to_numpy()[rows],
                 "h": lp["h"].to_numpy()[rows],
                 "w": ids[order.ravel()],
                 "score": scores[rows, order.ravel()],
@@ -204,8 +205,8 @@ def score_cohorts(
         )
 
     met = (
-        men.groupBy("year", "lb", "rb")
-        .cogroup(women.groupBy("year", "lb", "rb"))
+        men.groupBy("ly", "lb", "lr")
+        .cogroup(women.groupBy("ry", "rl", "rb"))
         .applyInPandas(score_block, schema)
     )
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("_s"), F.col("w"))))

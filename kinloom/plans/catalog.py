@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from kinloom.plans import (  # noqa: F401  (importing registers the queries)
+    kin_queries,
+    layout_queries,
     pair_queries,
     panel_queries,
     time_queries,

@@ -445,7 +445,7 @@ def _compare_runs(spark, sf):
 
 
 @query("write_comparison", COMPARE_SQL + """
-SELECT printf('| %s (↑ better) | %.2f | %.2f | %+.2f |', metric, round(va, 2), round(vb, 2), round(vb - va, 2)) AS line FROM cmp""")
+SELECT printf('| %s (↑ better) | %.2f | %.2f | %+.2f |', metric, round(va, 2), round(vb, 2), round(vb - va, 2) + 0.0) AS line FROM cmp""")
 def _write_comparison(spark, sf):
     path = scratch(spark, "comparison")
     files.write_comparison(rounded(compared(spark, sf)), path)
