@@ -11,7 +11,7 @@ from kinloom import fixed
 from kinloom.functions import arrays as A
 from kinloom.functions import scalars as S
 from kinloom.operators.edges import PANEL, Panel
-from kinloom.operators.ordered import numbered
+from kinloom.operators.ordered import numbered, with_scalar
 from kinloom.operators.temporal import degrees_as_of
 from kinloom.session import settle
 
@@ -71,13 +71,14 @@ def masked_zscore(
     df: DataFrame, columns: Sequence[str], suffix: str = "_z", floor: float = fixed.STD_FLOOR
 ) -> DataFrame:
     """z-score over present values; missing rows become 0; one value or none is left as is."""
-    stats = df.agg(
+    one = df.agg(
         F.struct(
             *[F.avg(c).alias(f"m_{c}") for c in columns],
             *[F.stddev_samp(c).alias(f"s_{c}") for c in columns],
             *[F.count(c).alias(f"n_{c}") for c in columns],
         )
-    ).scalar()
+    )
+    stats = F.col("_stats")
 
     def scaled(c: str) -> Column:
         value = F.col(c).cast("double")
@@ -89,7 +90,7 @@ def masked_zscore(
             .alias(f"{c}{suffix}")
         )
 
-    return df.select("*", *[scaled(c) for c in columns])
+    return with_scalar(df, "_stats", one).select("*", *[scaled(c) for c in columns]).drop("_stats")
 
 
 def household_snapshot(
@@ -140,7 +141,7 @@ def community_size(df: DataFrame, p: Panel = PANEL, approximate: bool = False) -
         .groupBy(S.code_text(F.col(p.village)).alias("community"))
         .agg(count.alias("population"))
     )
-    largest = sizes.agg(F.max("population")).scalar()
+    largest = sizes.agg(F.max("population")).scalar()  # sizes: one row per community
     return sizes.withColumn("relative_size", F.col("population") / largest)
 
 
@@ -153,11 +154,12 @@ def one_hot_rows(ids: DataFrame, index: str = "idx", name: str = "one_hot") -> D
 
 def minmax_scale(df: DataFrame, columns: Sequence[str], flat: str = "one", suffix: str = "_01") -> DataFrame:
     """(x - min) / (max - min). A flat column divides by 1 (``one``) or is 0 (``zero``)."""
-    stats = df.agg(
+    one = df.agg(
         F.struct(
             *[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]
         )
-    ).scalar()
+    )
+    stats = F.col("_stats")
 
     def scaled(c: str) -> Column:
         low = stats[f"lo_{c}"]
@@ -168,7 +170,7 @@ def minmax_scale(df: DataFrame, columns: Sequence[str], flat: str = "one", suffi
         value = F.coalesce(F.col(c) - low, F.lit(0.0))
         return F.when(span < 1e-12, 0.0).otherwise(value / span).alias(f"{c}{suffix}")
 
-    return df.select("*", *[scaled(c) for c in columns])
+    return with_scalar(df, "_stats", one).select("*", *[scaled(c) for c in columns]).drop("_stats")
 
 
 def assemble_features(

@@ -13,23 +13,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom import fixed
-from kinloom.operators.ordered import numbered
+from kinloom.operators.ordered import numbered, with_scalar
 
 
 def unit_scaled(df: DataFrame, x: str = "x", y: str = "y", reference: DataFrame | None = None) -> DataFrame:
     """x and y scaled to [0, 1] by the range of ``reference`` (default: the rows themselves)."""
     source = df if reference is None else reference
-    span = source.agg(
+    one = source.agg(
         F.struct(
             F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")
         )
-    ).scalar()
+    )
+    span = F.col("_span")
 
     def scaled(c: str, lo: str, hi: str) -> Column:
         width = span[hi] - span[lo]
         return (F.col(c) - span[lo]) / F.when(width == 0, 1.0).otherwise(width)
 
-    return df.withColumn(x, scaled(x, "x0", "x1")).withColumn(y, scaled(y, "y0", "y1"))
+    spanned = with_scalar(df, "_span", one)
+    return spanned.withColumns({x: scaled(x, "x0", "x1"), y: scaled(y, "y0", "y1")}).drop("_span")
 
 
 def cluster_centroids(points: DataFrame, k: int | None = None, cluster: str = "cluster") -> DataFrame:
@@ -221,10 +223,7 @@ def cluster_borders(cells: DataFrame) -> DataFrame:
 def outlier_cells(cells: DataFrame, sigmas: float = 2.0) -> DataFrame:
     """Non-empty cells whose positive share is more than ``sigmas`` deviations off the mean."""
     used = cells.where(~F.col("empty"))
-    stats = used.agg(
-        F.struct(F.avg("pos_ratio").alias("m"), F.stddev_pop("pos_ratio").alias("s"))
-    ).scalar()
-    limit = stats["s"] * sigmas
-    return used.withColumn("deviation", F.col("pos_ratio") - stats["m"]).where(
-        (limit > 0) & (F.abs("deviation") > limit)
-    )
+    one = used.agg(F.struct(F.avg("pos_ratio").alias("m"), F.stddev_pop("pos_ratio").alias("s")))
+    limit = F.col("_stats")["s"] * sigmas
+    found = with_scalar(used, "_stats", one).withColumn("deviation", F.col("pos_ratio") - F.col("_stats")["m"])
+    return found.where((limit > 0) & (F.abs("deviation") > limit)).drop("_stats")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinloom import fixed
 from kinloom.functions import scalars as S
+from kinloom.operators.ordered import with_scalar
 
 
 def yearly_mean(df: DataFrame, columns: Sequence[str], year: str = "YEAR", name: str = "grain_price") -> DataFrame:
@@ -50,15 +51,14 @@ def ffill_bfill(df: DataFrame, column: str, order: str, name: str | None = None)
 
 def zscore(df: DataFrame, column: str, name: str, floor: float | None = None) -> DataFrame:
     """(x - mean) / sample std; a zero or missing std counts as 1 (or as ``floor``)."""
-    stats = df.agg(
-        F.struct(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"))
-    ).scalar()
-    std = stats["std"]
+    one = df.agg(F.struct(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std")))
+    std = F.col("_stats")["std"]
     if floor is None:
         divisor = F.when(std.isNull() | (std == 0), F.lit(1.0)).otherwise(std)
     else:
         divisor = F.greatest(F.coalesce(std, F.lit(floor)), F.lit(floor))
-    return df.withColumn(name, (F.col(column) - stats["mean"]) / divisor)
+    scaled = (F.col(column) - F.col("_stats")["mean"]) / divisor
+    return with_scalar(df, "_stats", one).withColumn(name, scaled).drop("_stats")
 
 
 def diff(df: DataFrame, column: str, order: str, name: str) -> DataFrame:
@@ -96,16 +96,19 @@ def macro_table(
 
 def standardize_columns(df: DataFrame, columns: Sequence[str], floor: float = fixed.STD_FLOOR) -> DataFrame:
     """Sample z-score of each column over all rows, std floored."""
-    stats = df.agg(
+    one = df.agg(
         F.struct(
             *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
             *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)],
         )
-    ).scalar()
+    )
+    stats = F.col("_stats")
 
     def scaled(i: int, c: str) -> Column:
         std = F.greatest(F.coalesce(stats[f"s{i}"], F.lit(floor)), F.lit(floor))
         return ((F.col(c) - stats[f"m{i}"]) / std).alias(c)
 
     index = {c: i for i, c in enumerate(columns)}
-    return df.select(*[scaled(index[c], c) if c in index else F.col(c) for c in df.columns])
+    return with_scalar(df, "_stats", one).select(
+        *[scaled(index[c], c) if c in index else F.col(c) for c in df.columns]
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinloom import fixed
 from kinloom.functions import scalars as S
 from kinloom.operators.candidates import sample_negatives
-from kinloom.operators.ordered import first_row, running_sums
+from kinloom.operators.ordered import first_row, running_sums, with_scalar
 
 
 def _share(hit: Column, of: Column) -> Column:
@@ -83,8 +83,8 @@ def _with_totals(counts: DataFrame, group: Sequence[str]) -> DataFrame:
     totals = counts.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if group:
         return counts.join(totals, group)
-    one = totals.select(F.struct("P", "N")).scalar()
-    return counts.withColumn("P", one["P"]).withColumn("N", one["N"])
+    joined = with_scalar(counts, "_t", totals.select(F.struct("P", "N")))
+    return joined.withColumns({"P": F.col("_t")["P"], "N": F.col("_t")["N"]}).drop("_t")
 
 
 def _ap_terms() -> Column:
@@ -248,13 +248,15 @@ def latest_run(runs: DataFrame, run: str = "run", ready: Column | None = None) -
 def gap_distribution(pairs: DataFrame, gap: str = "score_gap") -> DataFrame:
     """Linear position of every finite gap within the range of all gaps; a flat range is padded by 1."""
     usable = pairs.where(F.col(gap).isNotNull() & ~F.isnan(gap))
-    span = usable.agg(F.struct(F.min(gap).alias("lo"), F.max(gap).alias("hi"))).scalar()
+    one = usable.agg(F.struct(F.min(gap).alias("lo"), F.max(gap).alias("hi")))
+    span = F.col("_span")
     flat = span["lo"] == span["hi"]
     low = F.when(flat, span["lo"] - 1).otherwise(span["lo"])
     high = F.when(flat, span["hi"] + 1).otherwise(span["hi"])
-    return usable.withColumn("position", (F.col(gap) - low) / (high - low)).withColumn(
+    placed = with_scalar(usable, "_span", one).withColumn("position", (F.col(gap) - low) / (high - low))
+    return placed.withColumn(
         "side", F.when(F.col("label") == 1, "positives").otherwise("negatives")
-    )
+    ).drop("_span")
 
 
 def classify_outcome(pairs: DataFrame, keys: Sequence[str] = ("year", "husband_id")) -> DataFrame:

@@ -23,6 +23,15 @@ def columns_of(order: Order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
+def with_scalar(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
+    """Add the single value of a one-row table as a column.
+
+    The value is planned once as a scalar subquery and read by name afterwards; repeating
+    the subquery in every expression would plan it again each time.
+    """
+    return df.withColumn(name, one_row.scalar())
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on equal keys where NULL equals NULL; the keys appear once."""
     renamed = right.select(
@@ -164,8 +173,7 @@ def exact_percentiles(
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     ranked = running_sums(counts, [], [column], {"upto": F.col("n")})
-    total = df.agg(F.count(column)).scalar()
-    ranked = ranked.withColumn("_total", total)
+    ranked = with_scalar(ranked, "_total", df.agg(F.count(column)))
     aggregates = []
     for i, p in enumerate(percents):
         position = F.lit(float(p)) / 100.0 * (F.col("_total") - 1)

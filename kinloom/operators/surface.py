@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinloom import fixed
 from kinloom.functions import scalars as S
 from kinloom.operators.features import minmax_scale
-from kinloom.operators.ordered import exact_percentiles
+from kinloom.operators.ordered import exact_percentiles, with_scalar
 
 
 def channel_values(cells: DataFrame) -> DataFrame:
@@ -71,8 +71,9 @@ def idw_raster(
 
     x0, x1 = padded("x0", "x1")
     y0, y1 = padded("y0", "y1")
-    frame = box.select(F.struct(x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))).scalar()
-    on_grid = cells.select(
+    bounds = box.select(F.struct(x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1")))
+    frame = F.col("_frame")
+    on_grid = with_scalar(cells, "_frame", bounds).select(
         "cell_id",
         ((F.col("cx") - frame["x0"]) / (frame["x1"] - frame["x0"]) * (width - 1)).alias("gx"),
         ((F.col("cy") - frame["y0"]) / (frame["y1"] - frame["y0"]) * (rows - 1)).alias("gy"),
@@ -81,13 +82,14 @@ def idw_raster(
     )
     marks = on_grid.agg(
         F.sort_array(F.collect_list(F.struct("cell_id", "gx", "gy", "height", "lead")))
-    ).scalar()
+    )
     per_step = ((frame["x1"] - frame["x0"]) / (width - 1) + (frame["y1"] - frame["y0"]) / (rows - 1)) * 0.5
     cutoff = F.greatest(F.lit(2.0), F.lit(3.0 * radius) / F.greatest(F.lit(1e-6), per_step))
     grid = cells.sparkSession.range(width).select(
         F.col("id").cast("int").alias("gx"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("gy")
     )
-    grid = grid.select("gx", "gy", marks.alias("_marks"), (cutoff * cutoff).alias("_cut2"))
+    grid = with_scalar(with_scalar(grid, "_marks", marks), "_frame", bounds)
+    grid = grid.select("gx", "gy", "_marks", (cutoff * cutoff).alias("_cut2"))
     by_distance = F.array_sort(
         F.transform(
             F.col("_marks"),
@@ -107,10 +109,13 @@ def idw_raster(
     zero = F.lit(0.0)
     total = F.aggregate("_n", zero, lambda acc, n: acc + weight(n))
     heights = F.aggregate("_n", zero, lambda acc, n: acc + weight(n) * n["height"])
-    votes = [
-        F.aggregate("_n", zero, lambda acc, n, i=i: acc + F.when(n["lead"] == i, weight(n)).otherwise(0.0))
-        for i in range(len(fixed.CHANNELS))
-    ]
+
+    def votes_for(channel: int) -> Column:
+        return F.aggregate(
+            "_n", zero, lambda acc, n: acc + F.when(n["lead"] == channel, weight(n)).otherwise(0.0)
+        )
+
+    votes = [votes_for(i) for i in range(len(fixed.CHANNELS))]
     most = F.greatest(*votes)
     lead = F.lit(len(votes) - 1)
     for i in reversed(range(len(votes) - 1)):

@@ -9,6 +9,7 @@ from kinloom.operators import hexgrid as H
 from kinloom.operators import surface as U
 from kinloom.plans import views as V
 from kinloom.plans.registry import query, rounded, table
+from kinloom.session import settle
 
 UNIT = "WITH" + V.POINTS_SQL
 
@@ -26,7 +27,8 @@ def placed(spark, sf):
 
 
 def cell_stats(spark, sf):
-    return H.cell_aggregates(placed(spark, sf), grid(spark))
+    """One row per cell (a few hundred); settled, since the surfaces read it many times."""
+    return settle(H.cell_aggregates(placed(spark, sf), grid(spark)))
 
 
 # -- vectors --------------------------------------------------------------------------

@@ -256,7 +256,7 @@ def _list_matches(spark, sf):
 SELECT year, id, husband_id, wife_id, label, score, score_gap, rank_of_true_wife, hungarian_correct, era, same_lineage, patri_path_count
 FROM pair_table""")
 def _scored_pair_table(spark, sf):
-    return V.pair_table(spark, sf).select(
+    return V.build_pair_table(spark, sf).select(
         "year", "id", "husband_id", "wife_id", "label", "score", "score_gap", "rank_of_true_wife",
         "hungarian_correct", "era", "same_lineage", "patri_path_count",
     )

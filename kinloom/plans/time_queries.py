@@ -67,7 +67,7 @@ SELECT r.rel, count(e.rel) AS n_edges
 FROM (SELECT unnest(['r_hw','r_fs','r_fd','r_ms','r_md','r_sib','r_hh','r_hc','r_cb']) AS rel) r
 LEFT JOIN (SELECT rel FROM edges WHERE rel NOT IN ('r_ms', 'r_md')) e ON e.rel = r.rel GROUP BY r.rel""")
 def _ablate_relations(spark, sf):
-    return E.edge_counts(T.ablate_relations(V.edges(spark, sf)))
+    return E.edge_counts(T.ablate_relations(V.stored_edges(spark, sf)))
 
 
 @query("mask_pairs", "WITH" + SPLIT_SQL + """
@@ -83,7 +83,7 @@ def _mask_pairs(spark, sf):
 SELECT rel, count(*) AS n_edges FROM edges WHERE t < 1965 GROUP BY rel
 UNION ALL SELECT rel, 0 FROM (SELECT unnest(['r_hw','r_hh']) AS rel)""")
 def _as_of(spark, sf):
-    return E.edge_counts(T.as_of(V.edges(spark, sf), 1965))
+    return E.edge_counts(T.as_of(V.stored_edges(spark, sf), 1965))
 
 
 @query("as_of_many", "WITH" + V.EDGES_SQL + """,
@@ -92,7 +92,7 @@ SELECT CAST(y.year AS INTEGER) AS year, e.rel, count(*) AS n_visible FROM years
 def _as_of_many(spark, sf):
     years = V.panel(spark, sf).select(F.col("YEAR").alias("year"))
     years = years.unionByName(spark.createDataFrame([(1960,), (1975,)], "year int"))
-    return T.as_of_many(V.edges(spark, sf), years)
+    return T.as_of_many(V.stored_edges(spark, sf), years)
 
 
 @query("degrees_as_of", "WITH" + V.EDGES_SQL + """,
@@ -103,7 +103,7 @@ WHERE e.rel IN ('r_fs', 'r_fd', 'r_sib', 'r_hw', 'r_hh') GROUP BY 1, 2, 3""")
 def _degrees_as_of(spark, sf):
     asked = V.panel(spark, sf).select(F.col("PERSON_ID").alias("id"), F.col("YEAR").alias("year"))
     asked = asked.unionByName(asked.select("id", (F.col("year") - 30).alias("year")))
-    edges = V.edges(spark, sf).where(F.col("rel").isin("r_fs", "r_fd", "r_sib", "r_hw", "r_hh"))
+    edges = V.stored_edges(spark, sf).where(F.col("rel").isin("r_fs", "r_fd", "r_sib", "r_hw", "r_hh"))
     # Households and persons share the id space of the benchmark view; only persons are asked.
     return T.degrees_as_of(edges, asked, "any")
 
@@ -375,7 +375,7 @@ ends AS (SELECT src AS id, rel FROM e UNION ALL SELECT dst, rel FROM e)
 SELECT p.id, r.rel, count(x.id) AS degree FROM persons p CROSS JOIN (SELECT DISTINCT rel FROM e) r
 LEFT JOIN ends x ON x.id = p.id AND x.rel = r.rel GROUP BY 1, 2""")
 def _relation_degrees(spark, sf):
-    edges = V.edges(spark, sf).where(F.col("rel").isin("r_hw", "r_fs", "r_fd", "r_sib"))
+    edges = V.stored_edges(spark, sf).where(F.col("rel").isin("r_hw", "r_fs", "r_fd", "r_sib"))
     return X.relation_degrees(edges, V.persons(spark, sf), "any")
 
 
@@ -401,7 +401,7 @@ deg AS (
 SELECT year, who, rel, count(*) AS n_members, round(avg(d), 4) AS mean_degree, round(100.0 * count(*) FILTER (WHERE d = 0) / count(*), 4) AS zero_pct
 FROM deg GROUP BY year, who, rel""")
 def _context_density(spark, sf):
-    edges = V.edges(spark, sf)
+    edges = V.stored_edges(spark, sf)
     sides = [s for s in X.COHORT_SIDES if s[0] in ("r_fs", "r_fd", "r_sib", "r_hh")]
     return rounded(X.context_density(edges, split(spark, sf), sides))
 
@@ -414,7 +414,7 @@ SELECT year, count(DISTINCT id) AS n_members, round(avg(d) FILTER (WHERE rel = '
 FROM deg WHERE who = 'men' GROUP BY year""")
 def _density_wide(spark, sf):
     sides = [("r_fs", "in", None), ("r_sib", "any", None)]
-    density = X.context_density(V.edges(spark, sf), split(spark, sf), sides)
+    density = X.context_density(V.stored_edges(spark, sf), split(spark, sf), sides)
     return rounded(X.density_wide(density, "men", ["r_fs", "r_sib"]))
 
 
@@ -429,7 +429,7 @@ h2 AS (SELECT h1.id, coalesce(p2.v, h1.v) AS v FROM h1 LEFT JOIN p2 ON p2.id = h
 
 @query("neighbor_aggregate", "WITH" + AGGREGATE_SQL + "SELECT id, round(v, 4) AS born FROM h2")
 def _neighbor_aggregate(spark, sf):
-    edges = V.edges(spark, sf).where(F.col("rel").isin("r_hw", "r_fs", "r_fd", "r_sib"))
+    edges = V.stored_edges(spark, sf).where(F.col("rel").isin("r_hw", "r_fs", "r_fd", "r_sib"))
     people = V.panel(spark, sf).groupBy(F.col("PERSON_ID").alias("id")).agg(
         F.coalesce(F.max("BIRTHYEAR"), F.lit(1960)).cast("double").alias("born")
     )
