@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -172,5 +171,8 @@ def same_lineage(a: Column, b: Column, unknown: str = "L_unknown") -> Column:
     return F.coalesce((a == b) & (a != unknown), F.lit(False))
 
 
-def logit_of(p: float) -> float:
-    return math.log(p / (1.0 - p))
+def epoch_seconds(column: Column, dtype: T.DataType) -> Column:
+    """Seconds as double from a timestamp (with or without zone) or a number of seconds."""
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return column.cast("timestamp").cast("double")
+    return column.cast("double")

@@ -30,6 +30,7 @@ def candidates_with_profiles(
         profile = people.select(
             F.col("id").alias(f"_{side}"), *[F.col(f).alias(f"{side}_{f}") for f in fields]
         )
+        out = out.withColumn(column, F.col(column).cast("string"))
         out = out.join(profile, F.col(column) == F.col(f"_{side}"), "left").drop(f"_{side}")
     return out
 

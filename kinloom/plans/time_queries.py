@@ -403,7 +403,7 @@ FROM deg GROUP BY year, who, rel""")
 def _context_density(spark, sf):
     edges = V.stored_edges(spark, sf)
     sides = [s for s in X.COHORT_SIDES if s[0] in ("r_fs", "r_fd", "r_sib", "r_hh")]
-    return rounded(X.context_density(edges, split(spark, sf), sides))
+    return rounded(X.context_density(edges, T.cohort_split(edges, **BOUNDS), sides))
 
 
 @query("density_wide", "WITH" + DENSITY_SQL + """
@@ -414,7 +414,8 @@ SELECT year, count(DISTINCT id) AS n_members, round(avg(d) FILTER (WHERE rel = '
 FROM deg WHERE who = 'men' GROUP BY year""")
 def _density_wide(spark, sf):
     sides = [("r_fs", "in", None), ("r_sib", "any", None)]
-    density = X.context_density(V.stored_edges(spark, sf), split(spark, sf), sides)
+    edges = V.stored_edges(spark, sf)
+    density = X.context_density(edges, T.cohort_split(edges, **BOUNDS), sides)
     return rounded(X.density_wide(density, "men", ["r_fs", "r_sib"]))
 
 
