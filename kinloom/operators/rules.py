@@ -282,7 +282,7 @@ def apply_directives(
     moved = F.least(F.col("m")["hi"], F.greatest(F.col("m")["lo"], score + F.col("m")["d"]))
     return out.select(
         *card,
-        F.coalesce(moved, score).alias("target_score"),
+        F.when(score.isNotNull() & F.col("m").isNotNull(), moved).otherwise(score).alias("target_score"),
         F.coalesce("eliminated", F.lit(False)).alias("eliminated"),
         F.coalesce("accepted", F.lit(False)).alias("accepted"),
     )
