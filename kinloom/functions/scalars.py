@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from kinloom import fixed
 
 _WHITESPACE = " \t\n\r\x0b\x0c"
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def as_column(value: Column | str) -> Column:
@@ -42,7 +41,9 @@ def normalize_id(column: Column, dtype: T.DataType | None = None) -> Column:
         text = F.when(F.isnan(column), F.lit(None)).when(
             whole, column.try_cast("decimal(20,0)").cast("string")
         ).otherwise(text)
-    text = F.regexp_replace(F.trim(text, F.lit(_WHITESPACE)), r"\.0+$", "")
+    text = F.trim(text, F.lit(_WHITESPACE))
+    # The pattern runs only on the few texts that can match it.
+    text = F.when(text.endswith("0") & text.contains(".0"), F.regexp_replace(text, r"\.0+$", "")).otherwise(text)
     return F.when(~text.isin(list(fixed.NULL_ID_TEXTS)), text)
 
 
@@ -52,7 +53,11 @@ def to_number(column: Column, dtype: T.DataType) -> Column:
         number = column.cast("double")
         return F.when(~F.isnan(number), number)
     text = F.trim(column.cast("string"), F.lit(_WHITESPACE))
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    number = text.try_cast("double")
+    # The cast also reads Java literals (1d, NaN, 0x1p3): only a text that ends like a
+    # plain number and holds no x counts.
+    last = F.substring(text, -1, 1)
+    return F.when((last.between("0", "9") | (last == ".")) & ~F.lower(text).contains("x"), number)
 
 
 def code_text(column: Column) -> Column:

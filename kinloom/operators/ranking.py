@@ -34,7 +34,13 @@ def _with_truth(scores: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def true_scores(scores: DataFrame, truth: DataFrame) -> DataFrame:
-    """Score of the true partner per left entity."""
+    """Score of the true partner per left entity.
+
+    A truth table that already carries ``true_score`` needs no join.
+    """
+    if "true_score" in truth.columns:
+        known = truth.select("year", "h", "true_w", "true_score")
+        return known.where(F.col("true_score").isNotNull())
     return (
         _with_truth(scores, truth)
         .where(F.col("w") == F.col("true_w"))
@@ -162,22 +168,28 @@ def scored_pair_table(
     ``assignment`` (year, h, w) gives ``hungarian_correct``; ``roots`` (id, root) the
     lineages; ``path_counts`` (year, h, w, patri_path_count) the kin paths.
     """
-    ranks = rank_of_truth(scores, truth)
-    positives = true_scores(scores, truth)
-    negatives = hard_negatives(scores, truth, k)
-    best_wrong = negatives.where(F.col("neg_rank") == 1).select("year", "h", F.col("score").alias("_best_wrong"))
+    known = true_scores(scores, truth).select("year", "h", "true_w", "true_score")
+    pairs = scores.select("year", "h", "w", "score").join(known, ["year", "h"])
+    right = F.col("w") == F.col("true_w")
+    ahead = (F.col("score") > F.col("true_score")) | (
+        (F.col("score") == F.col("true_score")) & (F.col("w") < F.col("true_w"))
+    )
+    # Rank, best wrong score and the positive row come from one aggregate over the pairs.
     pos = (
-        positives.join(best_wrong, ["year", "h"], "left")
-        .join(ranks.select("year", "h", "rank_of_truth"), ["year", "h"])
+        pairs.groupBy("year", "h", "true_w", "true_score")
+        .agg(
+            (F.count_if(ahead) + 1).cast("int").alias("rank_of_true_wife"),
+            F.max(F.when(~right, F.col("score"))).alias("_best_wrong"),
+        )
         .select(
             "year", "h", F.col("true_w").alias("w"), F.lit(1).alias("label"), F.lit(0).alias("neg_rank"),
             F.col("true_score").alias("score"),
             (F.col("true_score") - F.coalesce("_best_wrong", F.lit(0.0))).alias("score_gap"),
-            F.col("rank_of_truth").cast("int").alias("rank_of_true_wife"),
+            "rank_of_true_wife",
         )
     )
-    neg = negatives.join(positives.select("year", "h", "true_score"), ["year", "h"]).select(
-        "year", "h", "w", F.lit(0).alias("label"), "neg_rank", "score",
+    neg = top_k_per_left(pairs.where(~right), k).select(
+        "year", "h", "w", F.lit(0).alias("label"), F.col("rank").alias("neg_rank"), "score",
         (F.col("score") - F.col("true_score")).alias("score_gap"),
         F.lit(None).cast("int").alias("rank_of_true_wife"),
     )

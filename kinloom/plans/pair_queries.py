@@ -14,6 +14,7 @@ from kinloom.operators.temporal import bucket_of_year
 from kinloom.plans import views as V
 from kinloom.plans.panel_queries import scratch
 from kinloom.plans.registry import query, rounded, table
+from kinloom.session import settle
 from kinloom.sources import files
 
 WITH = "WITH" + V.TRUTH_SQL
@@ -22,7 +23,7 @@ PAIRS = "WITH" + V.PAIR_TABLE_SQL
 
 def couples(scores):
     """True couples as training pairs (year, h, w)."""
-    return V.truth(scores).withColumnRenamed("true_w", "w")
+    return V.truth(scores).select("year", "h", F.col("true_w").alias("w"))
 
 
 # -- candidates -----------------------------------------------------------------------
@@ -293,7 +294,7 @@ whole AS (
   FROM everybody e JOIN known k ON k.year = e.year AND k.h = e.h GROUP BY e.year, e.h)
 SELECT year, count(*) AS n_ranked, {TOPK} FROM whole GROUP BY year""")
 def _cohort_topk_recall(spark, sf):
-    scores = V.scores(spark, sf)
+    scores = settle(V.build_scores(spark, sf))  # read three times below
     ranks = R.rank_of_truth(scores, V.truth(scores), N.cohort_pool(scores), default_score=0.0)
     return rounded(M.topk_recall(ranks))
 
@@ -318,8 +319,7 @@ AP_SQL = "round(sum(pos / p * ((p - cpos + pos) / (p - cpos + pos + n - cneg + n
 def labelled(spark, sf):
     """Every scored pair with its label; logits in steps of 0.01, so that ties occur."""
     scores = V.logits(V.scores(spark, sf)).withColumn("score", F.round("score", 2))
-    t = V.truth(V.scores(spark, sf))
-    return scores.join(t, ["year", "h"]).select(
+    return scores.join(V.truth(scores), ["year", "h"]).select(
         "year", "h", "w", "score", (F.col("w") == F.col("true_w")).cast("int").alias("label")
     )
 
@@ -359,7 +359,7 @@ def _pair_metrics(spark, sf):
 @query("pair_level_sample")
 def _pair_level_sample(spark, sf):
     scores = V.logits(V.scores(spark, sf))
-    sample = M.pair_level_sample(scores, V.truth(V.scores(spark, sf)), N.cohort_pool(scores), default_score=-2.5)
+    sample = M.pair_level_sample(scores, V.truth(scores), N.cohort_pool(scores), default_score=-2.5)
     return rounded(M.pair_metrics(sample, group=["year"]))
 
 

@@ -215,25 +215,36 @@ raw_panel AS (
 # -- scored pairs ---------------------------------------------------------------------
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored score table, partitioned by cohort year."""
+    return _stored(
+        spark, sf, "scores", lambda path: build_scores(spark, sf).write.partitionBy("year").parquet(path)
+    )
+
+
+def build_scores(spark: SparkSession, sf: str) -> DataFrame:
     """(year, h, w, score, k): revenue of customer h with supplier w per order year."""
     orders = table(spark, sf, "orders")
     lineitem = table(spark, sf, "lineitem")
     joined = orders.join(lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
-    price = F.col("l_extendedprice").cast("decimal(12,2)") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))
+    # Money in whole 1/10000 units: exact, and a plain long sum.
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    price = cents * (F.lit(100) - F.round(F.col("l_discount") * 100).cast("bigint"))
     return joined.groupBy(
         F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("h"), F.col("l_suppkey").alias("w")
     ).agg(
-        F.sum(price).cast("double").alias("score"),
+        (F.sum(price) / F.lit(10000.0)).alias("score"),
         F.min(F.col("o_orderkey") * 100 + F.col("l_linenumber")).alias("k"),
     )
 
 
 def truth(scored: DataFrame) -> DataFrame:
-    """(year, h, true_w): the partner met first."""
-    return first_row(scored, ["year", "h"], ["k", "w"], ["w"]).withColumnRenamed("w", "true_w")
+    """(year, h, true_w, true_score): the partner met first, with its score from the same row."""
+    first = first_row(scored, ["year", "h"], ["k", "w"], ["w", "score"])
+    return first.withColumnsRenamed({"w": "true_w", "score": "true_score"})
 
 
 def logits(scored: DataFrame) -> DataFrame:
+    """Scores as logits of a plausible size."""
     return scored.withColumn("score", (F.col("score") - 50000.0) / 20000.0)
 
 
@@ -301,10 +312,8 @@ def build_pair_table(spark: SparkSession, sf: str) -> DataFrame:
     from kinloom.functions import scalars as S
     from kinloom.operators.ranking import mutual_best, scored_pair_table
 
-    scored = scores(spark, sf).persist()
-    t = truth(scored)
-    out = scored_pair_table(scored, t, assignment=mutual_best(scored))
-    scored.unpersist()
+    scored = scores(spark, sf)
+    out = scored_pair_table(scored, truth(scored), assignment=mutual_best(scored))
     return (
         out.withColumn("era", S.era_of_year(F.col("year"), catchup=(1998,), late=(2000, 2001)))
         .withColumn("same_lineage", F.col("h") % 7 == F.col("w") % 7)

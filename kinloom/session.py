@@ -12,12 +12,9 @@ def build_session(app: str = "kinloom", master: str | None = None, **conf: str)
 
     Parallelism is left to the cluster's own configuration unless given in ``conf``.
     """
-    builder = (
-        SparkSession.builder.appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-    )
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
+    for key, value in ADAPTIVE.items():
+        builder = builder.config(key, value)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -25,6 +22,22 @@ def build_session(app: str = "kinloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+# Runtime settings every query relies on. A join that feeds an aggregate on the same keys
+# is split on a hot key only when AQE may add the shuffle this costs.
+ADAPTIVE = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Switch on adaptive execution with skew splitting in an existing session."""
+    for key, value in ADAPTIVE.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
