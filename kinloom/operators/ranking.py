@@ -63,12 +63,16 @@ def rank_of_truth(
     Unscored members tied with the truth stand behind it, or by id with ``exact_ties``
     (which numbers the pool).
     """
-    known = true_scores(scores, truth)
-    if pool is not None:
+    if pool is None:
+        known = true_scores(scores, truth)
+    else:
         members = pool.select("year", F.col("w").alias("true_w"))
-        inside = truth.select("year", "h", "true_w").join(members, ["year", "true_w"], "left_semi")
+        if "true_score" not in truth.columns:
+            found = true_scores(scores, truth).select("year", "h", "true_score")
+            truth = truth.join(found, ["year", "h"], "left")
         known = (
-            inside.join(known.select("year", "h", "true_score"), ["year", "h"], "left")
+            truth.select("year", "h", "true_w", "true_score")
+            .join(members, ["year", "true_w"], "left_semi")
             .withColumn("_scored", F.col("true_score").isNotNull().cast("int"))
             .withColumn("true_score", F.coalesce("true_score", F.lit(float(default_score))))
         )

@@ -14,7 +14,6 @@ from kinloom.operators.temporal import bucket_of_year
 from kinloom.plans import views as V
 from kinloom.plans.panel_queries import scratch
 from kinloom.plans.registry import query, rounded, table
-from kinloom.session import settle
 from kinloom.sources import files
 
 WITH = "WITH" + V.TRUTH_SQL
@@ -29,6 +28,11 @@ def couples(scores):
 # -- candidates -----------------------------------------------------------------------
 
 
+@query("cohort_scores", "WITH" + V.SCORES_SQL + "SELECT year, h, w, score, k FROM scores")
+def _cohort_scores(spark, sf):
+    return V.build_scores(spark, sf)
+
+
 @query("cohort_pool", WITH + "SELECT year, w FROM pool")
 def _cohort_pool(spark, sf):
     return N.cohort_pool(V.scores(spark, sf))
@@ -294,7 +298,7 @@ whole AS (
   FROM everybody e JOIN known k ON k.year = e.year AND k.h = e.h GROUP BY e.year, e.h)
 SELECT year, count(*) AS n_ranked, {TOPK} FROM whole GROUP BY year""")
 def _cohort_topk_recall(spark, sf):
-    scores = settle(V.build_scores(spark, sf))  # read three times below
+    scores = V.scores(spark, sf)
     ranks = R.rank_of_truth(scores, V.truth(scores), N.cohort_pool(scores), default_score=0.0)
     return rounded(M.topk_recall(ranks))
 

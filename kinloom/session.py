@@ -28,6 +28,9 @@ ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM does not compile methods above 8000 bytes of bytecode; such a stage runs much
+    # faster as split projections than as one interpreted method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
