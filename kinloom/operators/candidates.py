@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -132,7 +132,6 @@ def score_cohorts(
     w = np.asarray(weights, dtype="float64")
     if len(w) % 4:
         raise ValueError("weights must hold four equally long parts")
-    truth_schema = "true_w"
     n_left = left.groupBy("year").agg(F.ceil(F.count("*") / block).cast("int").alias("nl"))
     n_right = right.groupBy("year").agg(F.ceil(F.count("*") / block).cast("int").alias("nr"))
     blocks = n_left.join(n_right, "year")  # one row per year
@@ -144,7 +143,7 @@ def score_cohorts(
             "true_score", F.lit(None).cast("double")
         )
     else:
-        named = truth.select("year", "h", F.col(truth_schema).alias("true_w"))
+        named = truth.select("year", "h", "true_w")
         partner = women.select("year", F.col("w").alias("true_w"), F.col("wv").alias("_tv"))
         men = men.join(named, ["year", "h"], "left").join(partner, ["year", "true_w"], "left")
         features = A.pair_features(F.col("hv"), F.col("_tv"))

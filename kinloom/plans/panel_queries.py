@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from kinloom import fixed
 from kinloom.functions import scalars as S
 from kinloom.operators import cleaning as C
 from kinloom.operators import edges as E
