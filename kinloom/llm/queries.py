@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kinloom.llm import (  # noqa: F401
     quality,
+    sharding,
 )
 from kinloom.llm.common import ORACLE, QUERIES
 
