@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kinloom.llm import (  # noqa: F401
+    bpe,
     language,
     quality,
     sharding,
