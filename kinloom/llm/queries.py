@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kinloom.llm import (  # noqa: F401
     bpe,
+    exact,
     language,
     quality,
     sharding,
