@@ -8,6 +8,7 @@ from kinloom.llm import (  # noqa: F401
     language,
     quality,
     sharding,
+    token_counts,
 )
 from kinloom.llm.common import ORACLE, QUERIES
 
