@@ -10,6 +10,7 @@ from kinloom.llm import (  # noqa: F401
     near,
     quality,
     sharding,
+    spans,
     token_counts,
 )
 from kinloom.llm.common import ORACLE, QUERIES
