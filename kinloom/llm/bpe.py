@@ -22,16 +22,15 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 # (?U): white space as Unicode has it, as the tokenizer's own pattern engine does.
 PATTERN = "(?U)" + public_tokenizers.PATTERN
 
-BUCKETS = 1 << 14
-NONE = 2_147_483_647
+BUCKETS = 1 << 16
 
 
 class Settings(NamedTuple):
     """Bounds of the word table. They decide what is looked up and what is folded, not the result."""
 
     max_rank_bytes: int = 64 << 20
-    sample_docs: int = 6000  # expected number of documents whose words are counted
-    table_words: int = 1 << 16
+    sample_docs: int = 40_000  # expected number of documents whose words are counted
+    table_words: int = 1 << 18
     table_word_bytes: int = 64
 
 
@@ -70,6 +69,55 @@ def constant(table: DataFrame) -> Column:
     return F.expr(f"session.{name}")
 
 
+ID_BITS, PLACE_BITS = 20, 23
+NONE = (1 << ID_BITS) - 1  # stands for "no such token"
+
+
+class PairRanks(NamedTuple):
+    """Rank of the token that two neighbours make, as arrays with one look-up per pair.
+
+    A pair belongs to a group, and the group's shift moves its pairs to slots of their own. All
+    products stay far below 2^63.
+    """
+
+    keys: list[int]  # left << ID_BITS | right of the pair in a slot, -1 in a free slot
+    ranks: list[int]
+    shifts: list[int]
+
+    @staticmethod
+    def of(ranks: dict[bytes, int]) -> PairRanks:
+        pairs = {
+            (left, right): rank
+            for token, rank in ranks.items()
+            for cut in range(1, len(token))
+            if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None
+        }
+        groups: list[list[tuple[int, int]]] = [[] for _ in range(max(1, len(pairs) // 2))]
+        slots = 2 * len(pairs) + 3
+        for pair in pairs:
+            groups[PairRanks.group(*pair, len(groups))].append(pair)
+        keys, values, shifts = [-1] * slots, [NONE] * slots, [0] * len(groups)
+        for g in sorted(range(len(groups)), key=lambda g: -len(groups[g])):
+            base = [PairRanks.slot(*pair, slots) for pair in groups[g]]
+            if len(set(base)) < len(base):
+                raise ValueError("two pairs of a group share a slot")
+            shift = 0
+            while any(keys[(b + shift) % slots] >= 0 for b in base):
+                shift += 1
+            shifts[g] = shift
+            for pair, b in zip(groups[g], base):
+                keys[(b + shift) % slots], values[(b + shift) % slots] = pair[0] << ID_BITS | pair[1], pairs[pair]
+        return PairRanks(keys, values, shifts)
+
+    @staticmethod
+    def group(left, right, groups: int):
+        return (left * 1_299_709 + right * 15_485_863) % groups
+
+    @staticmethod
+    def slot(left, right, slots: int):
+        return (left * 32_452_843 + right * 49_979_687) % slots
+
+
 class Vocabulary:
     """Ranks of a tiktoken file as literals; every byte must have a rank."""
 
@@ -89,10 +137,31 @@ class Vocabulary:
             return constant(spark.createDataFrame([(value,)], f"{name} {kind}"))
 
         self.spark, self.settings = spark, settings
-        self.ranks = table("ranks", bucketed(list(ranks.items())), "array<map<binary, int>>")
-        self.tokens = table("tokens", tokens, "array<binary>")
+        if len(tokens) >= NONE:
+            raise ValueError(f"ids must be below {NONE}")
+        pairs = PairRanks.of(ranks)
+        self.pair_keys = table("pair_keys", pairs.keys, "array<long>")
+        self.pair_ranks = table("pair_ranks", pairs.ranks, "array<int>")
+        self.pair_shifts = table("pair_shifts", pairs.shifts, "array<long>")
+        self.groups, self.slots = len(pairs.shifts), len(pairs.keys)
         self.hexes = table("hexes", [t.hex() for t in tokens], "array<string>")
-        self.single = table("single", [ranks[bytes([b])] for b in range(256)], "array<int>")
+        # A byte is found by its checksum; the smallest modulus that keeps the 256 apart serves.
+        sums = [zlib.crc32(bytes([b])) for b in range(256)]
+        self.modulus = next(m for m in range(256, 1 << 20) if len({x % m for x in sums}) == 256)
+        single = [0] * self.modulus
+        for b, x in enumerate(sums):
+            single[x % self.modulus] = ranks[bytes([b])]
+        self.single = table("single", single, "array<long>")
+
+    def byte_id(self, byte: Column) -> Column:
+        return F.get(self.single, (F.crc32(byte) % self.modulus).cast("int"))
+
+    def pair_rank(self, left: Column, right: Column) -> Column:
+        """Rank of the token that two ids (longs) make; NONE if there is none or one is null."""
+        shift = F.get(self.pair_shifts, PairRanks.group(left, right, self.groups).cast("int"))
+        slot = ((PairRanks.slot(left, right, self.slots) + shift) % self.slots).cast("int")
+        same = F.get(self.pair_keys, slot) == F.shiftleft(left, ID_BITS).bitwiseOR(right)
+        return F.when(same, F.get(self.pair_ranks, slot)).otherwise(F.lit(NONE)).cast("long")
 
     def word_table(self, docs: DataFrame) -> Column:
         """The frequent words of a bounded sample with their ids, as a literal."""
@@ -117,56 +186,50 @@ class Vocabulary:
 def merged_ids(word: Column, vocabulary: Vocabulary) -> Column:
     """Ids of a word (binary): the pair of lowest rank, the leftmost of equals, is merged first.
 
-    A fold over as many steps as the word has bytes; its state is the ids so far and the rank
-    of each neighbouring pair, of which a merge changes two. A step costs time in proportion to
-    the ids left, so a word of n bytes costs n * n small operations at worst.
+    A fold over as many steps as the word has bytes. Its state has one number for each part:
+    the rank of the part with its right neighbour, where the part begins, and its id, from the
+    high bits to the low ones; so the smallest number is the next merge. A merge changes two
+    numbers. A step takes time in proportion to the parts left, so a word of n bytes costs
+    n * n small operations at worst.
     """
-    ranks, tokens, single = vocabulary.ranks, vocabulary.tokens, vocabulary.single
     length = F.octet_length(word)
+    low = F.lit((1 << ID_BITS) - 1).cast("long")
 
-    def rank(a: Column, b: Column) -> Column:
-        joined = F.concat(F.get(tokens, a), F.get(tokens, b))
-        return F.coalesce(found_in(ranks, joined), F.lit(NONE))
+    def number(rank: Column, place: Column, part: Column) -> Column:
+        return F.shiftleft(rank, ID_BITS + PLACE_BITS).bitwiseOR(F.shiftleft(place, ID_BITS)).bitwiseOR(part)
 
-    def start() -> Column:
-        ids = F.transform(
-            F.sequence(F.lit(1), length),
-            lambda i: F.get(single, F.conv(F.hex(F.substring(word, i, F.lit(1))), 16, 10).cast("int")),
-        )
-        return let(
-            ids,
-            lambda parts: F.struct(
-                parts.alias("parts"),
-                F.transform(F.sequence(F.lit(0), length - 2), lambda i: rank(F.get(parts, i), F.get(parts, i + 1))).alias("pairs"),
-            ),
-        )
+    def place_of(x: Column) -> Column:
+        return F.shiftright(x, ID_BITS).bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long"))
 
     def merge(state: Column) -> Column:
-        return let(
-            F.array_min(state["pairs"]),
-            lambda best: F.when(F.coalesce(best, F.lit(NONE)) == NONE, state).otherwise(
-                let(
-                    F.array_position(state["pairs"], best).cast("int"),
-                    lambda at: F.struct(
-                        F.concat(
-                            F.slice(state["parts"], 1, at - 1), F.array(best), F.slice(state["parts"], at + 2, F.size(state["parts"]))
-                        ).alias("parts"),
-                        F.concat(
-                            F.slice(state["pairs"], 1, F.greatest(at - 2, F.lit(0))),
-                            F.when(at > 1, F.array(rank(F.get(state["parts"], at - 2), best))).otherwise(F.array().cast("array<int>")),
-                            F.when(
-                                at < F.size(state["pairs"]), F.array(rank(best, F.get(state["parts"], at + 1)))
-                            ).otherwise(F.array().cast("array<int>")),
-                            F.slice(state["pairs"], at + 2, F.size(state["pairs"])),
-                        ).alias("pairs"),
-                    ),
-                )
-            ),
-        )
+        def joined(best: Column) -> Column:
+            made = F.shiftright(best, ID_BITS + PLACE_BITS)
+
+            def changed(x: Column, i: Column) -> Column:
+                part = x.bitwiseAND(low)
+                merged = number(vocabulary.pair_rank(made, F.get(state, i + 2).bitwiseAND(low)), place_of(x), made)
+                before = number(vocabulary.pair_rank(part, made), place_of(x), part)
+                return F.when(x == best, merged).when(F.get(state, i + 1) == best, before).otherwise(x)
 
-    folded = F.aggregate(F.sequence(F.lit(2), length), start(), lambda state, _: merge(state))["parts"]
-    first = F.get(single, F.conv(F.hex(F.substring(word, F.lit(1), F.lit(1))), 16, 10).cast("int"))
-    return F.when(length == 0, F.array().cast("array<int>")).when(length == 1, F.array(first)).otherwise(folded)
+            # The right one of the two merged parts goes.
+            return F.filter(F.transform(state, changed), lambda x, i: (i == 0) | (F.get(state, i - 1) != best))
+
+        end = F.lit(NONE << (ID_BITS + PLACE_BITS)).cast("long")
+        return let(F.array_min(state), lambda best: F.when(best >= end, state).otherwise(joined(best)))
+
+    single = F.transform(F.sequence(F.lit(1), length), lambda i: vocabulary.byte_id(F.substring(word, i, F.lit(1))))
+    start = let(
+        single,
+        lambda ids: F.transform(ids, lambda x, i: number(vocabulary.pair_rank(x, F.get(ids, i + 1)), i.cast("long"), x)),
+    )
+    folded = F.aggregate(F.sequence(F.lit(2), length), start, lambda state, _: merge(state))
+    ids = F.transform(folded, lambda x: x.bitwiseAND(low).cast("int"))
+    return (
+        F.when(length == 0, F.array().cast("array<int>"))
+        .when(length == 1, F.array(vocabulary.byte_id(word).cast("int")))
+        .when(length < 1 << PLACE_BITS, ids)
+        .otherwise(F.raise_error(F.lit(f"a word of more than {1 << PLACE_BITS} bytes")).cast("array<int>"))
+    )
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
