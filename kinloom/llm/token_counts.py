@@ -7,9 +7,10 @@ stored counts; only distinct contents that have none are encoded, and their coun
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import public_tokenizers
@@ -58,24 +59,69 @@ def tokenizer_text(path: str) -> str:
     return raw.decode()
 
 
-def encoded_counts(batches: Iterator[pd.DataFrame], definition: str, chars_at_once: int = 500_000) -> Iterator[pd.DataFrame]:
-    """Counts of the texts of a task, by the library, some texts at a time."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def counter(definition: str, most_pieces: int = 300_000) -> Callable[[list[str]], list[int]]:
+    """A function that counts the tokens of texts as the library does.
+
+    Of a tokenizer that only splits texts by the byte-level pattern before it merges, the
+    library encodes each distinct piece once and texts add up their pieces; any other
+    tokenizer encodes whole texts. Special strings are cut out first, as the library does;
+    each is one token.
+    """
+    import regex
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_str(definition)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+
+    def whole(texts: list[str]) -> list[int]:
+        return [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    settings = json.loads(definition)
+    split, added = settings.get("pre_tokenizer") or {}, settings.get("added_tokens") or []
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    bare = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+    if settings.get("normalizer") or not (plain and bare):
+        return whole
+    pieces_of = regex.compile(public_tokenizers.PATTERN).findall
+    # Longer special strings first, so that none hides one that begins with it.
+    special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
+    known: dict[str, int] = {}
+
+    def by_pieces(texts: list[str]) -> list[int]:
+        cut = []
+        for text in texts:
+            if special and special.search(text):
+                parts = special.split(text)
+                cut.append((len(parts) - 1, [p for part in parts for p in pieces_of(part)]))
+            else:
+                cut.append((0, pieces_of(text)))
+        if len(known) > most_pieces:
+            known.clear()
+        new = list({p for _, pieces in cut for p in pieces}.difference(known))
+        known.update(zip(new, whole(new)))
+        return [n + sum(map(known.__getitem__, pieces)) for n, pieces in cut]
+
+    return by_pieces
+
+
+def encoded_counts(batches: Iterator[pd.DataFrame], definition: str, chars_at_once: int = 500_000) -> Iterator[pd.DataFrame]:
+    """Counts of the distinct texts of a task, some at a time."""
+    count = counter(definition)
+    done: set[bytes] = set()
     for batch in batches:
-        texts, counts, part, chars = batch["text"].tolist(), [], [], 0
-        for text in [*texts, None]:
+        shas, counts, part, chars = [], [], [], 0
+        for sha, text in [*zip(batch["sha"], batch["text"]), (None, None)]:
             if part and (text is None or chars + len(text) > chars_at_once):
-                counts += [len(e) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                counts += count(part)
                 part, chars = [], 0
-            if text is not None:
+            if text is not None and sha not in done:
+                done.add(sha)
+                shas.append(sha)
                 part.append(text)
                 chars += len(text)
-        yield pd.DataFrame({"sha": batch["sha"], "n_tokens": pd.Series(counts, dtype="int64", index=batch.index)})
+        yield pd.DataFrame({"sha": pd.Series(shas, dtype=object), "n_tokens": pd.Series(counts, dtype="int64")})
 
 
 def count_tokens(docs: DataFrame, cache: TokenCache, path: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
@@ -102,12 +148,11 @@ def count_tokens(docs: DataFrame, cache: TokenCache, path: str = TOKENIZER, limi
     misses = distinct.join(cache.counts(tokenizer), "sha", "left_anti")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_rep"), text_or_empty().alias("text"))
     wanted = misses.select("sha", F.coalesce(F.col("rep").cast("string"), F.lit("null")).alias("_rep"))
-    # A doc_id may stand for several texts, so the digest is looked at too; equal rows, which
-    # the join has brought together, are one.
+    # A doc_id may stand for several texts, so the digest is looked at too. The join brings
+    # equal rows together, and a task encodes them once.
     fetched = (
         texts.join(wanted.hint("shuffle_hash"), "_rep")
         .where(F.unhex(F.sha2("text", 256)) == F.col("sha"))
-        .dropDuplicates(["_rep", "sha"])
         .select("sha", "text")
     )
     counted = fetched.mapInPandas(lambda batches: encoded_counts(batches, definition), "sha binary, n_tokens long")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinloom.llm.token_counts import TOKENIZER, TokenCache, count_tokens, op9_token_cache, tokenizer_text
+from kinloom.llm.token_counts import TOKENIZER, TokenCache, count_tokens, counter, op9_token_cache, tokenizer_text
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +62,19 @@ def test_empty(spark, make, tmp_path):
 def test_query(spark, library, corpus):
     rows = [(r["doc_id"], r["text"]) for r in corpus.collect()]
     assert collected(op9_token_cache(spark, "/root/testdata/sf0.001")) == brute(library, rows)
+
+
+def test_counter_on_every_code_point(library):
+    """Pieces are cut as the library cuts them, whatever the character."""
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{x}b 1{x}2 {x} {x}{x}.{x}\n" for x in chars]
+    texts = ["".join(texts[i : i + 64]) for i in range(0, len(texts), 64)]
+    count = counter(tokenizer_text(TOKENIZER))
+    want = [len(e) for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = count(texts)
+    assert [i for i, (a, b) in enumerate(zip(got, want)) if a != b] == []
+
+
+def test_counter_on_special_strings_and_space(library):
+    texts = ["<|endoftext|>", "a<|endoftext|> <|endoftext|><|endoftext|>b", "<|endoftext", "  \n\n  x   \t y  ", "it's  I'LL 'sx", ""]
+    assert counter(tokenizer_text(TOKENIZER))(texts) == [len(library.encode(t, add_special_tokens=False)) for t in texts]
