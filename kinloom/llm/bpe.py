@@ -256,13 +256,16 @@ def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(vocabulary.hexes, i)), ""))
 
 
-@register("op7_byte_bpe")
-def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = Vocabulary(spark)
-    encoded = encode(documents(spark, sf_dir), vocabulary)
-    return encoded.select(
+def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Number and digest of the ids of every text, and the digest of the bytes they decode to."""
+    return encode(docs, vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"),
         F.sha2(decoded(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
     )
+
+
+@register("op7_byte_bpe")
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), Vocabulary(spark))

@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm.common import documents, register, settled, shipped, text_or_empty
@@ -137,14 +137,19 @@ def snapshot_filters(groups: DataFrame) -> DataFrame:
     return groups.groupBy("batch", "bucket").applyInPandas(build_filter, FILTER_SCHEMA)
 
 
+def handle(name: str) -> Column:
+    """What a text is fetched by: its doc_id, or a word for all rows without one."""
+    return F.coalesce(F.col(name).cast("string"), F.lit("null"))
+
+
 def screen(groups: DataFrame, filters: DataFrame) -> DataFrame:
     """(digest, batch, earlier snapshot whose filter it passes). Co-grouped by bucket: a bucket
     holds distinct digests, so its size is set by the number of buckets and not by copies."""
-    picked = groups.select("sha", "n_bytes", "batch", F.col("top").cast("string").alias("top"), "bucket")
+    picked = groups.select("sha", "n_bytes", "batch", handle("top").alias("top"), "bucket")
     return picked.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(screen_bucket, PASSED_SCHEMA)
 
 
-def dedup(docs: DataFrame, batch, bucket_rows: int = 100_000) -> DataFrame:
+def dedup(docs: DataFrame, batch: Column, bucket_rows: int = 100_000) -> DataFrame:
     """Class of every document among equal texts, over batches that arrive in turn.
 
     ``batch`` (a column, 0, 1, ...) tells in which batch a row arrives; the result does not
@@ -175,10 +180,10 @@ def dedup(docs: DataFrame, batch, bucket_rows: int = 100_000) -> DataFrame:
     passed = screen(grouped.where(F.col("batch") > 0), filters)
 
     # Positives meet their exact bucket; what the filter let through by chance ends here.
-    older = grouped.select("sha", "n_bytes", F.col("batch").alias("snapshot"), F.col("top").cast("string").alias("old_top"))
+    older = grouped.select("sha", "n_bytes", F.col("batch").alias("snapshot"), handle("top").alias("old_top"))
     met = settled(passed.join(older, ["sha", "n_bytes", "snapshot"]))
     asked = met.select("sha", "batch", "top").union(met.select("sha", "snapshot", "old_top")).distinct()
-    texts = docs.select(F.col("doc_id").cast("string").alias("top"), text_or_empty().alias("text"))
+    texts = docs.select(handle("doc_id").alias("top"), text_or_empty().alias("text"))
     # The small side is hashed, so the texts are shuffled but not sorted. At most one row for
     # each digest and batch is asked for.
     fetched = (
@@ -210,7 +215,7 @@ def dedup(docs: DataFrame, batch, bucket_rows: int = 100_000) -> DataFrame:
     )
 
 
-def by_hash(batches: int = BATCHES):
+def by_hash(batches: int = BATCHES) -> Column:
     """The batch of a document for a corpus that does not say when its rows arrived."""
     return F.pmod(F.xxhash64(F.col("doc_id")), F.lit(batches))
 

@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -311,6 +312,20 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return picked.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
+def in_a_language(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language with a score of ``least`` or more.
+
+    All columns pass unchanged and no row is shuffled; null texts and texts without a letter go.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = label_texts(batch.column("text").to_pylist(), model)
+            yield batch.filter(pa.array(((found["lang_pred"] != "und") & (found["score"] >= least)).to_numpy(bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 shipped(__name__)
 
 

@@ -30,7 +30,7 @@ def brute(rows):
     for text, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
         sha = hashlib.sha256(text.encode()).hexdigest()
-        out += [(i, keep, len(ids), i == keep, sha) for i in ids]
+        out += [(i, keep, len(ids), i == keep, sha) for i in ids]  # None == None where all are null
     return sorted(out, key=repr)
 
 
@@ -46,6 +46,12 @@ def test_odd_rows(make, batches):
     assert got == brute(data)
 
 
+def test_null_ids_across_batches(make):
+    data = [(None, "t"), (None, "u"), (None, "u"), *[(i, "t") for i in range(8)]]
+    got = sorted((tuple(r[c] for c in COLUMNS) for r in dedup(make(data), by_hash()).collect()), key=repr)
+    assert got == brute(data)
+
+
 def test_empty(make):
     assert dedup(make([]), by_hash()).collect() == []
 
