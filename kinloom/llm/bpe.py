@@ -22,7 +22,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 # (?U): white space as Unicode has it, as the tokenizer's own pattern engine does.
 PATTERN = "(?U)" + public_tokenizers.PATTERN
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17  # small maps of the word table
 
 
 class Settings(NamedTuple):
@@ -30,7 +30,7 @@ class Settings(NamedTuple):
 
     max_rank_bytes: int = 64 << 20
     sample_docs: int = 40_000  # expected number of documents whose words are counted
-    table_words: int = 1 << 18
+    table_words: int = 1 << 19
     table_word_bytes: int = 64
 
 
@@ -43,16 +43,8 @@ def pieces_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def bucketed(entries: list[tuple[bytes, object]]) -> list[dict]:
-    """Small maps by checksum of the key: Spark searches a map from its start."""
-    found: list[dict] = [{} for _ in range(BUCKETS)]
-    for key, value in entries:
-        found[zlib.crc32(bytes(key)) % BUCKETS][bytes(key)] = value
-    return found
-
-
-def found_in(table: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(table, (F.crc32(key) % BUCKETS).cast("int")), key)
+def bucket_of(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(BUCKETS))
 
 
 def constant(table: DataFrame) -> Column:
@@ -176,11 +168,17 @@ class Vocabulary:
             .count()
             .orderBy(F.desc("count"), "word")
             .limit(s.table_words)
-            .select(F.encode("word", "UTF-8").alias("word"))
         )
-        merged = words.select("word", merged_ids(F.col("word"), self).alias("ids"))
-        entries = [(bytes(r["word"]), r["ids"]) for r in merged.collect()]
-        return constant(self.spark.createDataFrame([(bucketed(entries),)], "words array<map<binary, array<int>>>"))
+        merged = words.select("word", merged_ids(F.encode("word", "UTF-8"), self).alias("ids"))
+        # Spark searches a map from its start, so words are spread over small maps.
+        maps = merged.groupBy(bucket_of(F.col("word")).alias("bucket")).agg(
+            F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("m")
+        )
+        every = self.spark.range(BUCKETS).join(maps, F.col("id") == F.col("bucket"), "left")
+        # One row of bounded size: at most table_words words of table_word_bytes bytes.
+        row = every.agg(F.collect_list(F.struct("id", F.coalesce("m", F.create_map().cast("map<string, array<int>>")).alias("m"))).alias("all"))
+        in_order = F.array_sort("all", lambda a, b: F.when(a["id"] < b["id"], -1).otherwise(1))
+        return constant(row.select(F.transform(in_order, lambda x: x["m"]).alias("words")))
 
 
 def merged_ids(word: Column, vocabulary: Vocabulary) -> Column:
@@ -243,8 +241,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     ids = F.flatten(
         F.transform(
             "_pieces",
-            lambda piece: let(
-                F.encode(piece, "UTF-8"), lambda word: F.coalesce(found_in(table, word), merged_ids(word, vocabulary))
+            lambda piece: F.coalesce(
+                F.try_element_at(F.get(table, bucket_of(piece)), piece),
+                let(F.encode(piece, "UTF-8"), lambda word: merged_ids(word, vocabulary)),
             ),
         )
     )
