@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinloom import fixed
 from kinloom.functions import arrays as A
-from kinloom.operators.ordered import first_row, numbered
+from kinloom.operators.ordered import numbered
+from kinloom.session import settle
 
 
 def cohort_pool(pairs: DataFrame) -> DataFrame:
@@ -99,14 +102,23 @@ def batch_years(pairs: DataFrame, k: int = fixed.BATCH_YEARS, seed: int | None =
 
 
 def _block_scores(hm: np.ndarray, hw: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    """Scores of one block of left rows against one block of right rows."""
+    """Scores of one block of left rows against one block of right rows.
+
+    Features are added one by one in the order of ``arrays.linear_score``, so both give the
+    same number to the last bit.
+    """
     a, b, c, d = np.split(weights, 4)
-    out = (hm @ a)[:, None] + (hw @ b)[None, :] + (hm * d) @ hw.T + bias
-    if np.any(c):
-        for start in range(0, len(hm), 64):
-            part = hm[start : start + 64]
-            out[start : start + 64] += np.abs(part[:, None, :] - hw[None, :, :]) @ c
-    return out
+    from_left = np.zeros(len(hm))
+    for i, x in enumerate(a):
+        from_left = from_left + hm[:, i] * x
+    out = np.repeat(from_left[:, None], len(hw), axis=1)
+    for i, x in enumerate(b):
+        out += (hw[:, i] * x)[None, :]
+    for i, x in enumerate(c):
+        out += np.abs(hm[:, i][:, None] - hw[:, i][None, :]) * x
+    for i, x in enumerate(d):
+        out += hm[:, i][:, None] * hw[:, i][None, :] * x
+    return out + bias
 
 
 def score_cohorts(
@@ -123,9 +135,10 @@ def score_cohorts(
     ``left``/``right`` have (year, id, vec); the score is linear in
     [a, b, |a-b|, a*b]. Both sides are cut into blocks of about ``block`` rows. Every
     left block meets every right block of its year in one task, which returns for each
-    left row only its k best and the number of members that beat the true partner. The
-    block results are merged by an aggregate: all M x W scores are computed, as the
-    definition demands, but never emitted, shuffled or held together.
+    left row only its k best and the number of members that beat the true partner. Of the
+    block results a window keeps k per left row, so no list is longer: all M x W scores are
+    computed, as the definition demands, but never emitted, shuffled or held together.
+    Ties go by id: an equal score beats the true partner if its id is smaller.
 
     Returns (year, h, top: array of (score, w), true_w, true_score, rank_of_truth, n_pool).
     """
@@ -151,9 +164,12 @@ def score_cohorts(
             "true_score", F.when(F.col("_tv").isNotNull(), A.linear_score(features, list(w), bias))
         ).drop("_tv")
 
+    known = men.select("year", "h", "true_w", "true_score")
     # Fresh names for the block keys: both sides may come from the same table.
     men = men.join(blocks, "year").select(
-        F.col("year").alias("ly"), "h", "hv", "true_w", "true_score",
+        F.col("year").alias("ly"), "h", "hv", "true_score",
+        # As text: a missing partner would turn a column of numbers into floats.
+        F.col("true_w").cast("string").alias("true_w"),
         F.pmod(F.xxhash64("h"), F.col("nl")).cast("int").alias("lb"),
         F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("lr"),
     )
@@ -171,8 +187,6 @@ def score_cohorts(
             T.StructField("score", T.DoubleType()),
             T.StructField("n_better", T.LongType()),
             T.StructField("n_seen", T.LongType()),
-            T.StructField("true_w", id_type),
-            T.StructField("true_score", T.DoubleType()),
         ]
     )
 
@@ -182,9 +196,14 @@ def score_cohorts(
         rp = rp.sort_values("w", kind="stable").reset_index(drop=True)
         scores = _block_scores(np.stack(lp["hv"].to_list()), np.stack(rp["wv"].to_list()), w, bias)
         ids = rp["w"].to_numpy()
-        true_scores = lp["true_score"].to_numpy(dtype="float64")
-        others = ids[None, :] != lp["true_w"].to_numpy()[:, None]
-        better = ((scores > true_scores[:, None]) & others).sum(axis=1)
+        true_scores = lp["true_score"].to_numpy(dtype="float64")[:, None]
+        # Place of the true partner among the sorted ids; members before it win ties.
+        kind = ids.dtype.type if ids.dtype.kind in "iu" else str
+        at = np.array([0 if t is None else np.searchsorted(ids, kind(t)) for t in lp["true_w"]])[:, None]
+        own = np.array([None if t is None else kind(t) for t in lp["true_w"]], dtype=object)[:, None]
+        others = ids.astype(object)[None, :] != own
+        ahead = np.arange(len(ids))[None, :] < at
+        better = (((scores > true_scores) | ((scores == true_scores) & ahead)) & others).sum(axis=1)
         take = min(k, len(ids))
         order = np.argsort(-scores, axis=1, kind="stable")[:, :take]
         rows = np.repeat(np.arange(len(lp)), take)
@@ -197,30 +216,29 @@ def score_cohorts(
                 "score": scores[rows, order.ravel()],
                 "n_better": np.where(first, better[rows], 0),
                 "n_seen": np.where(first, len(ids), 0),
-                "true_w": lp["true_w"].to_numpy()[rows],
-                "true_score": true_scores[rows],
             },
             columns=schema.names,
         )
 
-    met = (
+    met = settle(
         men.groupBy("ly", "lb", "lr")
         .cogroup(women.groupBy("ry", "rl", "rb"))
         .applyInPandas(score_block, schema)
     )
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("_s"), F.col("w"))))
-    best = F.transform(
-        F.slice(ranked, 1, k), lambda x: F.struct((-x["_s"]).alias("score"), x["w"].alias("w"))
-    )
-    return met.groupBy("year", "h").agg(
-        best.alias("top"),
-        F.first("true_w").alias("true_w"),
-        F.first("true_score").alias("true_score"),
-        F.when(F.first("true_score").isNotNull() & ~F.isnan(F.first("true_score")), F.sum("n_better") + 1).alias(
-            "rank_of_truth"
-        ),
-        F.sum("n_seen").alias("n_pool"),
+    order = Window.partitionBy("year", "h").orderBy(F.desc("score"), "w")
+    kept = met.where(F.col("w").isNotNull()).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    tops = kept.groupBy("year", "h").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("_r", "score", "w"))), lambda x: F.struct(x["score"].alias("score"), x["w"].alias("w"))
+        ).alias("top")
     )
+    counts = met.groupBy("year", "h").agg(F.sum("n_better").alias("n_better"), F.sum("n_seen").alias("n_pool"))
+    out = tops.join(counts, ["year", "h"]).join(known, ["year", "h"], "left")
+    return out.select(
+        "year", "h", "top", "true_w", "true_score",
+        F.when(F.col("true_score").isNotNull() & ~F.isnan("true_score"), F.col("n_better") + 1).alias("rank_of_truth"),
+        "n_pool",
+    )
 
 
 def pair_vectors(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -251,6 +269,9 @@ def fit_pair_scorer(
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
+    # Only the cohorts that are judged are scored.
+    judged = validation.select("year").distinct()
+    left_judged, right_judged = left.join(judged, "year", "left_semi"), right.join(judged, "year", "left_semi")
     train = pair_vectors(examples, left, right).select(
         F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features")
     )
@@ -258,7 +279,7 @@ def fit_pair_scorer(
     for reg in reg_params:
         model = LogisticRegression(regParam=reg, maxIter=max_iter).fit(train)
         weights, bias = [float(c) for c in model.coefficients], float(model.intercept)
-        scored = score_cohorts(left, right, validation, weights, bias, k=1)
+        scored = score_cohorts(left_judged, right_judged, validation, weights, bias, k=1)
         recall = scored.agg(
             F.avg(F.when(F.col("rank_of_truth").isNotNull(), (F.col("rank_of_truth") == 1).cast("int")))
         ).first()[0]
@@ -278,7 +299,7 @@ def limit_left_entities(
     couples = pairs.select("h", "w").distinct()
     order = [F.col("h"), F.col("w")]
     if seed is not None:
-        order = [F.xxhash64(F.lit(seed), F.col("h"), F.col("w")), *order]
+        order = [F.md5(F.concat_ws("|", F.lit(seed), F.col("h"), F.col("w"))), *order]
     return couples.orderBy(*order).limit(max(1, budget // per_left))
 
 
@@ -289,6 +310,5 @@ def reference_sample(pairs: DataFrame, n: int = fixed.REFERENCE_SAMPLE, seed: in
     return train.orderBy(key, "h", "w", "year").limit(n)
 
 
-def first_pairs(pairs: DataFrame) -> DataFrame:
-    """First row per (h, w), by year."""
-    return first_row(pairs, ["h", "w"], ["year"], ["year"])
+# The functions that run in Python tasks travel with them, so executors need no copy of the package.
+register_pickle_by_value(sys.modules[__name__])

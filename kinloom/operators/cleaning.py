@@ -73,7 +73,12 @@ class CheckFailed(ValueError):
     """A check found rows that break the contract."""
 
 
-PAIR_COLUMNS = ("id", "husband_id", "wife_id", "label", "score", "score_gap")
+# The columns every pair of a scored cohort must have; of these, three may be empty.
+PAIR_COLUMNS = (
+    "id", "husband_id", "wife_id", "label", "score", "score_gap", "rank_of_true_wife", "hungarian_correct",
+    "lineage_husband", "lineage_wife", "same_lineage", "era", "patri_path_count", "z",
+)
+MAY_BE_NULL = ("rank_of_true_wife", "hungarian_correct", "score_gap")
 
 
 def validate_pairs(
@@ -82,17 +87,22 @@ def validate_pairs(
     numbers: Sequence[str] = ("score", "score_gap"),
     vector: str | None = "z",
     raise_on_error: bool = False,
+    cohort: Sequence[str] = (),
+    may_be_null: Sequence[str] = MAY_BE_NULL,
 ) -> DataFrame:
     """One row per rule of the pair contract: rule, number of offending rows, ok.
 
-    Rules: required columns exist and are not null, ids run from 0 without gaps, numbers
-    are finite, the vector is not empty, rank and correctness only on positives.
+    Rules: required columns exist, and hold no null unless they may; ids run from 0 without
+    gaps; numbers are finite; the vector is there and not empty; rank and correctness only on
+    positives. Ids are judged within each cohort (columns ``cohort``; by default those of
+    year and ablation that the table has), and offences are added up over cohorts.
     """
     columns = set(df.columns)
+    cohort = [c for c in (cohort or ("year", "ablation")) if c in columns]
     rules: dict[str, Column] = {}
+    absent = [name for name in dict.fromkeys([*required, *([vector] if vector else [])]) if name not in columns]
     for name in required:
-        rules[f"missing_column:{name}"] = F.lit(0 if name in columns else 1)
-        if name in columns:
+        if name in columns and name not in may_be_null:
             rules[f"null:{name}"] = F.count_if(F.col(name).isNull())
     for name in numbers:
         if name in columns:
@@ -102,7 +112,7 @@ def validate_pairs(
             )
     if "id" in columns:
         rules["id_range"] = (
-            F.coalesce(F.max("id") + 1, F.lit(0)) - F.count("id") + F.abs(F.coalesce(F.min("id"), F.lit(0)))
+            F.coalesce(F.max("id") + 1, F.lit(0)) - F.count_distinct("id") + F.abs(F.coalesce(F.min("id"), F.lit(0)))
         )
         rules["id_duplicates"] = F.count("id") - F.count_distinct("id")
     if vector and vector in columns:
@@ -114,18 +124,14 @@ def validate_pairs(
             rules[f"only_on_positives:{name}"] = F.count_if(
                 F.col(name).isNotNull() & (F.col("label") != 1)
             )
-    counted = df.agg(*[r.cast("bigint").alias(f"r{i}") for i, r in enumerate(rules.values())])
+    counted = df.groupBy(*cohort).agg(*[F.abs(r.cast("bigint")).alias(f"r{i}") for i, r in enumerate(rules.values())])
+    total = counted.agg(F.count("*").alias("_cohorts"), *[F.coalesce(F.sum(f"r{i}"), F.lit(0)).alias(f"r{i}") for i in range(len(rules))])
+    values = {f"missing_column:{name}": F.lit(int(name in absent)).cast("bigint") for name in dict.fromkeys([*required, *absent])}
+    values |= {name: F.col(f"r{i}") for i, name in enumerate(rules)}
     rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("rule"),
-                F.col(f"r{i}").alias("n_bad"),
-                (F.col(f"r{i}") == 0).alias("ok"),
-            )
-            for i, name in enumerate(rules)
-        ]
+        *[F.struct(F.lit(name).alias("rule"), n.alias("n_bad"), (n == 0).alias("ok")) for name, n in values.items()]
     )
-    report = counted.select(F.inline(rows))
+    report = total.select(F.inline(rows))
     if raise_on_error:
         bad = report.where(~F.col("ok")).collect()  # at most one row per rule
         if bad:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kinloom import fixed
 from kinloom.functions import scalars as S
 from kinloom.operators.cleaning import distinct_ids, known_ids_only
-from kinloom.operators.ordered import first_row, lagged
+from kinloom.operators.ordered import first_row, lagged, nulls_last
 
 
 @dataclass(frozen=True)
@@ -104,10 +104,10 @@ def first_direct_link(df: DataFrame, p: Panel = PANEL) -> DataFrame:
 def canonical_pairs(events: DataFrame) -> DataFrame:
     """One edge per unordered couple: the earliest event, directed husband -> wife.
 
-    Ties in the year are settled by method and person, so the result is the same in every run.
+    An event without a year makes no edge (``undated_events`` counts those). Ties in the year are settled by method and person, so the result is the same in every run.
     """
     male = F.col("sex") == fixed.MALE
-    directed = events.select(
+    directed = events.where(F.col("year").isNotNull()).select(
         F.least("person", "partner").alias("a"),
         F.greatest("person", "partner").alias("b"),
         F.when(male, F.col("person")).otherwise(F.col("partner")).alias("src"),
@@ -120,14 +120,24 @@ def canonical_pairs(events: DataFrame) -> DataFrame:
     return earliest.select("src", "dst", F.lit("r_hw").alias("rel"), "t")
 
 
-def marriage_edges(df: DataFrame, p: Panel = PANEL, persons: DataFrame | None = None) -> DataFrame:
-    """r_hw from transitions, first observations and direct links between known persons."""
-    known = persons if persons is not None else distinct_ids(df, p.person)
-    events = (
+def undated_events(events: DataFrame) -> DataFrame:
+    """How many events per method have no year, and so make no edge."""
+    return events.groupBy("method").agg(F.count_if(F.col("year").isNull()).alias("n_undated"), F.count("*").alias("n_events"))
+
+
+def marriage_events(df: DataFrame, p: Panel = PANEL) -> DataFrame:
+    """Events of all three kinds: transitions, first observations, direct links."""
+    return (
         status_transitions(df, p)
         .unionByName(first_observation_in_state(df, p))
         .unionByName(first_direct_link(df, p))
     )
+
+
+def marriage_edges(df: DataFrame, p: Panel = PANEL, persons: DataFrame | None = None) -> DataFrame:
+    """r_hw from transitions, first observations and direct links between known persons."""
+    known = persons if persons is not None else distinct_ids(df, p.person)
+    events = marriage_events(df, p)
     events = known_ids_only(events.where(F.col("partner").isNotNull()), "partner", known)
     return canonical_pairs(events)
 
@@ -142,7 +152,7 @@ def reference_rows(df: DataFrame, p: Panel = PANEL) -> DataFrame:
     candidates (first row at all, first row outside marriage) come from one aggregate;
     the person's first known sex then decides which one counts.
     """
-    order = F.struct(*p.row_order)
+    order = nulls_last(p.row_order)
     married = F.coalesce(F.col(p.status), F.lit(0)) == fixed.MARRIED
     row = F.struct(
         F.col(p.father).alias("father"), F.col(p.mother).alias("mother"), F.col(p.year).alias("year")
@@ -151,7 +161,7 @@ def reference_rows(df: DataFrame, p: Panel = PANEL) -> DataFrame:
         F.min_by(_whole(p.sex), F.when(F.col(p.sex).isNotNull(), order)).alias("sex"),
         F.min_by(_whole(p.birth), F.when(F.col(p.birth).isNotNull(), order)).alias("birth"),
         F.min_by(row, order).alias("_any"),
-        F.min_by(row, F.struct(married.cast("int").alias("_m"), *p.row_order)).alias("_own"),
+        F.min_by(row, F.struct(married.cast("int").alias("_m"), order.alias("_o"))).alias("_own"),
     )
     chosen = F.when(F.col("sex") == fixed.FEMALE, F.col("_own")).otherwise(F.col("_any"))
     return best.select(
@@ -168,7 +178,7 @@ def first_birth_year(df: DataFrame, p: Panel = PANEL) -> DataFrame:
     """First known birth year per person."""
     known = df.where(F.col(p.person).isNotNull() & F.col(p.birth).isNotNull())
     return known.groupBy(F.col(p.person).alias("person")).agg(
-        F.min_by(_whole(p.birth), F.struct(*p.row_order)).alias("birth")
+        F.min_by(_whole(p.birth), nulls_last(p.row_order)).alias("birth")
     )
 
 
@@ -286,7 +296,7 @@ def membership_edges_static_first(df: DataFrame, p: Panel = PANEL) -> DataFrame:
     """r_hc: household -> community; nulls are dropped first, then the first row is kept."""
     full = df.where(F.col(p.household).isNotNull() & F.col(p.village).isNotNull())
     first = full.groupBy(F.col(p.household).alias("src")).agg(
-        F.min_by(S.code_text(F.col(p.village)), F.struct(p.year, p.village)).alias("dst")
+        F.min_by(S.code_text(F.col(p.village)), nulls_last([p.year, p.village])).alias("dst")
     )
     return first.select("src", "dst", F.lit("r_hc").alias("rel"), F.lit(fixed.STATIC_TIME).alias("t"))
 

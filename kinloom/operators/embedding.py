@@ -41,8 +41,8 @@ def pca(df: DataFrame, k: int, vector: str = "vec", name: str = "pcs", scale: bo
 
 
 def landmarks_of(df: DataFrame, order: str, n: int, vector: str = "vec") -> DataFrame:
-    """The first n rows by key: a bounded set that the feature itself asks for."""
-    return df.orderBy(order).limit(n).select(F.col(order).alias("landmark"), A.as_doubles(F.col(vector)).alias("lv"))
+    """n rows in a hash order of the key: a bounded set that the feature itself asks for, spread over all ids."""
+    return df.orderBy(F.md5(F.col(order).cast("string")), order).limit(n).select(F.col(order).alias("landmark"), A.as_doubles(F.col(vector)).alias("lv"))
 
 
 def pairwise_distance(df: DataFrame, landmarks: DataFrame, key: str, vector: str = "vec") -> DataFrame:

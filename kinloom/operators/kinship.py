@@ -38,12 +38,14 @@ def first_parent(edges: DataFrame, relations: Sequence[str] = PATERNAL) -> DataF
 def root_ancestor(
     parents: DataFrame,
     nodes: DataFrame,
-    max_steps: int = fixed.LINEAGE_MAX_STEPS,
+    max_steps: int | None = None,
     unknown_if_rootless: bool = False,
 ) -> DataFrame:
-    """Most ancient ancestor per node within ``max_steps`` (a power of two), by pointer doubling.
+    """Most ancient ancestor per node, by pointer doubling.
 
-    Round r knows the ancestor 2^r steps up, so 64 steps take six self-joins. A node with
+    Round r knows the ancestor 2^r steps up; rounds end when nobody moves, or when as many
+    steps are known as there are nodes (that happens on cycles only). ``max_steps`` (a power of
+    two) cuts the walk on purpose: the root is then the ancestor so far. A node with
     no parent is its own root (or NULL with ``unknown_if_rootless``). On a parent cycle
     all members, and everybody below them, get the smallest id of the cycle. Returns
     (id, root, depth), depth being the number of steps walked.
@@ -62,18 +64,21 @@ def root_ancestor(
     def renamed(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
-    walked = 1
-    while walked < max_steps:
-        state = settle(state)
+    walked, limit = 1, max_steps or max(1, base.count())
+    state, moved = settle(state), True
+    while moved and walked < limit:
         state = state.join(renamed(state, "_"), F.col("up") == F.col("_id"), "left").select(
             "id",
             F.coalesce("_up", "up").alias("up"),
             (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
             F.least("low", "_low").alias("low"),
             F.greatest("high", "_high").alias("high"),
+            (F.coalesce("_up", "up") != F.col("up")).alias("moved"),
         )
+        state = settle(state)
+        moved = not state.where("moved").isEmpty()
+        state = state.drop("moved")
         walked *= 2
-    state = settle(state)
     # A walk that ends on a node with a parent ended inside a cycle, or the line is longer
     # than max_steps. Two walks in a row cover the same ids (equal low and high) only on a
     # cycle, since on a line they share just one node.

@@ -44,11 +44,15 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def nulls_last(order: Sequence[str]) -> Column:
+    """The order as one comparable struct in which a missing value comes after all others."""
+    return F.struct(*[part for c in order for part in (F.col(c).isNull().alias(f"_n_{c}"), F.col(c))])
+
+
 def first_row(df: DataFrame, group: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """First whole row per group: one aggregate with map-side combine, no window."""
-    picked = df.groupBy(*group).agg(
-        F.min_by(F.struct(*keep), F.struct(*order)).alias("_first")
-    )
+    """First whole row per group, rows without an order value last: one aggregate with
+    map-side combine, no window."""
+    picked = df.groupBy(*group).agg(F.min_by(F.struct(*keep), nulls_last(order)).alias("_first"))
     return picked.select(*group, *[F.col("_first")[c].alias(c) for c in keep])
 
 
@@ -147,16 +151,18 @@ def lagged(
 ) -> DataFrame:
     """The immediately previous row of the group as a struct column (NULL on the first).
 
+    Rows without an order value come last, as in ``first_row``.
+
     ``slice_by`` is a prefix of the order (default: its first column). Rows are lagged
     within (group, slice); the first row of a slice takes the last row of the slice
     before, found among one row per slice.
     """
     keys = list(slice_by) if slice_by else [order[0]]
-    inside = Window.partitionBy(*group, *keys).orderBy(*order)
-    across = Window.partitionBy(*group).orderBy(*keys)
+    inside = Window.partitionBy(*group, *keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    across = Window.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_last() for c in keys])
     local = df.withColumn("_lag", F.lag(F.struct(*fields)).over(inside))
     ends = df.groupBy(*group, *keys).agg(
-        F.max_by(F.struct(*fields), F.struct(*order)).alias("_end")
+        F.max_by(F.struct(*fields), nulls_last(order)).alias("_end")
     )
     ends = ends.withColumn("_carry", F.lag("_end").over(across)).drop("_end")
     joined = join_null_safe(local, ends, [*group, *keys], "left")

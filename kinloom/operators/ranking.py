@@ -154,7 +154,9 @@ def mutual_best(scores: DataFrame, left: Sequence[str] = ("year", "h"), right: S
 def list_matches(pairs: DataFrame, positives_only: bool = True, limit: int = 300) -> DataFrame:
     """The match list: filtered, best score first, with the kind of pair."""
     shown = pairs.where(F.col("label") == 1) if positives_only else pairs
-    return shown.withColumn("pair_type", S.pair_type(F.col("label"))).orderBy(F.desc("score"), "id").limit(limit)
+    return shown.withColumn("pair_type", S.pair_type(F.col("label"))).orderBy(
+        F.desc("score"), "id", *[c for c in ("year",) if c in pairs.columns]
+    ).limit(limit)
 
 
 def scored_pair_table(

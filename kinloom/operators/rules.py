@@ -246,9 +246,10 @@ def apply_directives(
     ).alias("_id"))
     hits = named.join(marks.where(F.col("_id") != "all"), [*key, "_id"]).drop("_id")
     every = marks.where(F.col("_id") == "all").drop("_id")
-    if key:
-        hits = hits.unionByName(base.join(every, key))
-    hits = hits.distinct()
+    # Without a key every card hears every such directive: the key is then one constant.
+    keyed = [F.col(k) for k in key] or [F.lit(0).alias("_k")]
+    to_all = base.select(*(["*"] if key else ["*", *keyed])).join(every.select("*", *([] if key else keyed)), key or ["_k"])
+    hits = hits.unionByName(to_all.select(hits.columns)).distinct()
     card = [*key, "candidate_id"]
     flags = hits.groupBy(*card).agg(
         F.bool_or(F.col("verb") == "eliminate").alias("eliminated"),

@@ -66,7 +66,7 @@ def _kmeans_auto(spark, sf):
 
 
 @query("pairwise_distance", """
-WITH m AS (SELECT vec_id AS landmark, embedding AS lv FROM embeddings ORDER BY vec_id LIMIT 20)
+WITH m AS (SELECT vec_id AS landmark, embedding AS lv FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 20)
 SELECT e.vec_id, m.landmark, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(embedding[i] AS DOUBLE) - CAST(lv[i] AS DOUBLE)) * (CAST(embedding[i] AS DOUBLE) - CAST(lv[i] AS DOUBLE))))), 4) AS distance
 FROM embeddings e, m""")
 def _pairwise_distance(spark, sf):
@@ -94,9 +94,11 @@ def _cluster_centroids(spark, sf):
     return rounded(H.cluster_centroids(unit_points(spark, sf), 12))
 
 
-@query("hex_grid", UNIT + "SELECT CAST(cell_id AS INTEGER) AS cell_id, CAST(q AS INTEGER) AS q, CAST(r AS INTEGER) AS r, round(cx, 4) AS cx, round(cy, 4) AS cy FROM cells")
+@query("hex_grid", UNIT + "SELECT CAST(cell_id AS INTEGER) AS cell_id, CAST(q AS INTEGER) AS q, CAST(r AS INTEGER) AS r, round(cx, 4) AS cx, round(cy, 4) AS cy, n_points FROM cell_stats")
 def _hex_grid(spark, sf):
-    return rounded(grid(spark))
+    """The grid with the number of points in each cell."""
+    held = placed(spark, sf).groupBy("q", "r").agg(F.count("*").alias("n_points"))
+    return rounded(grid(spark).join(held, ["q", "r"], "left").na.fill(0, ["n_points"]).select("cell_id", "q", "r", "cx", "cy", "n_points"))
 
 
 @query("hex_assign", UNIT + "SELECT id, CAST(q AS INTEGER) AS q, CAST(r AS INTEGER) AS r FROM placed")
@@ -133,11 +135,11 @@ def _cell_aggregates(spark, sf):
 
 
 @query("cluster_summary", UNIT + """
-SELECT cluster, count(*) AS n_cells, CAST(sum(n_points) AS BIGINT) AS n_points, CAST(min(cell_id) AS INTEGER) AS first_cell
+SELECT cluster, count(*) AS n_cells, CAST(sum(n_points) AS BIGINT) AS n_points, string_agg(CAST(cell_id AS VARCHAR), ',' ORDER BY cell_id) AS cells
 FROM cell_stats WHERE NOT empty GROUP BY cluster""")
 def _cluster_summary(spark, sf):
     out = H.cluster_summary(cell_stats(spark, sf))
-    return out.select("cluster", "n_cells", "n_points", F.col("cell_ids")[0].alias("first_cell"))
+    return out.select("cluster", "n_cells", "n_points", F.array_join("cell_ids", ",").alias("cells"))
 
 
 NEIGHBOR_SQL = UNIT + """,
@@ -146,9 +148,11 @@ near AS (
   WHERE (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) < 0.0052)"""
 
 
-@query("cell_neighbors", NEIGHBOR_SQL + "SELECT CAST(cell_id AS INTEGER) AS cell_id, CAST(neighbor_id AS INTEGER) AS neighbor_id FROM near")
+@query("cell_neighbors", NEIGHBOR_SQL + """SELECT CAST(n.cell_id AS INTEGER) AS cell_id, CAST(neighbor_id AS INTEGER) AS neighbor_id FROM near n
+JOIN cell_stats a ON a.cell_id = n.cell_id JOIN cell_stats b ON b.cell_id = n.neighbor_id WHERE NOT a.empty AND NOT b.empty""")
 def _cell_neighbors(spark, sf):
-    return H.cell_neighbors(grid(spark))
+    """Neighbours among the cells that hold points."""
+    return H.cell_neighbors(cell_stats(spark, sf).where(~F.col("empty")))
 
 
 @query("cluster_borders", NEIGHBOR_SQL + """

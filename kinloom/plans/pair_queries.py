@@ -109,7 +109,7 @@ def _candidate_pairs(spark, sf):
 
 @query("cohort_true_ranks", "WITH" + VECTOR_SCORES_SQL + """,
 t AS (SELECT c.year, c.h, c.true_w, x.score AS true_score FROM couples c JOIN crossed x ON x.year = c.year AND x.h = c.h AND x.w = c.true_w)
-SELECT x.year, x.h, t.true_w, 1 + count(*) FILTER (WHERE x.score > t.true_score AND x.w <> t.true_w) AS rank_of_truth, count(*) AS n_pool
+SELECT x.year, x.h, t.true_w, 1 + count(*) FILTER (WHERE x.score > t.true_score OR x.score = t.true_score AND x.w < t.true_w) AS rank_of_truth, count(*) AS n_pool
 FROM crossed x JOIN t ON t.year = x.year AND t.h = x.h GROUP BY ALL""")
 def _cohort_true_ranks(spark, sf):
     left, right, truth = V.vector_sides(spark, sf)
@@ -157,9 +157,9 @@ def _fit_pair_scorer(spark, sf):
 
 
 @query("limit_left_entities", WITH + """
-SELECT h, w FROM (SELECT DISTINCT h, true_w AS w FROM truth) ORDER BY h, w LIMIT 1000""")
+SELECT h, w FROM (SELECT DISTINCT h, true_w AS w FROM truth) ORDER BY md5('0|' || h || '|' || w), h, w LIMIT 1000""")
 def _limit_left(spark, sf):
-    return N.limit_left_entities(couples(V.scores(spark, sf)), 6000, 6, seed=None)
+    return N.limit_left_entities(couples(V.scores(spark, sf)), 6000, 6)
 
 
 @query("reference_sample")
@@ -251,10 +251,9 @@ def _assignment_correct(spark, sf):
 
 @query("list_matches", PAIRS + """
 SELECT year, id, husband_id, wife_id, score, CASE WHEN label = 1 THEN 'gt' ELSE 'pred' END AS pair_type
-FROM pair_table WHERE label = 1 AND year = 1998 ORDER BY score DESC, id LIMIT 300""")
+FROM pair_table WHERE label = 1 ORDER BY score DESC, id, year LIMIT 300""")
 def _list_matches(spark, sf):
-    pairs = V.pair_table(spark, sf).where(F.col("year") == 1998)
-    return R.list_matches(pairs).select("year", "id", "husband_id", "wife_id", "score", "pair_type")
+    return R.list_matches(V.pair_table(spark, sf)).select("year", "id", "husband_id", "wife_id", "score", "pair_type")
 
 
 @query("scored_pair_table", PAIRS + """
@@ -492,10 +491,9 @@ def _gap_distribution(spark, sf):
 @query("classify_outcome", PAIRS + """
 SELECT year, husband_id, CASE WHEN bool_or(label = 1 AND hungarian_correct) THEN 'correct' WHEN max(rank_of_true_wife) > 1 THEN 'wrong-wife'
   WHEN max(label) = 0 THEN 'negative-only' ELSE 'collision' END AS outcome
-FROM pair_table WHERE NOT (label = 1 AND h % 10 = 0) GROUP BY year, husband_id""")
+FROM pair_table GROUP BY year, husband_id""")
 def _classify_outcome(spark, sf):
-    pairs = V.pair_table(spark, sf).where(~((F.col("label") == 1) & (F.col("h") % 10 == 0)))
-    return M.classify_outcome(pairs)
+    return M.classify_outcome(V.pair_table(spark, sf))
 
 
 @query("breakdown_by", PAIRS + """
