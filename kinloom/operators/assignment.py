@@ -15,7 +15,7 @@ from kinloom.operators.ranking import mutual_best
 from kinloom.session import settle
 
 
-def assign_greedy(scores: DataFrame, group: Sequence[str] = ("year",), max_rounds: int = 10_000) -> DataFrame:
+def assign_greedy(scores: DataFrame, group: Sequence[str] = ("year",)) -> DataFrame:
     """Best pair first, until one side is used up.
 
     Each round takes all pairs that are each other's best and removes their members. The
@@ -26,23 +26,19 @@ def assign_greedy(scores: DataFrame, group: Sequence[str] = ("year",), max_round
     left, right = [*group, "h"], [*group, "w"]
     rest = settle(scores.select(*group, "h", "w", "score"))
     matched = None
-    for _ in range(max_rounds):
+    while True:
         found = settle(mutual_best(rest, left, right))
         if found.isEmpty():
-            break
+            return rest.limit(0) if matched is None else matched
         matched = found if matched is None else matched.unionByName(found)
         rest = settle(rest.join(found, left, "left_anti").join(found, right, "left_anti"))
-    else:
-        raise RuntimeError("greedy assignment did not finish; raise max_rounds")
-    return rest.limit(0) if matched is None else matched
 
 
 def assign_auction(
     scores: DataFrame,
     group: Sequence[str] = ("year",),
     epsilon: float | None = None,
-    outside: float | None = 0.0,
-    max_rounds: int = 10_000,
+    outside: float | None = None,
 ) -> DataFrame:
     """Assignment with the greatest total score, by auction (Bertsekas 1988).
 
@@ -50,15 +46,25 @@ def assign_auction(
     object offers for its best object what it gains over its second best, plus epsilon;
     an object goes to the highest offer. Prices start at zero, so objects nobody wanted
     stay at zero and the total is within (number of bidders) * epsilon of the optimum.
-    ``outside`` is the value of staying unmatched (None: everybody must be matched, which
-    needs a cohort where that is possible). The default epsilon is a 1/(4n) part of the
-    score range, n being the largest number of bidders.
+
+    ``outside`` is the score below which staying unmatched is better. By default a match is
+    worth its score plus the cohort's score range above its lowest score, whatever the sign:
+    on complete scores the whole smaller side is matched, and where scores are missing a pair
+    is given up only if that wins more elsewhere. The default epsilon is a 1/(4n) part of the
+    cohort's score range, n being its number of bidders. Prices only rise and never above the
+    largest value, so the rounds come to an end by themselves.
     """
     group = list(group)
     table = settle(scores.select(*group, "h", "w", F.col("score").cast("double").alias("score")))
     sides = table.groupBy(*group).agg(
-        F.count_distinct("h").alias("_nh"), F.count_distinct("w").alias("_nw")
+        F.count_distinct("h").alias("_nh"),
+        F.count_distinct("w").alias("_nw"),
+        F.min("score").alias("_low"),
+        (F.max("score") - F.min("score")).alias("_range"),
     )
+    step = F.greatest(F.col("_range") / (4.0 * F.least("_nh", "_nw")), F.lit(1e-9)) if epsilon is None else F.lit(float(epsilon))
+    # What a match is worth above staying unmatched.
+    worth = F.col("score") - F.lit(float(outside)) if outside is not None else F.col("score") - F.col("_low") + F.col("_range") + step
     swapped = F.col("_nw") < F.col("_nh")
     offers = settle(
         table.join(sides, group).select(
@@ -66,19 +72,15 @@ def assign_auction(
             swapped.alias("swapped"),
             F.when(swapped, F.col("w")).otherwise(F.col("h")).alias("bidder"),
             F.when(swapped, F.col("h")).otherwise(F.col("w")).alias("object"),
-            F.col("score").alias("value"),
+            "score",
+            worth.alias("value"),
+            step.alias("epsilon"),
         )
     )
-    if epsilon is None:
-        spread = table.agg(F.max("score"), F.min("score")).first()
-        bidders = sides.agg(F.max(F.least("_nh", "_nw"))).first()[0]
-        if bidders is None:
-            return table
-        epsilon = max((spread[0] - spread[1]) / (4.0 * bidders), 1e-9)
     bidder, item = [*group, "bidder"], [*group, "object"]
     owners = None  # (group, object, price, bidder)
     retired = None
-    for _ in range(max_rounds):
+    while True:
         open_offers = offers
         if owners is not None:
             open_offers = open_offers.join(owners, bidder, "left_anti")
@@ -93,24 +95,23 @@ def assign_auction(
         best_two = net.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 2)
         wishes = settle(
             best_two.groupBy(*bidder).agg(
-                F.max(F.when(F.col("_r") == 1, F.struct("net", "price", "object"))).alias("b"),
+                F.max(F.when(F.col("_r") == 1, F.struct("net", "price", "object", "epsilon"))).alias("b"),
                 F.max(F.when(F.col("_r") == 2, F.col("net"))).alias("second"),
             )
         )
         if wishes.isEmpty():
             break
-        if outside is not None:
-            gone = wishes.where(F.col("b")["net"] < outside).select(*bidder)
+        # Who gains nothing from any object stays out; nobody pays more than that leaves.
+        gone = wishes.where(F.col("b")["net"] < 0).select(*bidder)
+        if not gone.isEmpty():
             retired = settle(gone if retired is None else retired.unionByName(gone))
-            wishes = wishes.where(F.col("b")["net"] >= outside)
-            second = F.greatest(F.coalesce("second", F.lit(float(outside))), F.lit(float(outside)))
-        else:
-            second = F.coalesce("second", F.col("b")["net"])
+            wishes = wishes.where(F.col("b")["net"] >= 0)
+        second = F.greatest(F.coalesce("second", F.lit(0.0)), F.lit(0.0))
         bids = wishes.select(
             *group,
             F.col("b")["object"].alias("object"),
             "bidder",
-            (F.col("b")["price"] + F.col("b")["net"] - second + F.lit(epsilon)).alias("price"),
+            (F.col("b")["price"] + F.col("b")["net"] - second + F.col("b")["epsilon"]).alias("price"),
         )
         contest = bids if owners is None else bids.unionByName(owners)
         # Higher price wins; a standing owner never beats a new bid, which is higher by epsilon.
@@ -120,8 +121,6 @@ def assign_auction(
             .select(*group, F.col("_w")["bidder"].alias("bidder"), "object", F.col("_w")["price"].alias("price"))
             .select(*group, "object", "bidder", "price")
         )
-    else:
-        raise RuntimeError("auction did not finish; raise max_rounds or epsilon")
     if owners is None:
         return table.limit(0)
     won = offers.join(owners.drop("price"), [*group, "bidder", "object"])
@@ -129,7 +128,7 @@ def assign_auction(
         *group,
         F.when(F.col("swapped"), F.col("object")).otherwise(F.col("bidder")).alias("h"),
         F.when(F.col("swapped"), F.col("bidder")).otherwise(F.col("object")).alias("w"),
-        F.col("value").alias("score"),
+        "score",
     )
 
 

@@ -242,6 +242,25 @@ def _assign_auction(spark, sf):
     return G.assign_one_to_one(V.scores(spark, sf), "auction")
 
 
+@query("assign_check", WITH + """
+SELECT year, true AS h_once, true AS w_once, true AS beats_mutual_best FROM scores GROUP BY year""")
+def _assign_check(spark, sf):
+    """Nobody is matched twice, and the total is at least that of the pairs that prefer each other."""
+    scores = V.scores(spark, sf)
+    parts = {"a": G.assign_one_to_one(scores, "auction"), "m": R.mutual_best(scores)}
+    sums = [
+        df.groupBy("year").agg(
+            F.sum("score").alias(f"{k}_total"),
+            (F.count("*") == F.count_distinct("h")).alias(f"{k}_h"),
+            (F.count("*") == F.count_distinct("w")).alias(f"{k}_w"),
+        )
+        for k, df in parts.items()
+    ]
+    return sums[0].join(sums[1], "year").select(
+        "year", F.col("a_h").alias("h_once"), F.col("a_w").alias("w_once"), (F.col("a_total") >= F.col("m_total")).alias("beats_mutual_best")
+    )
+
+
 @query("assignment_correct", PAIRS + """
 SELECT t.year, t.h, t.true_w, coalesce(m.w = t.true_w, false) AS correct FROM truth t LEFT JOIN mutual m ON m.year = t.year AND m.h = t.h""")
 def _assignment_correct(spark, sf):

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinloom.operators import assignment as G
 from kinloom.operators import candidates as N
 from kinloom.operators import cleaning as C
 from kinloom.operators import edges as E
@@ -93,3 +94,12 @@ def test_directive_to_all_without_key(spark):
     orders = spark.createDataFrame([(0, "boost @c-all"), (1, "penalise @c-2")], "seq int, text string")
     done = {r["candidate_id"]: r["target_score"] for r in U.apply_directives(cards, U.parse_directives(orders)).collect()}
     assert done == {"1": 5.5, "2": 5.0}
+
+
+def test_assignment_matches_everybody_whatever_the_sign(spark):
+    rows = [(1, 0, 0, -1.0), (1, 0, 1, -2.0), (1, 1, 0, -3.0), (1, 1, 1, 0.5), (2, 0, 0, -9.0)]
+    scores = spark.createDataFrame(rows, "year int, h long, w long, score double")
+    got = sorted((r["year"], r["h"], r["w"], r["score"]) for r in G.assign_one_to_one(scores).collect())
+    assert got == [(1, 0, 0, -1.0), (1, 1, 1, 0.5), (2, 0, 0, -9.0)]
+    assert G.assign_one_to_one(scores, outside=0.0).count() == 1
+    assert G.assign_one_to_one(scores.limit(0)).collect() == []
