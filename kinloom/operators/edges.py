@@ -19,6 +19,7 @@ from kinloom import fixed
 from kinloom.functions import scalars as S
 from kinloom.operators.cleaning import distinct_ids, known_ids_only
 from kinloom.operators.ordered import first_row, lagged, nulls_last
+from kinloom.session import settle
 
 
 @dataclass(frozen=True)
@@ -54,6 +55,42 @@ def _whole(column: str | Column) -> Column:
     return column.cast("int")
 
 
+# -- facts per person -------------------------------------------------------------------
+
+
+def person_facts(df: DataFrame, p: Panel = PANEL) -> DataFrame:
+    """What edges need of a person's rows, from one aggregate over the panel.
+
+    ``first``: the first row; ``link``: a male's first row that names a partner; ``any`` and
+    ``own``: the first row, and the first outside marriage, for the parents; the first known
+    sex and birth year. ``build_edges`` stores it once, so the panel is not read for each.
+    """
+    order = nulls_last(p.row_order)
+    married = F.coalesce(F.col(p.status), F.lit(0)) == fixed.MARRIED
+    names_partner = (F.col(p.sex) == fixed.MALE) & F.col(p.wife).isNotNull()
+    events = [F.col(c).alias(n) for n, c in (("year", p.year), ("sex", p.sex), ("wife", p.wife), ("husband", p.husband))]
+    row = F.struct(F.col(p.father).alias("father"), F.col(p.mother).alias("mother"), F.col(p.year).alias("year"))
+    return df.where(F.col(p.person).isNotNull()).groupBy(F.col(p.person).alias("person")).agg(
+        F.min_by(F.struct(*events, F.col(p.status).alias("status"), F.col(p.region).alias("region")), order).alias("first"),
+        F.min_by(F.struct(*events), F.when(names_partner, order)).alias("link"),
+        F.min_by(_whole(p.sex), F.when(F.col(p.sex).isNotNull(), order)).alias("sex"),
+        F.min_by(_whole(p.birth), F.when(F.col(p.birth).isNotNull(), order)).alias("birth"),
+        F.min_by(row, order).alias("any"),
+        F.min_by(row, F.struct(married.cast("int").alias("_m"), order.alias("_o"))).alias("own"),
+    )
+
+
+def _fact_events(facts: DataFrame, field: str, method: int) -> DataFrame:
+    x = F.col(field)
+    return facts.select(
+        "person",
+        _whole(x["sex"]).alias("sex"),
+        S.pick_partner(_whole(x["sex"]), x["wife"], x["husband"]).alias("partner"),
+        x["year"].cast("int").alias("year"),
+        F.lit(method).alias("method"),
+    )
+
+
 # -- partnership ----------------------------------------------------------------------
 
 
@@ -84,21 +121,18 @@ def status_transitions(df: DataFrame, p: Panel = PANEL, to: int = fixed.MARRIED)
     return _events(changed, p, S.floor_midpoint(F.col("_prev")[p.year], F.col(p.year)), 1)
 
 
-def first_observation_in_state(df: DataFrame, p: Panel = PANEL, to: int = fixed.MARRIED) -> DataFrame:
+def first_observation_in_state(
+    df: DataFrame, p: Panel = PANEL, to: int = fixed.MARRIED, facts: DataFrame | None = None
+) -> DataFrame:
     """Persons already in the state on their very first row."""
-    keep = [p.year, p.status, p.sex, p.wife, p.husband]
-    first = first_row(df.where(F.col(p.person).isNotNull()), [p.person], p.row_order, keep)
-    held = first.where((F.col(p.status) == to) & F.col(p.sex).isNotNull())
-    return _events(held, p, F.col(p.year), 2)
+    facts = person_facts(df, p) if facts is None else facts
+    return _fact_events(facts.where((F.col("first.status") == to) & F.col("first.sex").isNotNull()), "first", 2)
 
 
-def first_direct_link(df: DataFrame, p: Panel = PANEL) -> DataFrame:
+def first_direct_link(df: DataFrame, p: Panel = PANEL, facts: DataFrame | None = None) -> DataFrame:
     """First row per male that names a partner."""
-    named = df.where(
-        F.col(p.person).isNotNull() & (F.col(p.sex) == fixed.MALE) & F.col(p.wife).isNotNull()
-    )
-    first = first_row(named, [p.person], p.row_order, [p.year, p.sex, p.wife, p.husband])
-    return _events(first, p, F.col(p.year), 3)
+    facts = person_facts(df, p) if facts is None else facts
+    return _fact_events(facts.where(F.col("link").isNotNull()), "link", 3)
 
 
 def canonical_pairs(events: DataFrame) -> DataFrame:
@@ -125,19 +159,21 @@ def undated_events(events: DataFrame) -> DataFrame:
     return events.groupBy("method").agg(F.count_if(F.col("year").isNull()).alias("n_undated"), F.count("*").alias("n_events"))
 
 
-def marriage_events(df: DataFrame, p: Panel = PANEL) -> DataFrame:
+def marriage_events(df: DataFrame, p: Panel = PANEL, facts: DataFrame | None = None) -> DataFrame:
     """Events of all three kinds: transitions, first observations, direct links."""
     return (
         status_transitions(df, p)
-        .unionByName(first_observation_in_state(df, p))
-        .unionByName(first_direct_link(df, p))
+        .unionByName(first_observation_in_state(df, p, facts=facts))
+        .unionByName(first_direct_link(df, p, facts))
     )
 
 
-def marriage_edges(df: DataFrame, p: Panel = PANEL, persons: DataFrame | None = None) -> DataFrame:
+def marriage_edges(
+    df: DataFrame, p: Panel = PANEL, persons: DataFrame | None = None, facts: DataFrame | None = None
+) -> DataFrame:
     """r_hw from transitions, first observations and direct links between known persons."""
     known = persons if persons is not None else distinct_ids(df, p.person)
-    events = marriage_events(df, p)
+    events = marriage_events(df, p, settle(person_facts(df, p)) if facts is None else facts)
     events = known_ids_only(events.where(F.col("partner").isNotNull()), "partner", known)
     return canonical_pairs(events)
 
@@ -145,26 +181,16 @@ def marriage_edges(df: DataFrame, p: Panel = PANEL, persons: DataFrame | None =
 # -- kinship --------------------------------------------------------------------------
 
 
-def reference_rows(df: DataFrame, p: Panel = PANEL) -> DataFrame:
+def reference_rows(df: DataFrame, p: Panel = PANEL, facts: DataFrame | None = None) -> DataFrame:
     """Best row per person for the parent columns, with sex and first known birth year.
 
     Rows of a married woman name her in-laws, so they rank behind all other rows. Both
     candidates (first row at all, first row outside marriage) come from one aggregate;
     the person's first known sex then decides which one counts.
     """
-    order = nulls_last(p.row_order)
-    married = F.coalesce(F.col(p.status), F.lit(0)) == fixed.MARRIED
-    row = F.struct(
-        F.col(p.father).alias("father"), F.col(p.mother).alias("mother"), F.col(p.year).alias("year")
-    )
-    best = df.where(F.col(p.person).isNotNull()).groupBy(F.col(p.person).alias("person")).agg(
-        F.min_by(_whole(p.sex), F.when(F.col(p.sex).isNotNull(), order)).alias("sex"),
-        F.min_by(_whole(p.birth), F.when(F.col(p.birth).isNotNull(), order)).alias("birth"),
-        F.min_by(row, order).alias("_any"),
-        F.min_by(row, F.struct(married.cast("int").alias("_m"), order.alias("_o"))).alias("_own"),
-    )
-    chosen = F.when(F.col("sex") == fixed.FEMALE, F.col("_own")).otherwise(F.col("_any"))
-    return best.select(
+    facts = person_facts(df, p) if facts is None else facts
+    chosen = F.when(F.col("sex") == fixed.FEMALE, F.col("own")).otherwise(F.col("any"))
+    return facts.select(
         "person",
         "sex",
         "birth",
@@ -301,29 +327,34 @@ def membership_edges_static_first(df: DataFrame, p: Panel = PANEL) -> DataFrame:
     return first.select("src", "dst", F.lit("r_hc").alias("rel"), F.lit(fixed.STATIC_TIME).alias("t"))
 
 
-def membership_edges_first_row(df: DataFrame, p: Panel = PANEL) -> DataFrame:
+def membership_edges_first_row(df: DataFrame, p: Panel = PANEL, facts: DataFrame | None = None) -> DataFrame:
     """r_cb: person -> banner; the first row is kept first, then nulls are dropped."""
-    first = first_row(df.where(F.col(p.person).isNotNull()), [p.person], p.row_order, [p.region])
-    return first.where(F.col(p.region).isNotNull()).select(
-        F.col(p.person).alias("src"),
-        S.code_text(F.col(p.region)).alias("dst"),
+    facts = person_facts(df, p) if facts is None else facts
+    return facts.where(F.col("first.region").isNotNull()).select(
+        F.col("person").alias("src"),
+        S.code_text(F.col("first.region")).alias("dst"),
         F.lit("r_cb").alias("rel"),
         F.lit(fixed.STATIC_TIME).alias("t"),
     )
 
 
 def build_edges(df: DataFrame, p: Panel = PANEL, persons: DataFrame | None = None) -> DataFrame:
-    """All nine relations as one table; write it partitioned by ``rel``."""
-    known = persons if persons is not None else distinct_ids(df, p.person)
-    refs = reference_rows(df, p)
+    """All nine relations as one table; write it partitioned by ``rel``.
+
+    The panel is read five times: for the facts per person, which are stored, twice for the
+    status transitions, and for the two household relations.
+    """
+    facts = settle(person_facts(df, p))
+    known = persons if persons is not None else facts.select(F.col("person").cast("string").alias("id"))
+    refs = reference_rows(df, p, facts)
     parts = [
-        marriage_edges(df, p, known),
+        marriage_edges(df, p, known, facts),
         parent_child_edges(refs, "father", known, "r_fs", "r_fd"),
         parent_child_edges(refs, "mother", known, "r_ms", "r_md"),
         sibling_links(refs, known),
         membership_edges_timed(df, p),
         membership_edges_static_first(df, p),
-        membership_edges_first_row(df, p),
+        membership_edges_first_row(df, p, facts),
     ]
     out = parts[0]
     for part in parts[1:]:
