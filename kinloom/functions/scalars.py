@@ -13,10 +13,6 @@ from kinloom import fixed
 _WHITESPACE = " \t\n\r\x0b\x0c"
 
 
-def as_column(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
-
-
 def null_if_coded(
     column: Column, dtype: T.DataType, codes: Iterable = fixed.MISSING_CODES
 ) -> Column:
@@ -123,15 +119,6 @@ def score_band(score: Column) -> Column:
     )
 
 
-def pair_outcome_class(label: Column, correct: Column) -> Column:
-    """Row class of a pair: right or wrong positive, empty text otherwise."""
-    return (
-        F.when((label == 1) & correct, "pos-correct")
-        .when((label == 1) & ~correct, "pos-wrong")
-        .otherwise("")
-    )
-
-
 def pair_type(label: Column) -> Column:
     return F.when(label == 1, "gt").otherwise("pred")
 

@@ -190,16 +190,26 @@ def _text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("?"))
 
 
-def render_prompts(candidates: DataFrame, rules: str = "", keys: Sequence[str] = ("year", "h")) -> DataFrame:
-    """One text per left entity: own profile, rules, and its candidates in rank order.
+def render_prompts(
+    candidates: DataFrame,
+    rules: str = "",
+    keys: Sequence[str] = ("year", "h"),
+    hints: DataFrame | None = None,
+    order: str = "ts",
+) -> DataFrame:
+    """One text per left entity: own profile, rules, hints, and its candidates in rank order.
 
-    ``candidates`` holds the few kept candidates per entity (``candidates_with_profiles``).
+    ``candidates`` holds the few kept candidates per entity (``candidates_with_profiles``); a
+    text column ``motif`` of it ends each candidate's line. ``hints`` has (h, order, role, text);
+    an entity's hints, few as they are typed by hand, follow the rules in their order.
     """
     line = F.format_string(
         "- candidate %s: sex=%s, born=%s, banner=%s, community=%s, household=%s, pre_score=%.2f",
         F.col("w").cast("string"), _text("c_sex"), _text("c_birth_year"), _text("c_banner_id"),
         _text("c_community_id"), _text("c_household_id"), F.col("score").cast("double"),
     )
+    if "motif" in candidates.columns:
+        line = F.concat(line, F.coalesce(F.concat(F.lit(", motif="), F.col("motif")), F.lit("")))
     own = F.format_string(
         PROFILE_LINES, F.col("h").cast("string"), _text("t_sex"), _text("t_birth_year"),
         _text("t_banner_id"), _text("t_community_id"), _text("t_household_id"),
@@ -211,8 +221,14 @@ def render_prompts(candidates: DataFrame, rules: str = "", keys: Sequence[str] =
     )
     lines = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
     intro = F.lit(f"{rules}\n" if rules else "")
+    told = F.lit("")
+    if hints is not None:
+        per = hint_lines(hints, "h", order).groupBy("h").agg(F.sort_array(F.collect_list(F.struct(order, "line"))).alias("_hints"))
+        grouped = grouped.join(per, "h", "left")
+        listed = F.array_join(F.transform("_hints", lambda x: x["line"]), "\n")
+        told = F.coalesce(F.concat(F.lit("Hints:\n"), listed, F.lit("\n")), F.lit(""))
     return grouped.select(
-        *keys, "n_candidates", F.concat(F.col("_own"), intro, F.lit("Candidates:\n"), lines).alias("prompt")
+        *keys, "n_candidates", F.concat(F.col("_own"), intro, told, F.lit("Candidates:\n"), lines).alias("prompt")
     )
 
 

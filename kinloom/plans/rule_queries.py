@@ -243,19 +243,32 @@ def _parse_evaluations(spark, sf):
     return A.parse_evaluations(answers.select("year", "h", answer.alias("answer")), rows)
 
 
-@query("render_prompts", RULES + """
-SELECT year, h, count(*) AS n_candidates,
-  'You are person ' || h || '.' || chr(10) || '- sex: ' || coalesce(max(ts), '?') || chr(10) || '- born: ' || coalesce(CAST(max(ty) AS VARCHAR), '?') || chr(10)
+PROMPT_SQL = """
+SELECT year, p.h, count(*) AS n_candidates,
+  'You are person ' || p.h || '.' || chr(10) || '- sex: ' || coalesce(max(ts), '?') || chr(10) || '- born: ' || coalesce(CAST(max(ty) AS VARCHAR), '?') || chr(10)
   || '- banner: ' || coalesce(CAST(max(tb) AS VARCHAR), '?') || chr(10) || '- community: ' || coalesce(CAST(max(tc) AS VARCHAR), '?') || chr(10)
-  || '- household: ' || coalesce(max(th), '?') || chr(10) || 'Rules.' || chr(10) || 'Candidates:' || chr(10)
+  || '- household: ' || coalesce(max(th), '?') || chr(10) || 'Rules.' || chr(10) || {told} || 'Candidates:' || chr(10)
   || string_agg('- candidate ' || w || ': sex=' || coalesce(cs, '?') || ', born=' || coalesce(CAST(cy AS VARCHAR), '?') || ', banner=' || coalesce(CAST(cb AS VARCHAR), '?')
      || ', community=' || coalesce(CAST(cc AS VARCHAR), '?') || ', household=' || coalesce(ch, '?') || ', pre_score=' || printf('%.2f', round(score, 1) + 0.0), chr(10) ORDER BY rank) AS prompt
-FROM prof GROUP BY year, h""")
+FROM prof p {join} GROUP BY year, p.h"""
+
+
+@query("render_prompts", RULES + PROMPT_SQL.replace("{told}", "''").replace("{join}", ""))
 def _render_prompts(spark, sf):
     rows = candidates(spark, sf).withColumn("score", F.round("score", 1))
     return A.render_prompts(rows, "Rules.")
 
 
+@query("render_prompts_hints", RULES + """,
+told AS (SELECT CAST(conv_id AS VARCHAR) AS h, 'Hints:' || chr(10) || string_agg('  - [' || role || '] ' || text, chr(10) ORDER BY turn) || chr(10) AS t
+  FROM conversations GROUP BY conv_id)""" + PROMPT_SQL.replace("{told}", "coalesce(max(t), '')").replace("{join}", "LEFT JOIN told ON told.h = p.h"))
+def _render_prompts_hints(spark, sf):
+    """Turns of a conversation as the hints of the entity with its number."""
+    rows = candidates(spark, sf).withColumn("score", F.round("score", 1))
+    hints = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("h"), "turn", "role", "text")
+    return A.render_prompts(rows, "Rules.", hints=hints, order="turn")
+
+
 VERB_SQL = """
 talk AS (SELECT conv_id, turn, ['boost', 'Penalize', 'eliminate', 'accept'][conv_id % 4 + 1] || ' @c-P' || conv_id || ' and @c-' || turn || ' @c-P' || conv_id || ' ' || text AS text FROM conversations)"""
 
