@@ -213,6 +213,14 @@ def macro(spark, sf, years=None):
     return M.macro_table(prices(spark, sf), disasters(spark, sf), *MONTHS, STARTS, years)
 
 
+@query("yearly_mean", """
+SELECT CAST(year(l_shipdate) AS INTEGER) AS YEAR, round((l_extendedprice + l_tax) / 2, 4) AS grain_price FROM lineitem""")
+def _yearly_mean(spark, sf):
+    """A yearly price source with several price columns, one row per source row."""
+    lines = table(spark, sf, "lineitem").withColumn("YEAR", F.year("l_shipdate"))
+    return rounded(M.yearly_mean(lines, ["l_extendedprice", "l_tax", "absent"]))
+
+
 @query("macro_table", "WITH" + MACRO_SQL + f"SELECT YEAR, {MACRO_COLUMNS_SQL} FROM macro")
 def _macro_table(spark, sf):
     return rounded(macro(spark, sf))

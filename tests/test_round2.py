@@ -103,3 +103,17 @@ def test_assignment_matches_everybody_whatever_the_sign(spark):
     assert got == [(1, 0, 0, -1.0), (1, 1, 1, 0.5), (2, 0, 0, -9.0)]
     assert G.assign_one_to_one(scores, outside=0.0).count() == 1
     assert G.assign_one_to_one(scores.limit(0)).collect() == []
+
+
+def test_learning_curve_of_one_moment(spark):
+    """All events at the same second: ranges of the order still cut them."""
+    from datetime import datetime
+
+    from kinloom.operators import live as X
+
+    at = datetime(2024, 1, 1)
+    rows = [(1, "a", str(i), "w", at, i) for i in range(500)]
+    log = spark.createDataFrame(rows, "year int, ablation string, husband_id string, wife_id string, ts timestamp, seq long")
+    truth = spark.createDataFrame([(str(i), "w" if i % 2 else "x") for i in range(0, 500, 5)], "husband_id string, true_wife_id string")
+    got = {r["seq"]: (r["n_accepted"], r["n_eligible"], r["n_correct"]) for r in X.learning_curve(log, truth).collect()}
+    assert got == {i: (i + 1, i // 5 + 1, (i // 5 + 1) // 2) for i in range(500)}
