@@ -103,7 +103,9 @@ def test_roots_lines_cycles_and_depth(spark, rows):
     got = {r["id"]: (r["root"], r["depth"]) for r in K.root_ancestor(parents, nodes).collect()}
     assert got["alone"] == ("alone", 0)
     assert got["90"] == ("100", 10) and got["36"] == ("100", 64)
-    assert got["0"] == ("64", 64)  # the walk ends after 64 steps
+    assert got["0"] == ("100", 100)
+    cut = {r["id"]: (r["root"], r["depth"]) for r in K.root_ancestor(parents, nodes, max_steps=64).collect()}
+    assert cut["0"] == ("64", 64)  # a walk that is told to end after 64 steps
     assert {got[i][0] for i in "abcx"} == {"a"}
     unknown = K.root_ancestor(parents, nodes, unknown_if_rootless=True).where("id = 'alone'").first()
     assert unknown["root"] is None
