@@ -157,6 +157,21 @@ def kin_profile(edges: DataFrame) -> DataFrame:
     )
 
 
+def kin_violations(edges: DataFrame) -> DataFrame:
+    """How many people break what kin counts take for granted: one father, one family, not one's own.
+
+    Edges of ``build_edges`` break none of it. Where another source does, ``kin_profile`` goes on
+    with the smallest father and family id.
+    """
+    father = edges.where(F.col("rel").isin(list(PATERNAL))).groupBy("dst").agg(
+        F.count_distinct("src").alias("n"), F.bool_or(F.col("src") == F.col("dst")).alias("own")
+    )
+    family = edges.where(F.col("rel") == "r_sib").groupBy("src").agg(F.count_distinct("dst").alias("n"))
+    return father.agg(
+        F.count_if(F.col("n") > 1).alias("several_fathers"), F.count_if("own").alias("own_father")
+    ).withColumn("several_families", family.agg(F.count_if(F.col("n") > 1)).scalar())
+
+
 def _profiled(pairs: DataFrame, profile: DataFrame, a: str, b: str) -> DataFrame:
     out = pairs
     for side, column in (("a", a), ("b", b)):

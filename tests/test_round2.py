@@ -117,3 +117,10 @@ def test_learning_curve_of_one_moment(spark):
     truth = spark.createDataFrame([(str(i), "w" if i % 2 else "x") for i in range(0, 500, 5)], "husband_id string, true_wife_id string")
     got = {r["seq"]: (r["n_accepted"], r["n_eligible"], r["n_correct"]) for r in X.learning_curve(log, truth).collect()}
     assert got == {i: (i + 1, i // 5 + 1, (i // 5 + 1) // 2) for i in range(500)}
+
+
+def test_kin_violations(spark, undated):
+    rows = [("f1", "c", "r_fs", 1), ("f2", "c", "r_fs", 1), ("x", "x", "r_fd", 1), ("c", "f1", "r_sib", 1), ("c", "f2", "r_sib", 1)]
+    edges = spark.createDataFrame(rows, "src string, dst string, rel string, t int")
+    assert K.kin_violations(edges).first().asDict() == {"several_fathers": 1, "own_father": 1, "several_families": 1}
+    assert set(K.kin_violations(E.build_edges(undated)).first().asDict().values()) == {0}
