@@ -157,7 +157,10 @@ def count_tokens(docs: DataFrame, cache: TokenCache, path: str = TOKENIZER, limi
     )
     counted = fetched.mapInPandas(lambda batches: encoded_counts(batches, definition), "sha binary, n_tokens long")
     cache.append(counted, tokenizer)
-    return rows.join(cache.counts(tokenizer), "sha").select(
+    # One row per content is stored first: then the join with the rows is plain, and a content
+    # that many rows share is split over tasks at run time.
+    counts = settled(distinct.select("sha").join(cache.counts(tokenizer), "sha"))
+    return rows.join(counts, "sha").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
 
