@@ -6,6 +6,8 @@ identifiers of a document is then matched against ordered rules, each naming a l
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,31 +115,95 @@ def _normalised(sentence: Column) -> Column:
     return F.trim(plain)
 
 
+# A sentence of the splitter ends within these sentences: their parts between the marks that
+# some standard text has there (; : or the point of "v."). Another text may have a comma instead.
+GRANT = ("this program is free software", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation")
+PARTS = {
+    "gpl.grant2": (*GRANT, "either version 2 of the license or at your option any later version"),
+    "gpl.grant3": (*GRANT, "either version 3 of the license or at your option any later version"),
+    "gpl.hope": (
+        "this program is distributed in the hope that it will be useful but without any warranty",
+        "without even the implied warranty of merchantability or fitness for a particular purpose",
+    ),
+    "mpl.grant": ("this source code form is subject to the terms of the mozilla public license v", "2 0"),
+}
+# Names with a suffix of SPDX; the bare name tells nothing of later versions.
+SUFFIXED = {
+    f"{name}-{suffix}": f"{name} {suffix}".lower().replace("-", " ").replace(".", " ")
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+    for suffix in ("only", "or-later")
+}
+ALL_RULES = (*RULES, *((name, (f"names.{name}",)) for name in SUFFIXED))
+SPDX = "spdx license identifier "
+# As NOTICES, but a line of a licence's text may begin with "copyright notice" or "copyright holder".
+NAMED_NOTICES = r"(?im)^[ \t]*(?:copyright(?![ \t]+(?:notice|holder|owner)s?\b(?!:))|\(c\)|©)[^\n]*$"
+PLUS = r"(?i)\b([AL]?GPL-[0-9.]*[0-9])\+"
+
+
+def cut_sentences() -> tuple[dict[str, str], list[tuple[str, str]]]:
+    """Pieces of known sentences with their marks, and the runs of marks that are a whole sentence."""
+    pieces: dict[str, str] = {}
+    runs = []
+    for name, parts in PARTS.items():
+        for cuts in itertools.product((True, False), repeat=len(parts) - 1):
+            if not any(cuts):
+                continue
+            joined = [parts[0]]
+            for cut, part in zip(cuts, parts[1:]):
+                joined = [*joined, part] if cut else [*joined[:-1], f"{joined[-1]} {part}"]
+            runs.append(("".join(pieces.setdefault(x, f"<?{len(pieces)}>") for x in joined), f"<{name}>"))
+    return pieces, runs
+
+
 def identifiers(docs: DataFrame) -> DataFrame:
-    """doc_id and the identifiers of known sentences in order, as a line of <..>, in two readings:
-    ``by_line`` takes each line alone, ``wrapped`` reads on over line breaks."""
-    known = known_sentences()
+    """doc_id and ``ids``, the identifiers of known sentences in order, as a line of <..>.
+
+    A sentence is known where it is read on over its line breaks, or else where one of its lines
+    is known alone. Neighbouring pieces of a known sentence count as that sentence, other pieces
+    not at all. A tag of SPDX gives each name of its expression.
+    """
+    pieces, runs = cut_sentences()
+    known = {s: f"<{name}>" for s, name in known_sentences().items()}
+    known |= {frame.format(form): f"<names.{name}>" for name, form in SUFFIXED.items() for frame in FRAMES}
+    known |= pieces
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
 
-    def line(text: Column) -> Column:
-        sentences = F.transform(F.split(text, ENDS), _normalised)
-        # The set test is a hash look-up; only its few hits are looked up in the map.
-        hits = F.filter(sentences, lambda s: s.isin(list(known)))
-        return F.array_join(F.transform(hits, lambda s: F.concat(F.lit("<"), F.element_at(table, s), F.lit(">"))), "")
+    def tags(line: Column) -> Column:
+        names = F.split(F.replace(F.substr(line, F.lit(len(SPDX) + 1)), F.lit(" or later"), F.lit(" or-later")), " (?:or|and|with) ")
+        apart = F.transform(names, lambda x: F.concat(F.lit(SPDX), F.replace(x, F.lit("or-later"), F.lit("or later"))))
+        return F.when(F.startswith(line, F.lit(SPDX)), apart).otherwise(F.array(line))
 
-    plain = F.regexp_replace(F.regexp_replace(text_or_empty(), MARKS, ""), NOTICES, ".")
-    bare = docs.select("doc_id", F.regexp_replace(plain, TAG, "$1").alias("t"))
-    return bare.select(
-        "doc_id",
-        line(F.regexp_replace("t", "[\r\n]+", " . ")).alias("by_line"),
-        line(F.regexp_replace(F.regexp_replace("t", PARAGRAPH, " . "), "[\r\n]+", " ")).alias("wrapped"),
+    plain = F.regexp_replace(F.regexp_replace(text_or_empty(), MARKS, ""), NAMED_NOTICES, ".")
+    later = F.when(F.contains(F.lower(plain), F.lit("spdx")), F.regexp_replace(plain, PLUS, "$1-or-later")).otherwise(plain)
+    text = F.regexp_replace(F.regexp_replace(later, TAG, "$1"), PARAGRAPH, " . ")
+    read = F.transform(
+        F.split(text, ENDS),
+        lambda x: F.struct(
+            _normalised(x).alias("s"),
+            F.when(F.rlike(x, F.lit("[\r\n]")), F.transform(F.split(x, "[\r\n]+"), _normalised)).alias("lines"),
+        ),
+    )
+    # The set test is a hash look-up; only its few hits are looked up in the map.
+    sentences = F.flatten(
+        F.transform(
+            read,
+            lambda x: F.when(x["s"].isin(list(known)), F.array(x["s"]))
+            .when(x["lines"].isNull(), tags(x["s"]))
+            .otherwise(F.flatten(F.transform(x["lines"], tags))),
+        )
     )
+    marks = F.transform(sentences, lambda s: F.when(s.isin(list(known)), F.element_at(table, s)).otherwise("~"))
+    whole = F.col("ids")
+    for run, name in runs:
+        whole = F.replace(whole, F.lit(run), F.lit(name))
+    whole = F.when(F.contains("ids", F.lit("<?")), F.regexp_replace(whole, "<[?][0-9]+>", "")).otherwise(F.col("ids"))
+    return docs.select("doc_id", F.array_join(marks, "").alias("ids")).select("doc_id", F.replace(whole, F.lit("~"), F.lit("")).alias("ids"))
 
 
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, rules=ALL_RULES) -> DataFrame:
     """doc_id, n_known, licenses (names joined by commas, in the order of the rules), n_matches, unmatched.
 
-    Of the two readings the one with more known sentences counts, lines first. Rules are applied
+    Sentences are read over line breaks and line by line, and what either finds counts once. Rules are applied
     in their order to the sequence of identifiers; what a rule matches is taken out of it, each
     match counts, and ``unmatched`` holds what no rule took. A text without a known sentence
     (null and empty ones too) has no licence. One row per row of ``docs``, in one narrow
@@ -147,7 +213,7 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     def number(c: str) -> Column:
         return F.length(c) - F.length(F.translate(c, "<", ""))
 
-    read = identifiers(docs).select("doc_id", F.when(number("wrapped") > number("by_line"), F.col("wrapped")).otherwise(F.col("by_line")).alias("ids"))
+    read = identifiers(docs)
     patterns = F.array(*[F.struct(F.lit("".join(f"<{i}>" for i in ids)).alias("p"), F.lit(name).alias("name")) for name, ids in rules])
     start = F.struct(F.col("ids").alias("rest"), F.array().cast("array<string>").alias("names"), F.lit(0).alias("n"))
 

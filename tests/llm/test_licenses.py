@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinloom.llm.licenses import scan
+from kinloom.llm.licenses import PARTS, SENTENCES, identifiers, scan
 
 MIT = """\
 # Copyright (c) 2020 Somebody
@@ -63,3 +63,66 @@ def test_corpus(spark):
     lines += ("This work is licensed under the GNU General Public License, version 3.",)
     want = {r["doc_id"] for r in docs.collect() if any(x in r["text"] for x in lines)}
     assert {r["doc_id"] for r in scan(docs).where("n_matches > 0").collect()} == want and want
+
+
+GPL = """\
+ * This program is free software{a} you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation{b} either version {v} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+"""
+ORIGINAL = {
+    "mit.grant": MIT.split("\n#\n")[1],
+    "mit.notice": MIT.split("\n#\n")[2],
+    "mit.warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT',
+    "bsd.grant": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "bsd.source": "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+    "bsd.binary": "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.",
+    "bsd.endorse": "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+    "apache.grant": 'Licensed under the Apache License, Version 2.0 (the "License");',
+    "apache.comply": "you may not use this file except in compliance with the License.",
+    "apache.obtain": "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0",
+    "gpl.grant2": GPL.format(a=";", b=";", v=2).split(" *\n")[0],
+    "gpl.grant3": GPL.format(a=":", b=",", v=3).split(" *\n")[0],
+    "gpl.hope": GPL.split(" *\n")[1],
+    "isc.grant": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "unlicense.grant": "This is free and unencumbered software released into the public domain.",
+    "mpl.grant": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this file",
+}
+
+
+def test_every_sentence_in_its_punctuation(make):
+    assert ORIGINAL.keys() == SENTENCES.keys()
+    assert {name: " ".join(parts) for name, parts in PARTS.items()} == {name: SENTENCES[name] for name in PARTS}
+    rows = list(enumerate(ORIGINAL.values()))
+    got = {r["doc_id"]: r["ids"] for r in identifiers(make(rows)).collect()}
+    assert got == {i: f"<{name}>" for i, name in enumerate(ORIGINAL)}
+
+
+def test_notices_tags_and_both_readings(make):
+    tag = "# SPDX-License-Identifier: "
+    texts = {
+        GPL.format(a=";", b=";", v=2): "GPL-2.0-or-later",
+        GPL.format(a=":", b=",", v=3): "GPL-3.0-or-later",
+        GPL.format(a=",", b=",", v=3): "GPL-3.0-or-later",
+        "A title\n" + GPL.format(a=";", b=";", v=2): "GPL-2.0-or-later",
+        ORIGINAL["mpl.grant"]: "MPL-2.0",
+        "This program is free software; it is. You can redistribute it. 2.0. Without": "",
+        "This program is free software; really. " + GPL.split("software{a} ")[1].format(b=";", v=2).split(" *\n")[0]: "",
+        tag + "GPL-3.0-or-later": "GPL-3.0-or-later",
+        tag + "GPL-2.0-only\ncode": "GPL-2.0-only",
+        tag + "LGPL-2.1+": "LGPL-2.1-or-later",
+        tag + "MIT OR Apache-2.0\nimport os": "MIT,Apache-2.0",
+        "/* SPDX-License-Identifier: (GPL-2.0-or-later WITH Linux-syscall-note) AND MIT */": "MIT,GPL-2.0-or-later",
+        tag + "MIT is not meant": "",
+        tag + "MIT\n" + APACHE: "Apache-2.0,MIT",
+        "Licensed under the MIT License\nand more\n\n" + ORIGINAL["unlicense.grant"]: "Unlicense,MIT",
+        "Released under\nthe MIT License. Some line\nLicensed under the MPL 2.0\nand another": "MIT,MPL-2.0",
+    }
+    got = {r["doc_id"]: r["licenses"] for r in scan(make(list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(texts.values()))
