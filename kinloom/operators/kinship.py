@@ -160,8 +160,8 @@ def kin_profile(edges: DataFrame) -> DataFrame:
 def kin_violations(edges: DataFrame) -> DataFrame:
     """How many people break what kin counts take for granted: one father, one family, not one's own.
 
-    Edges of ``build_edges`` break none of it. Where another source does, ``kin_profile`` goes on
-    with the smallest father and family id.
+    Edges of ``build_edges`` break none of it. Where another source does, pairs near those people
+    are counted from explicit neighbours (``irregular``).
     """
     father = edges.where(F.col("rel").isin(list(PATERNAL))).groupBy("dst").agg(
         F.count_distinct("src").alias("n"), F.bool_or(F.col("src") == F.col("dst")).alias("own")
@@ -210,21 +210,91 @@ def _different(a: str, b: str) -> Column:
     return F.col(a) != F.col(b)
 
 
+def irregular(edges: DataFrame) -> DataFrame:
+    """The people (id) of whom the facts of ``kin_profile`` do not tell everything.
+
+    They have several fathers or families (or one several times), a father who is not the
+    family, or are the own father or grandfather.
+    """
+    pp = edges.where(F.col("rel").isin(list(PATERNAL))).select("src", "dst")
+    father = pp.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("father"))
+    family = edges.where(F.col("rel") == "r_sib").groupBy(F.col("src").alias("id")).agg(
+        F.count("*").alias("m"), F.min("dst").alias("family")
+    )
+    odd = (F.col("n") > 1) | (F.col("m") > 1) | (F.col("family") == F.col("id")) | ~F.coalesce(F.col("father").eqNullSafe(F.col("family")) | F.col("father").isNull(), F.lit(False))
+    back = pp.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    own = pp.join(back, ["src", "dst"], "left_semi").select(F.col("dst").alias("id"))
+    return father.join(family, "id", "full").where(odd).select("id").unionByName(own).distinct()
+
+
+def _explicit(pairs: DataFrame, edges: DataFrame, odd: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs one of whose members is irregular or next to somebody who is, with _one, _common and _two.
+
+    Neighbours are listed for the left members of these pairs only.
+    """
+    pp = edges.where(F.col("rel").isin(list(PATERNAL))).select("src", "dst")
+    both = pp.unionByName(pp.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    member = edges.where(F.col("rel") == "r_sib").select("src", F.col("dst").alias("fam"))
+    groups = member.join(odd, F.col("src") == F.col("id"), "left_semi").select("fam").distinct()
+    zone = (
+        odd.unionByName(both.join(odd, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")))
+        .unionByName(member.join(groups, "fam", "left_semi").select(F.col("src").alias("id")))
+        .distinct()
+    )
+    asked = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
+    near = asked.join(zone, F.col("_a") == F.col("id"), "left_semi").union(asked.join(zone, F.col("_b") == F.col("id"), "left_semi")).distinct()
+
+    def reached(start: DataFrame) -> DataFrame:
+        """(id, z, m) for the ids of ``start``: everybody next to them, with the number of edges."""
+        plain = start.join(both, F.col("id") == F.col("src")).select("id", F.col("dst").alias("z"), F.lit(1).alias("m"))
+        others = member.select(F.col("src").alias("z"), "fam")
+        siblings = start.join(member, F.col("id") == F.col("src")).select("id", "fam").join(others, "fam")
+        siblings = siblings.where(F.col("id") != F.col("z")).select("id", "z", F.lit(2).alias("m"))
+        return plain.unionByName(siblings).groupBy("id", "z").agg(F.sum("m").alias("m"))
+
+    left = near.join(reached(near.select(F.col("_a").alias("id")).distinct()), F.col("_a") == F.col("id")).drop("id")
+    right = reached(near.select(F.col("_b").alias("id")).distinct()).select(
+        F.col("id").alias("_r"), F.col("z").alias("_rz"), F.col("m").alias("_rm")
+    )
+    steps = left.join(right, (F.col("_b") == F.col("_r")) & (F.col("z") == F.col("_rz")), "left")
+    found = steps.groupBy("_a", "_b").agg(
+        F.sum(F.when(F.col("z") == F.col("_b"), F.col("m"))).alias("_one"),
+        F.count("_rz").alias("_common"),
+        F.sum(F.col("m") * F.col("_rm")).alias("_two"),
+    )
+    return near.join(found, ["_a", "_b"], "left").na.fill(0, ["_one", "_common", "_two"]).select(
+        F.col("_a").alias(a), F.col("_b").alias(b), "_one", "_common", "_two"
+    )
+
+
+def _counted(pairs: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs with the edges between them, their common neighbours, and the walks of two steps."""
+    t = _kin_terms(a, b)
+    one = _is(F.col("_a_father") == F.col(b)) + _is(F.col("_b_father") == F.col(a)) + 2 * t["sibling"]
+    common = t["via_parent"] + t["parent_sibling"] + t["child_sibling"] + t["sibling_sibling"]
+    two = t["via_parent"] + 2 * t["parent_sibling"] + 2 * t["child_sibling"] + 4 * t["sibling_sibling"]
+    profiled = _profiled(pairs, kin_profile(edges), a, b).select(
+        *pairs.columns, one.alias("_one"), common.alias("_common"), two.alias("_two")
+    )
+    odd = irregular(edges)
+    if odd.isEmpty():
+        return profiled
+    names = ("_one", "_common", "_two")
+    exact = _explicit(pairs, edges, odd, a, b).withColumnsRenamed({n: f"_x{n}" for n in names})
+    return profiled.join(exact, [a, b], "left").select(*pairs.columns, *[F.coalesce(f"_x{n}", n).alias(n) for n in names])
+
+
 def direct_link(pairs: DataFrame, edges: DataFrame, a: str = "h", b: str = "w") -> DataFrame:
     """Are the two adjacent by a paternal or sibling edge."""
-    terms = _kin_terms(a, b)
-    linked = (terms["parent"] + terms["sibling"]) > 0
-    return _profiled(pairs, kin_profile(edges), a, b).select(
-        *pairs.columns, (_different(a, b) & linked).alias("direct_link")
+    return _counted(pairs, edges, a, b).select(
+        *pairs.columns, (_different(a, b) & (F.col("_one") > 0)).alias("direct_link")
     )
 
 
 def common_neighbors(pairs: DataFrame, edges: DataFrame, a: str = "h", b: str = "w") -> DataFrame:
     """Number of common kin neighbours of each pair."""
-    t = _kin_terms(a, b)
-    total = t["via_parent"] + t["parent_sibling"] + t["child_sibling"] + t["sibling_sibling"]
-    return _profiled(pairs, kin_profile(edges), a, b).select(
-        *pairs.columns, F.when(_different(a, b), total).otherwise(0).cast("bigint").alias("n_common")
+    return _counted(pairs, edges, a, b).select(
+        *pairs.columns, F.when(_different(a, b), F.col("_common")).otherwise(0).cast("bigint").alias("n_common")
     )
 
 
@@ -253,13 +323,11 @@ def shares_group(pairs: DataFrame, edges: DataFrame, rel: str = "r_hh", a: str =
 
 def kin_path_count(pairs: DataFrame, edges: DataFrame, a: str = "h", b: str = "w", name: str = "patri_path_count") -> DataFrame:
     """Direct link + common kin neighbours + 1 for any common household; 0 for a person and itself."""
-    t = _kin_terms(a, b)
-    linked = F.greatest(t["parent"], t["sibling"])
-    total = linked + t["via_parent"] + t["parent_sibling"] + t["child_sibling"] + t["sibling_sibling"]
     house = shared_groups(pairs, edges, "r_hh", a, b).select(a, b, F.lit(1).alias("_house"))
-    profiled = _profiled(pairs, kin_profile(edges), a, b).join(house, [a, b], "left")
+    counted = _counted(pairs, edges, a, b).join(house, [a, b], "left")
+    total = (F.col("_one") > 0).cast("int") + F.col("_common")
     paths = F.when(_different(a, b), total + F.coalesce("_house", F.lit(0))).otherwise(0)
-    return profiled.select(*pairs.columns, paths.cast("bigint").alias(name))
+    return counted.select(*pairs.columns, paths.cast("bigint").alias(name))
 
 
 def walk_count_upto2(pairs: DataFrame, edges: DataFrame, a: str = "h", b: str = "w") -> DataFrame:
@@ -268,16 +336,10 @@ def walk_count_upto2(pairs: DataFrame, edges: DataFrame, a: str = "h", b: str =
     A paternal edge counts once in each direction; a sibling edge is listed both ways and
     read both ways, so it weighs 2 (and 4 along two sibling steps).
     """
-    t = _kin_terms(a, b)
-    fa, fb = F.col("_a_father"), F.col("_b_father")
-    one = _is(fa == F.col(b)) + _is(fb == F.col(a)) + 2 * t["sibling"]
-    two = t["via_parent"] + 2 * t["parent_sibling"] + 2 * t["child_sibling"] + 4 * t["sibling_sibling"]
     houses = shared_groups(pairs, edges, "r_hh", a, b).select(a, b, F.col("n_walks").alias("_hh"))
     banners = shared_groups(pairs, edges, "r_cb", a, b).select(a, b, F.col("n_walks").alias("_cb"))
-    joined = (
-        _profiled(pairs, kin_profile(edges), a, b).join(houses, [a, b], "left").join(banners, [a, b], "left")
-    )
-    total = one + two + F.coalesce("_hh", F.lit(0)) + F.coalesce("_cb", F.lit(0))
+    joined = _counted(pairs, edges, a, b).join(houses, [a, b], "left").join(banners, [a, b], "left")
+    total = F.col("_one") + F.col("_two") + F.coalesce("_hh", F.lit(0)) + F.coalesce("_cb", F.lit(0))
     return joined.select(
         *pairs.columns, F.when(_different(a, b), total).otherwise(0).cast("bigint").alias("n_walks")
     )
@@ -303,8 +365,10 @@ def match_motifs(pairs: DataFrame, edges: DataFrame, a: str = "h", b: str = "w")
 
     The right-hand ends are counted per (b, family) before they meet the pairs, so each
     pair joins one row; the sibling step is equality of families minus the father's own
-    contribution.
+    contribution. Where somebody is ``irregular``, distinct matches are listed instead.
     """
+    if not irregular(edges).isEmpty():
+        return _listed_motifs(pairs, edges, a, b)
     sons = edges.where(F.col("rel") == "r_fs").groupBy(F.col("dst").alias("_sid")).agg(F.min("src").alias("_dad"))
     daughters = edges.where(F.col("rel") == "r_fd").groupBy(F.col("dst").alias("_did")).agg(
         F.min("src").alias("_dfather")
@@ -354,6 +418,35 @@ def match_motifs(pairs: DataFrame, edges: DataFrame, a: str = "h", b: str = "w")
     )
 
 
+def _listed_motifs(pairs: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``match_motifs`` for people with several fathers or families: distinct (father, uncle[, cousin])."""
+
+    def links(rel: str, src: str, dst: str) -> DataFrame:
+        return edges.where(F.col("rel") == rel).select(F.col("src").alias(src), F.col("dst").alias(dst)).distinct()
+
+    hw = links("r_hw", "_x", "_b")
+    couples = hw.unionByName(hw.select(F.col("_b").alias("_x"), F.col("_x").alias("_b"))).distinct()
+    uncles = couples.join(links("r_sib", "_x", "_fam"), "_x").select("_b", F.col("_x").alias("_uncle"), "_x", "_fam")
+    cousins = couples.join(links("r_fd", "_uncle", "_x"), "_x").join(links("r_sib", "_uncle", "_fam"), "_uncle")
+    asked = pairs.select(a, b).distinct()
+    dads = (
+        asked.join(links("r_fs", "_dad", "_son"), F.col(a) == F.col("_son"))
+        .join(links("r_sib", "_dad", "_dadfam"), "_dad")
+        .select(a, b, "_dad", "_dadfam")
+    )
+
+    def number(ends: DataFrame, name: str) -> DataFrame:
+        met = dads.join(ends, (F.col(b) == F.col("_b")) & (F.col("_dadfam") == F.col("_fam")))
+        found = met.where(F.col("_dad") != F.col("_uncle")).select(a, b, "_dad", "_uncle", "_x").distinct()
+        return found.groupBy(a, b).agg(F.count("*").alias(name))
+
+    names = ["m1_father_brother", "m2_uncle_in_law", "m3_same_household", "m4_banner_endog"]
+    out = asked.join(number(uncles, names[0]), [a, b], "left").join(number(cousins, names[1]), [a, b], "left")
+    for name, rel in zip(names[2:], ("r_hh", "r_cb")):
+        out = out.join(shared_groups(pairs, edges, rel, a, b).select(a, b, F.col("n_groups").alias(name)), [a, b], "left")
+    return out.na.fill(0, names).select(a, b, *names)
+
+
 def motif_example_counts(matches: DataFrame, flags: dict[str, bool] | None = None) -> DataFrame:
     """Matches and matching pairs per motif, with its switch; a switched-off motif counts 0."""
     flags = {**fixed.MOTIF_FLAGS, **(flags or {})}

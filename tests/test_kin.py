@@ -120,3 +120,47 @@ def test_lineage_tag_is_stable_and_bounded(spark):
     ids = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.col("id").cast("string").alias("root"))
     tags = [r["lineage"] for r in K.lineage_tags(ids).collect()]
     assert all(len(t) == 4 and t[0] == "L" for t in tags) and len(set(tags)) > 800
+
+
+def test_several_fathers_and_families_equal_brute_force(spark, village):
+    data = list(village)
+    rng = random.Random(5)
+    for child in (7, 9, 12, 20, 21):
+        dads = [d for d in rng.sample(range(40), 3) if d != child]
+        data += [(str(d), str(child), "r_fs", 1900) for d in dads] + [(str(child), str(d), "r_sib", 1900) for d in dads[:2]]
+    data += [("30", "30", "r_fs", 1900), ("30", "30", "r_sib", 1900), ("35", "36", "r_fd", 1900), ("36", "35", "r_fs", 1900)]
+    data += [("2", "9", "r_fd", 1901), ("9", "2", "r_sib", 1901)]
+    people = [str(i) for i in range(40)]
+    pp = {(s, d, r) for s, d, r, _ in data if r in ("r_fs", "r_fd")}
+    families = [(s, d) for s, d, r, _ in data if r == "r_sib"]
+    sib = {(x, y) for x, f in families for y, g in families if f == g and x != y}
+    nbr = {p: {d for s, d, _ in pp if s == p} | {s for s, d, _ in pp if d == p} | {y for x, y in sib if x == p} for p in people}
+    homes = {p: {d for s, d, r, _ in data if r == "r_hh" and s == p} for p in people}
+    couples = {(s, d) for s, d, r, _ in data if r == "r_hw"} | {(d, s) for s, d, r, _ in data if r == "r_hw"}
+    mult = {}
+    for s, d in [(s, d) for s, d, r, _ in data if r in ("r_fs", "r_fd")]:
+        mult[s, d] = mult.get((s, d), 0) + 1
+        mult[d, s] = mult.get((d, s), 0) + 1
+    for x, f in families:
+        for y, g in families:
+            if f == g and x != y:
+                mult[x, y] = mult.get((x, y), 0) + 2
+    e, asked = edges(spark, data), all_pairs(spark)
+    linked = {(r["h"], r["w"]): r["direct_link"] for r in K.direct_link(asked, e).collect()}
+    common = {(r["h"], r["w"]): r["n_common"] for r in K.common_neighbors(asked, e).collect()}
+    paths = {(r["h"], r["w"]): r["patri_path_count"] for r in K.kin_path_count(asked, e).collect()}
+    plain = e.where(~F.col("rel").isin("r_hh", "r_cb"))
+    walks = {(r["h"], r["w"]): r["n_walks"] for r in K.walk_count_upto2(asked, plain).collect()}
+    for a in people:
+        for b in people:
+            if a != b:
+                n = len(nbr[a] & nbr[b])
+                assert linked[a, b] == (b in nbr[a]) and common[a, b] == n, (a, b)
+                assert paths[a, b] == (b in nbr[a]) + n + bool(homes[a] & homes[b]), (a, b)
+                assert walks[a, b] == mult.get((a, b), 0) + sum(mult.get((a, z), 0) * mult.get((z, b), 0) for z in people), (a, b)
+    found = K.match_motifs(asked, e).collect()
+    assert len(found) == 1600
+    for r in found:
+        uncles = [(d, y) for d, c, rel in pp if rel == "r_fs" and c == r["h"] for x, y in sib if x == d]
+        assert r["m1_father_brother"] == sum((u, r["w"]) in couples for _, u in uncles)
+        assert r["m2_uncle_in_law"] == sum((c, r["w"]) in couples for _, u in uncles for s, c, rel in pp if rel == "r_fd" and s == u)
