@@ -137,7 +137,8 @@ def near_pairs(fps: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> np.n
 def spanning_links(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join everything linked within one table entry, not all of its pairs.
 
-    Stars first: each fingerprint not yet in one becomes the centre of those near it. Then
+    Stars first: each fingerprint not yet in one becomes the centre of those near it, compared
+    with all members directly and without pivots. Then
     members of different components are compared through the pivot table, those of the
     largest component only with the others.
     """
