@@ -124,6 +124,22 @@ def encoded_counts(batches: Iterator[pd.DataFrame], definition: str, chars_at_on
         yield pd.DataFrame({"sha": pd.Series(shas, dtype=object), "n_tokens": pd.Series(counts, dtype="int64")})
 
 
+def fetch(docs: DataFrame, misses: DataFrame) -> DataFrame:
+    """sha and text of the rows that ``misses`` (sha, rep) asks for.
+
+    A doc_id may stand for many texts, so the digest is a key of the join, too. The join brings
+    equal rows together, and a task encodes them once.
+    """
+
+    def handle(name: str):
+        return F.coalesce(F.col(name).cast("string"), F.lit("null"))
+
+    texts = docs.select(handle("doc_id").alias("_rep"), text_or_empty().alias("text"))
+    texts = texts.withColumn("sha", F.unhex(F.sha2("text", 256)))
+    wanted = misses.select("sha", handle("rep").alias("_rep"))
+    return texts.join(wanted.hint("shuffle_hash"), ["_rep", "sha"]).select("sha", "text")
+
+
 def count_tokens(docs: DataFrame, cache: TokenCache, path: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text.
 
@@ -146,15 +162,7 @@ def count_tokens(docs: DataFrame, cache: TokenCache, path: str = TOKENIZER, limi
     )
     distinct = rows.groupBy("sha").agg(F.min("doc_id").alias("rep"))
     misses = distinct.join(cache.counts(tokenizer), "sha", "left_anti")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_rep"), text_or_empty().alias("text"))
-    wanted = misses.select("sha", F.coalesce(F.col("rep").cast("string"), F.lit("null")).alias("_rep"))
-    # A doc_id may stand for several texts, so the digest is looked at too. The join brings
-    # equal rows together, and a task encodes them once.
-    fetched = (
-        texts.join(wanted.hint("shuffle_hash"), "_rep")
-        .where(F.unhex(F.sha2("text", 256)) == F.col("sha"))
-        .select("sha", "text")
-    )
+    fetched = fetch(docs, misses)
     counted = fetched.mapInPandas(lambda batches: encoded_counts(batches, definition), "sha binary, n_tokens long")
     cache.append(counted, tokenizer)
     # One row per content is stored first: then the join with the rows is plain, and a content

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinloom.llm.token_counts import TOKENIZER, TokenCache, count_tokens, counter, op9_token_cache, tokenizer_text
+from kinloom.llm.token_counts import TOKENIZER, TokenCache, count_tokens, counter, fetch, op9_token_cache, tokenizer_text
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +78,13 @@ def test_counter_on_every_code_point(library):
 def test_counter_on_special_strings_and_space(library):
     texts = ["<|endoftext|>", "a<|endoftext|> <|endoftext|><|endoftext|>b", "<|endoftext", "  \n\n  x   \t y  ", "it's  I'LL 'sx", ""]
     assert counter(tokenizer_text(TOKENIZER))(texts) == [len(library.encode(t, add_special_tokens=False)) for t in texts]
+
+
+def test_texts_under_one_id_are_not_compared_in_pairs(spark, make):
+    data = [(None if i % 2 else 7, f"text {i}") for i in range(600)]
+    docs = make(data)
+    misses = docs.select(F.unhex(F.sha2("text", 256)).alias("sha"), F.col("doc_id").alias("rep"))
+    got = fetch(docs, misses)
+    assert sorted(r["text"] for r in got.collect()) == sorted(t for _, t in data)
+    joins = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "HashJoin [" in x]
+    assert joins and all("_rep#" in x and "sha#" in x.split("], [")[0] for x in joins), joins
