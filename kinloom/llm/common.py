@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.cloudpickle import register_pickle_by_value
@@ -55,6 +56,18 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and continue from there.
+
+    For tables with long arrays or texts, read in part or joined by their size: Parquet keeps
+    them small, and Spark knows how large the files are.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shipped(module: str) -> None:
     """Send the functions of ``module`` to the tasks by value: executors need no copy of the package."""
     register_pickle_by_value(sys.modules[module])

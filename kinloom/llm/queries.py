@@ -6,6 +6,7 @@ from kinloom.llm import (  # noqa: F401
     bpe,
     exact,
     language,
+    lexical,
     licenses,
     mixing,
     near,
