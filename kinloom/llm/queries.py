@@ -10,6 +10,7 @@ from kinloom.llm import (  # noqa: F401
     licenses,
     mixing,
     near,
+    periods,
     quality,
     sharding,
     spans,
