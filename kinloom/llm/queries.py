@@ -8,6 +8,7 @@ from kinloom.llm import (  # noqa: F401
     language,
     lexical,
     licenses,
+    minhash,
     mixing,
     near,
     periods,
