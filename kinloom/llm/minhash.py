@@ -86,11 +86,18 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def entries(nodes: DataFrame) -> DataFrame:
-    """(key, node, centre) of all entries with two nodes or more; the centre is the smallest node."""
+    """(key, node, centre) of all entries with two nodes or more.
+
+    The centre is the node with the most fellow members in all its entries (the smallest of
+    equals): the one that the others are copies of agrees with them in most bands.
+    """
     keys = [F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)]
     banded = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return stored(banded.join(shared, "key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = stored(banded.join(shared, "key"))
+    fellows = members.groupBy("node").agg(F.sum("c").alias("f"))
+    centres = members.join(fellows, "node").groupBy("key").agg(F.min_by("node", F.struct(-F.col("f"), "node")).alias("centre"))
+    return stored(members.select("key", "node").join(centres, "key"))
 
 
 def sets_of(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
@@ -168,49 +175,79 @@ def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -
 
 
 def joining_links(members: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between members of different components, enough to join all that are linked."""
-    n = len(members)
-    nodes, sets = members["node"].to_list(), members["shingles"].to_list()
-    sigs = np.frombuffer(b"".join(members["sig"]), "<u4").reshape(n, HASHES)
+    """Links between members of different components, enough to join all that are linked.
+
+    Members with ``side`` 0 are of one component; the others are compared with them and, where
+    there are none, with one another, on full sets: one member's shingles are marked, and every
+    other set counts its marks.
+    """
+    members = members.sort_values("side", ascending=False, kind="stable")
+    n, outside = len(members), int((members["side"] == 1).sum())
+    nodes = members["node"].to_list()
+    sizes = members["shingles"].map(len).to_numpy() // 8
+    starts = np.append(0, np.cumsum(sizes))
+    shingles, codes = np.unique(np.frombuffer(b"".join(members["shingles"]), np.uint64), return_inverse=True)
+    marks = np.zeros(len(shingles), np.int32)
     component = pd.factorize(members["label"])[0]
     a, b = [], []
-    for i in range(n - 1):
-        others = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
-        others = others[(sigs[others] == sigs[i]).sum(axis=1) >= AGREE]
-        for j in others.tolist():
-            if component[j] != component[i] and similar(sets[i], sets[j], percent):
-                a.append(nodes[i])
-                b.append(nodes[j])
-                component[component == component[j]] = component[i]
+    for i in range(min(outside, n - 1)):
+        low = i + 1 if outside == n else outside
+        if (component[low:] == component[i]).all():
+            continue
+        own = codes[starts[i] : starts[i + 1]]
+        marks[own] = 1
+        both = np.add.reduceat(marks[codes[starts[low] :]], starts[low:n] - starts[low])
+        marks[own] = 0
+        near = 100 * both >= percent * (sizes[i] + sizes[low:] - both)
+        found = np.flatnonzero(near & (component[low:] != component[i])) + low
+        labels, which = np.unique(component[found], return_index=True)
+        for j in found[which].tolist():
+            a.append(nodes[i])
+            b.append(nodes[j])
+        component[np.isin(component, labels)] = component[i]
     return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
 
 
-def late_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, size: int) -> DataFrame:
+def late_links(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, size: int) -> DataFrame:
     """Links that the comparison with centres has not seen.
 
     An entry is open if its members other than the centre lie in different components. Entries
-    with the same members are looked at once. Entries of more than ``size`` members are cut into
-    parts, and each pair of parts is a task of its own.
+    with the same members are looked at once. The members of its largest component need not be
+    compared with one another, only the others with them and among themselves. Both sides are
+    cut into parts of about ``size``; each pair of parts is a task of its own.
     """
     known = labels.withColumnRenamed("label", "l")
     rest = members.where("node <> centre").join(known, "node", "left")
     rest = settled(rest.select("key", "node", F.coalesce("l", "node").alias("label")))
-    per = rest.groupBy("key").agg(
-        F.min("label").alias("low"),
-        F.max("label").alias("high"),
-        F.count(F.lit(1)).alias("members"),
-        F.bit_xor(F.xxhash64("node")).alias("x"),
-        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"),
+    groups = rest.groupBy("key", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")
+    )
+    per = groups.groupBy("key").agg(
+        F.max(F.struct("n", "label")).alias("top"),
+        F.count(F.lit(1)).alias("labels"),
+        F.sum("n").alias("members"),
+        F.bit_xor("x").alias("x"),
+        F.bit_xor("y").alias("y"),
     )
-    opened = per.where("low <> high").groupBy("members", "x", "y").agg(F.min("key").alias("key")).select("key", "members")
-    dealt = rest.join(settled(opened), "key").withColumn("parts", F.ceil(F.col("members") * 2 / size))
-    dealt = dealt.withColumn("parts", F.when(F.col("members") <= size, 1).otherwise(F.col("parts")).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    spread = dealt.select("key", "node", "label", own.alias("own"), other.alias("other"))
-    task = F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    whole = spread.select(task.alias("task"), "node", "label").join(nodes.select("node", "sig"), "node").join(sets, "node")
-    return settled(whole.groupBy("task").applyInPandas(lambda group: joining_links(group, percent), PAIR))
+    opened = per.where("labels > 1").groupBy("members", "x", "y").agg(F.min(F.struct("key", "top")).alias("e"))
+    opened = settled(opened.select("e.key", F.col("e.top.label").alias("main"), F.col("e.top.n").alias("n"), "members"))
+    dealt = rest.join(opened, "key").withColumn("side", (F.col("label") != F.col("main")).cast("int"))
+    inner = F.ceil(F.col("n") / size).cast("int")
+    outer = F.ceil((F.col("members") - F.col("n")) / size).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, inner).otherwise(outer)).cast("int")
+
+    def tasks(kind: int, others: Column, pair: Column) -> Column:
+        """(kind, part, part) of the tasks in which a member takes part."""
+        return F.transform(F.sequence(F.lit(0), others - 1), lambda o: F.struct(F.lit(kind).alias("kind"), *pair(o)))
+
+    among = tasks(1, F.col("outer"), lambda o: (F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
+    across = tasks(0, F.col("inner"), lambda o: (F.col("mine").alias("i"), o.alias("j")))
+    met = tasks(0, F.col("outer"), lambda o: (o.alias("i"), F.col("mine").alias("j")))
+    placed = dealt.select("key", "node", "label", "side", mine.alias("mine"), inner.alias("inner"), outer.alias("outer"))
+    every = F.when(F.col("side") == 0, met).otherwise(F.concat(across, among))
+    spread = placed.select("key", "node", "label", "side", F.explode(every).alias("task"))
+    whole = spread.join(sets, "node")
+    return settled(whole.groupBy("key", "task").applyInPandas(lambda group: joining_links(group, percent), PAIR))
 
 
 def star_components(links: DataFrame) -> DataFrame:
@@ -262,7 +299,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = confirm(pairs, nodes, sets, percent)
     labels = star_components(links)
-    late = late_links(members, nodes, sets, labels, percent, size)
+    late = late_links(members, sets, labels, percent, size)
     if not late.isEmpty():
         stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
         labels = star_components(stars.union(late))
