@@ -6,10 +6,17 @@ round is settled, so the plan does not grow and a lost executor costs one round
 
 from __future__ import annotations
 
+import sys
+from collections import deque
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinloom.operators.ranking import mutual_best
 from kinloom.session import settle
@@ -34,102 +41,260 @@ def assign_greedy(scores: DataFrame, group: Sequence[str] = ("year",)) -> DataFr
         rest = settle(rest.join(found, left, "left_anti").join(found, right, "left_anti"))
 
 
-def assign_auction(
+class Solution(NamedTuple):
+    """An assignment with what proves how good it is."""
+
+    matches: DataFrame  # group columns, h, w, score
+    prices: DataFrame  # group columns, swapped, object, price: dual prices of the larger side, 0 where absent
+    certificate: DataFrame  # group columns, n_bidders, n_matched, total, bound, epsilon
+
+
+def _bids(rows: pd.DataFrame, width: int, steps: int, keys: list[str]) -> pd.DataFrame:
+    """One block: bidders with their best candidates bid in turn until each has an object or is stuck.
+
+    Of every bidder there are the object it holds, the ``width`` best candidates and, if it has
+    more, the next one: what that one gains bounds all others, as prices only rise. A bidder
+    whose list falls below it waits for a new list. Where every list is whole and nothing is
+    held yet, ``steps`` coarser rounds come first, which leave their prices.
+    """
+    out = {k: rows[k].iloc[0] for k in keys}
+    rows = rows.sort_values(["bidder", "place"], kind="stable")
+    bidders = rows["bidder"].to_numpy()
+    first = np.flatnonzero(np.append(True, bidders[1:] != bidders[:-1]))
+    last = np.append(first[1:], len(rows))
+    codes, items = pd.factorize(rows["item"])
+    value, place = rows["value"].to_numpy(np.float64), rows["place"].to_numpy()
+    price = np.zeros(len(items))
+    price[codes] = rows["price"].to_numpy(np.float64)
+    n = len(first)
+    lists, values, beyond = [], [], np.full(n, -np.inf)
+    for b, (s, e) in enumerate(zip(first.tolist(), last.tolist())):
+        if place[e - 1] > width:
+            e -= 1
+            beyond[b] = value[e] - price[codes[e]]
+        lists.append(codes[s:e])
+        values.append(value[s:e])
+    final = float(rows["epsilon"].iloc[0])
+    held = rows["held"].to_numpy(bool)
+    holder = np.full(len(items), -1)
+    holder[codes[held]] = np.repeat(np.arange(n), last - first)[held]
+    whole = bool(np.isneginf(beyond).all()) and bool(rows["alone"].iloc[0]) and not held.any()
+    ladder = [max(final, float(rows["range"].iloc[0]) / 8 / 10**k) for k in range(steps)] if whole else []
+    for epsilon in [*ladder, final]:
+        owner = holder.copy()
+        retired: list[int] = []
+        waiting = deque(np.setdiff1d(np.arange(n), owner).tolist())
+        while waiting:
+            b = waiting.popleft()
+            net = values[b] - price[lists[b]]
+            k = int(net.argmax())
+            best = float(net[k])
+            if best < beyond[b]:
+                continue
+            # Next to nothing counts as nothing: a bid has to move the price.
+            if best <= 1e-6 * epsilon:
+                retired.append(b)
+                continue
+            net[k] = -np.inf
+            second = max(float(net.max()), beyond[b], epsilon)
+            item = lists[b][k]
+            price[item] += best - second + epsilon if best > second else min(best, epsilon)
+            if owner[item] >= 0:
+                waiting.append(int(owner[item]))
+            owner[item] = b
+    won = np.flatnonzero(owner >= 0)
+    left = np.flatnonzero((owner < 0) & (price > 0)) if ladder else won[:0]
+    names = bidders[first]
+    made = pd.DataFrame(
+        {
+            # A bidder that gives up comes without an item, a price that coarse rounds left without a bidder.
+            "item": pd.Series([*items[won].tolist(), *items[left].tolist(), *[None] * len(retired)], dtype=object),
+            "bidder": pd.Series([*names[owner[won]].tolist(), *[None] * len(left), *names[retired].tolist()], dtype=object),
+            "price": np.concatenate([price[won], price[left], np.zeros(len(retired))]),
+        }
+    )
+    for k in keys:
+        made[k] = out[k]
+    return made[[*keys, "item", "bidder", "price"]]
+
+
+class _Market:
+    """Rounds of an auction over all cohorts. The driver counts; prices, bids and owners stay in tables."""
+
+    def __init__(self, offers: DataFrame, keys: list[str], width: int, block: int, steps: int):
+        # offers: keys, bidder, item, value, epsilon, range, number (of the cohort's bidders)
+        self.keys, self.width, self.steps = keys, width, steps
+        blocks = F.greatest(F.lit(1), F.ceil(F.col("number") / block)).cast("int")
+        self.offers = settle(
+            offers.withColumn("alone", blocks == 1).withColumn("_block", F.pmod(F.xxhash64("bidder"), blocks).cast("int"))
+        )
+        self.bidders = settle(self.offers.select(*keys, "_block", "bidder").distinct())
+
+    def run(self, market: DataFrame | None, epsilon: Column, rounds: int | None = None) -> DataFrame:
+        """Bid from the prices of ``market`` (keys, item, price, bidder) until nobody is open, or ``rounds`` times.
+
+        Returns the market then; an item that nobody ever wanted has no row.
+        """
+        keys, retired, done = self.keys, None, 0
+        fields = {f.name: f.dataType for f in self.offers.schema.fields}
+        schema = T.StructType(
+            [T.StructField(k, fields[k]) for k in [*keys, "item", "bidder"]] + [T.StructField("price", T.DoubleType())]
+        )
+        width, steps = self.width, self.steps
+        while rounds is None or done < rounds:
+            taken = None if market is None else market.where(F.col("bidder").isNotNull()).select(*keys, "bidder")
+            free = self.bidders
+            for gone in (taken, retired):
+                free = free if gone is None else free.join(gone, [*keys, "bidder"], "left_anti")
+            # Blocks with a bidder that has nothing; the others in them may be outbid and go on.
+            wanted = self.offers.join(free.select(*keys, "_block").distinct(), [*keys, "_block"], "left_semi")
+            if retired is not None:
+                wanted = wanted.join(retired, [*keys, "bidder"], "left_anti")
+            if market is None:
+                wanted = wanted.withColumn("price", F.lit(0.0)).withColumn("held", F.lit(False))
+            else:
+                priced = market.select(*keys, "item", "price", F.col("bidder").alias("_holder"))
+                wanted = wanted.join(priced, [*keys, "item"], "left").na.fill(0.0, ["price"])
+                wanted = wanted.withColumn("held", F.coalesce(F.col("_holder") == F.col("bidder"), F.lit(False))).drop("_holder")
+            wanted = wanted.withColumn("epsilon", epsilon)
+            order = Window.partitionBy(*keys, "bidder").orderBy(F.desc("held"), F.desc(F.col("value") - F.col("price")), "item")
+            listed = wanted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= width + 1)
+            made = settle(
+                listed.groupBy(*keys, "_block").applyInPandas(lambda rows: _bids(rows, width, steps, keys), schema)
+            )
+            done += 1
+            if made.isEmpty():
+                break
+            gone = made.where(F.col("item").isNull()).select(*keys, "bidder")
+            retired = gone if retired is None else retired.unionByName(gone)
+            bids = made.where(F.col("item").isNotNull()).select(*keys, "item", "price", "bidder")
+            if market is not None:
+                bids = bids.unionByName(market.select(*keys, "item", "price", "bidder"))
+            # A new bid is above the standing price; of several blocks the highest one holds.
+            best = bids.groupBy(*keys, "item").agg(F.max(F.struct("price", "bidder")).alias("_b"))
+            market = settle(best.select(*keys, "item", "_b.price", "_b.bidder"))
+        if market is None:
+            kind = self.offers.schema["item"].dataType
+            return self.offers.select(*keys, F.col("item").cast(kind), F.lit(0.0).alias("price"), "bidder").limit(0)
+        return market
+
+
+def auction(
     scores: DataFrame,
     group: Sequence[str] = ("year",),
     epsilon: float | None = None,
     outside: float | None = None,
-) -> DataFrame:
-    """Assignment with the greatest total score, by auction (Bertsekas 1988).
+    width: int = 1024,
+    block: int = 2048,
+    steps: int = 4,
+) -> Solution:
+    """Assignment with the greatest total score, by a scaled auction (Bertsekas 1988, Bertsekas and Castanon 1992).
 
-    The smaller side of each cohort bids for the larger one: every bidder without an
-    object offers for its best object what it gains over its second best, plus epsilon;
-    an object goes to the highest offer. Prices start at zero, so objects nobody wanted
-    stay at zero and the total is within (number of bidders) * epsilon of the optimum.
+    The smaller side of each cohort bids for the larger one. A round lists the ``width`` best
+    candidates of every bidder without an object, at current prices; blocks of ``block`` bidders
+    are tasks that bid until their lists are used up, and the highest bid for each object holds.
+    Prices travel from task to task. ``steps`` rounds with a coarse step (range / 8, then a tenth
+    each) go ahead, so prices are near their place when the last step begins. Objects that end
+    with a price and no owner then bid for the other side in the same way, until each such
+    price has gone; this makes the total within (number of bidders) * epsilon of the optimum
+    whatever prices the last step began with.
 
     ``outside`` is the score below which staying unmatched is better. By default a match is
     worth its score plus the cohort's score range above its lowest score, whatever the sign:
     on complete scores the whole smaller side is matched, and where scores are missing a pair
     is given up only if that wins more elsewhere. The default epsilon is a 1/(4n) part of the
-    cohort's score range, n being its number of bidders. Prices only rise and never above the
-    largest value, so the rounds come to an end by themselves.
+    cohort's score range, n being its number of bidders.
+
+    ``certificate`` proves it: by weak duality no assignment is worth more than ``bound``, the
+    sum of prices and of what each bidder gains at best at these prices.
     """
-    group = list(group)
-    table = settle(scores.select(*group, "h", "w", F.col("score").cast("double").alias("score")))
-    sides = table.groupBy(*group).agg(
+    keys = list(group)
+    table = settle(scores.select(*keys, "h", "w", F.col("score").cast("double").alias("score")))
+    sides = table.groupBy(*keys).agg(
         F.count_distinct("h").alias("_nh"),
         F.count_distinct("w").alias("_nw"),
         F.min("score").alias("_low"),
-        (F.max("score") - F.min("score")).alias("_range"),
+        (F.max("score") - F.min("score")).alias("range"),
     )
-    step = F.greatest(F.col("_range") / (4.0 * F.least("_nh", "_nw")), F.lit(1e-9)) if epsilon is None else F.lit(float(epsilon))
+    number = F.least("_nh", "_nw")
+    step = F.greatest(F.col("range") / (4.0 * number), F.lit(1e-9)) if epsilon is None else F.lit(float(epsilon))
     # What a match is worth above staying unmatched.
-    worth = F.col("score") - F.lit(float(outside)) if outside is not None else F.col("score") - F.col("_low") + F.col("_range") + step
+    worth = F.col("score") - F.lit(float(outside)) if outside is not None else F.col("score") - F.col("_low") + F.col("range") + step
     swapped = F.col("_nw") < F.col("_nh")
     offers = settle(
-        table.join(sides, group).select(
-            *group,
+        table.join(sides, keys).select(
+            *keys,
             swapped.alias("swapped"),
             F.when(swapped, F.col("w")).otherwise(F.col("h")).alias("bidder"),
-            F.when(swapped, F.col("h")).otherwise(F.col("w")).alias("object"),
+            F.when(swapped, F.col("h")).otherwise(F.col("w")).alias("item"),
             "score",
             worth.alias("value"),
             step.alias("epsilon"),
+            "range",
+            number.alias("number"),
         )
     )
-    bidder, item = [*group, "bidder"], [*group, "object"]
-    owners = None  # (group, object, price, bidder)
-    retired = None
-    while True:
-        open_offers = offers
-        if owners is not None:
-            open_offers = open_offers.join(owners, bidder, "left_anti")
-            prices = owners.select(*item, "price")
-            open_offers = open_offers.join(prices, item, "left").na.fill(0.0, ["price"])
-        else:
-            open_offers = open_offers.withColumn("price", F.lit(0.0))
-        if retired is not None:
-            open_offers = open_offers.join(retired, bidder, "left_anti")
-        net = open_offers.withColumn("net", F.col("value") - F.col("price"))
-        order = Window.partitionBy(*bidder).orderBy(F.desc("net"), "object")
-        best_two = net.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 2)
-        wishes = settle(
-            best_two.groupBy(*bidder).agg(
-                F.max(F.when(F.col("_r") == 1, F.struct("net", "price", "object", "epsilon"))).alias("b"),
-                F.max(F.when(F.col("_r") == 2, F.col("net"))).alias("second"),
-            )
+    forward = _Market(offers.drop("score", "swapped"), keys, width, block, steps)
+    market = None
+    if not forward.offers.where(~F.col("alone")).isEmpty():
+        # Cohorts of several blocks: one round for each coarse step, of which only prices stay.
+        for k in range(steps):
+            coarse = F.greatest(F.col("epsilon"), F.col("range") / (8.0 * 10**k))
+            market = forward.run(market, coarse, rounds=1).withColumn("bidder", F.lit(None).cast(offers.schema["bidder"].dataType))
+    market = forward.run(market, F.col("epsilon"))
+
+    # Objects left with a price: they bid for bidders, whose price is what these gain now.
+    dear = market.where(F.col("bidder").isNull() & (F.col("price") > 0))
+    held = market.where(F.col("bidder").isNotNull())
+    if not dear.isEmpty():
+        gains = offers.join(held, [*keys, "bidder", "item"]).select(
+            *keys, F.col("bidder").alias("item"), (F.col("value") - F.col("price")).alias("price"), F.col("item").alias("bidder")
+        )
+        priced = market.where(F.col("price") > 0).select(*keys, "item")
+        back = offers.join(priced, [*keys, "item"], "left_semi").select(
+            *keys, F.col("item").alias("bidder"), F.col("bidder").alias("item"), "value", "epsilon", "range", "number"
         )
-        if wishes.isEmpty():
-            break
-        # Who gains nothing from any object stays out; nobody pays more than that leaves.
-        gone = wishes.where(F.col("b")["net"] < 0).select(*bidder)
-        if not gone.isEmpty():
-            retired = settle(gone if retired is None else retired.unionByName(gone))
-            wishes = wishes.where(F.col("b")["net"] >= 0)
-        second = F.greatest(F.coalesce("second", F.lit(0.0)), F.lit(0.0))
-        bids = wishes.select(
-            *group,
-            F.col("b")["object"].alias("object"),
-            "bidder",
-            (F.col("b")["price"] + F.col("b")["net"] - second + F.col("b")["epsilon"]).alias("price"),
+        reverse = _Market(back, keys, width, block, 0).run(settle(gains), F.col("epsilon"))
+        owned = reverse.where(F.col("bidder").isNotNull()).select(
+            *keys, F.col("item").alias("bidder"), F.col("bidder").alias("item"), F.col("price").alias("_gain")
         )
-        contest = bids if owners is None else bids.unionByName(owners)
-        # Higher price wins; a standing owner never beats a new bid, which is higher by epsilon.
-        owners = settle(
-            contest.groupBy(*item)
-            .agg(F.max(F.struct("price", "bidder")).alias("_w"))
-            .select(*group, F.col("_w")["bidder"].alias("bidder"), "object", F.col("_w")["price"].alias("price"))
-            .select(*group, "object", "bidder", "price")
+        held = offers.join(owned, [*keys, "bidder", "item"]).select(
+            *keys, "item", F.greatest(F.col("value") - F.col("_gain"), F.lit(0.0)).alias("price"), "bidder"
         )
-    if owners is None:
-        return table.limit(0)
-    won = offers.join(owners.drop("price"), [*group, "bidder", "object"])
-    return won.select(
-        *group,
-        F.when(F.col("swapped"), F.col("object")).otherwise(F.col("bidder")).alias("h"),
-        F.when(F.col("swapped"), F.col("bidder")).otherwise(F.col("object")).alias("w"),
+    held = settle(held)
+    won = settle(offers.join(held, [*keys, "bidder", "item"]))
+    matches = won.select(
+        *keys,
+        F.when(F.col("swapped"), F.col("item")).otherwise(F.col("bidder")).alias("h"),
+        F.when(F.col("swapped"), F.col("bidder")).otherwise(F.col("item")).alias("w"),
         "score",
     )
+    prices = won.select(*keys, "swapped", F.col("item").alias("object"), "price")
+    total = won.groupBy(*keys).agg(F.count("*").alias("n_matched"), F.sum("value").alias("total"))
+    certificate = dual_bound(offers, held, keys).join(total, keys, "left").na.fill(0.0, ["total"]).na.fill(0, ["n_matched"])
+    return Solution(matches, prices, certificate.select(*keys, "n_bidders", "n_matched", "total", "bound", "epsilon"))
+
+
+def dual_bound(offers: DataFrame, prices: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Upper bound of the total value of any assignment per cohort, from prices of the objects (0 or more).
+
+    An object not in ``prices`` costs nothing. Whoever is matched gains value - price, so the
+    total is at most the best gains of all bidders plus all prices.
+    """
+    keys = list(keys)
+    joined = offers.join(prices.select(*keys, "item", "price"), [*keys, "item"], "left").na.fill(0.0, ["price"])
+    best = joined.groupBy(*keys, "bidder").agg(
+        F.greatest(F.max(F.col("value") - F.col("price")), F.lit(0.0)).alias("gain"), F.first("epsilon").alias("epsilon")
+    )
+    gains = best.groupBy(*keys).agg(F.count("*").alias("n_bidders"), F.sum("gain").alias("_gains"), F.first("epsilon").alias("epsilon"))
+    paid = prices.groupBy(*keys).agg(F.sum("price").alias("_paid"))
+    both = gains.join(paid, keys, "left").na.fill(0.0, ["_paid"])
+    return both.select(*keys, "n_bidders", (F.col("_gains") + F.col("_paid")).alias("bound"), "epsilon")
+
+
+def assign_auction(scores: DataFrame, group: Sequence[str] = ("year",), **options) -> DataFrame:
+    """The matches of ``auction``: group columns, h, w, score."""
+    return auction(scores, group, **options).matches
 
 
 def assign_one_to_one(scores: DataFrame, method: str = "auction", **options) -> DataFrame:
@@ -146,3 +311,7 @@ def assignment_correct(assignment: DataFrame, truth: DataFrame) -> DataFrame:
     return truth.join(matched, ["year", "h"], "left").select(
         "year", "h", "true_w", F.coalesce(F.col("_aw") == F.col("true_w"), F.lit(False)).alias("correct")
     )
+
+
+# The functions that run in Python tasks travel with them, so executors need no copy of the package.
+register_pickle_by_value(sys.modules[__name__])
