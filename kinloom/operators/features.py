@@ -254,23 +254,23 @@ def context_density(
     women = pairs.select(F.lit("women").alias("who"), F.col("w").alias("id"), "year").distinct()
     members = men.unionByName(women)
     size = members.groupBy("who", "year").agg(F.count("*").alias("n"))
-    wanted = [("men", r, m) for r, m, _ in sides if m] + [("women", r, w) for r, _, w in sides if w]
-    parts = None
-    for side in ("in", "out", "any"):
-        cells = [(who, rel) for who, rel, s in wanted if s == side]
-        if not cells:
-            continue
-        rels = sorted({rel for _, rel in cells})
-        degrees = degrees_as_of(edges.where(F.col("rel").isin(rels)), members, side)
+    for_men, for_women = {r: m for r, m, _ in sides if m}, {r: w for r, _, w in sides if w}
+    wanted = [("men", r) for r in for_men] + [("women", r) for r in for_women]
+    if all(for_men.get(r, side) == side for r, side in for_women.items()):
+        degrees = degrees_as_of(edges, members, for_men | for_women)
         joined = members.join(degrees, ["id", "year"])
-        allowed = F.lit(False)
-        for who, rel in cells:
-            allowed = allowed | ((F.col("who") == who) & (F.col("rel") == rel))
-        found = joined.where(allowed).groupBy("who", "year", "rel").agg(
-            F.sum("degree").alias("total"), F.count("*").alias("touched")
+    else:
+        # A relation that counts at one end for men and at another for women is read twice.
+        joined = men.join(degrees_as_of(edges, men, for_men), ["id", "year"]).unionByName(
+            women.join(degrees_as_of(edges, women, for_women), ["id", "year"])
         )
-        parts = found if parts is None else parts.unionByName(found)
-    grid = edges.sparkSession.createDataFrame([(w, r) for w, r, _ in wanted], "who string, rel string")
+    allowed = F.lit(False)
+    for who, rel in wanted:
+        allowed = allowed | ((F.col("who") == who) & (F.col("rel") == rel))
+    parts = joined.where(allowed).groupBy("who", "year", "rel").agg(
+        F.sum("degree").alias("total"), F.count("*").alias("touched")
+    )
+    grid = edges.sparkSession.createDataFrame(wanted, "who string, rel string")
     return (
         size.join(grid, "who")
         .join(parts, ["who", "year", "rel"], "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,22 +117,26 @@ def _pairs_by_later_birth(members: DataFrame) -> DataFrame:
     )
 
 
-def degrees_as_of(edges: DataFrame, requests: DataFrame, side: str) -> DataFrame:
+def degrees_as_of(edges: DataFrame, requests: DataFrame, side: str | Mapping[str, str]) -> DataFrame:
     """Degree per requested (id, year) and relation, counting edges with t < year.
 
     ``side``: ``in`` (the id is the destination), ``out`` (the source) or ``any`` (both
-    ends). Edges are first counted per (id, relation, t), so one id joins at most one row
+    ends), for all relations or as a mapping that also says which relations count. One pass
+    over the edges gives all ends. Edges are first counted per (id, relation, t), so one id joins at most one row
     per year and relation of the calendar, whatever its degree. Sibling memberships count
     each sibling edge as the directed pair list would.
     """
     requests = requests.select("id", "year").distinct()
+    if isinstance(side, str):
+        incoming, outgoing = F.lit(side in ("in", "any")), F.lit(side in ("out", "any"))
+    else:
+        edges = edges.where(F.col("rel").isin(list(side)))
+        incoming = F.col("rel").isin([r for r, s in side.items() if s in ("in", "any")])
+        outgoing = F.col("rel").isin([r for r, s in side.items() if s in ("out", "any")])
+        side = side.get("r_sib", "any")
+    ends = F.array(F.when(incoming, F.col("dst")), F.when(outgoing, F.col("src")))
     plain = edges.where(F.col("rel") != "r_sib")
-    ends = []
-    if side in ("in", "any"):
-        ends.append(plain.select(F.col("dst").alias("id"), "rel", "t"))
-    if side in ("out", "any"):
-        ends.append(plain.select(F.col("src").alias("id"), "rel", "t"))
-    touched = ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1])
+    touched = plain.select(F.explode(F.array_compact(ends)).alias("id"), "rel", "t")
     counts = touched.groupBy("id", "rel", "t").agg(F.count("*").alias("n"))
     seen = (
         requests.join(counts, "id")

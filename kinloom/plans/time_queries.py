@@ -96,14 +96,12 @@ def _as_of_many(spark, sf):
 @query("degrees_as_of", "WITH" + V.EDGES_SQL + """,
 asked AS (SELECT DISTINCT PERSON_ID AS id, YEAR - 30 AS year FROM panel UNION SELECT DISTINCT PERSON_ID, YEAR FROM panel),
 ends AS (SELECT src AS id, rel, t FROM edges UNION ALL SELECT dst, rel, t FROM edges)
-SELECT a.id, CAST(a.year AS INTEGER) AS year, e.rel, count(*) AS degree FROM asked a JOIN ends e ON e.id = a.id AND e.t < a.year
-WHERE e.rel IN ('r_fs', 'r_fd', 'r_sib', 'r_hw', 'r_hh') GROUP BY 1, 2, 3""")
+SELECT a.id, CAST(a.year AS INTEGER) AS year, e.rel, count(*) AS degree FROM asked a JOIN ends e ON e.id = a.id AND e.t < a.year GROUP BY 1, 2, 3""")
 def _degrees_as_of(spark, sf):
     asked = V.panel(spark, sf).select(F.col("PERSON_ID").alias("id"), F.col("YEAR").alias("year"))
     asked = asked.unionByName(asked.select("id", (F.col("year") - 30).alias("year")))
-    edges = V.stored_edges(spark, sf).where(F.col("rel").isin("r_fs", "r_fd", "r_sib", "r_hw", "r_hh"))
-    # Households and persons share the id space of the benchmark view; only persons are asked.
-    return T.degrees_as_of(edges, asked, "any")
+    # Households, places and persons share the id space of the benchmark view, here and in the SQL.
+    return T.degrees_as_of(V.stored_edges(spark, sf), asked, "any")
 
 
 # -- yearly covariates ----------------------------------------------------------------
@@ -376,57 +374,54 @@ def _assemble_features(spark, sf):
 
 
 @query("relation_degrees", "WITH" + V.EDGES_SQL + """,
-e AS (SELECT * FROM edges WHERE rel IN ('r_hw', 'r_fs', 'r_fd', 'r_sib')),
-ends AS (SELECT src AS id, rel FROM e UNION ALL SELECT dst, rel FROM e)
-SELECT p.id, r.rel, count(x.id) AS degree FROM persons p CROSS JOIN (SELECT DISTINCT rel FROM e) r
+ends AS (SELECT src AS id, rel FROM edges UNION ALL SELECT dst, rel FROM edges)
+SELECT p.id, r.rel, count(x.id) AS degree FROM persons p CROSS JOIN (SELECT DISTINCT rel FROM edges) r
 LEFT JOIN ends x ON x.id = p.id AND x.rel = r.rel GROUP BY 1, 2""")
 def _relation_degrees(spark, sf):
-    edges = V.stored_edges(spark, sf).where(F.col("rel").isin("r_hw", "r_fs", "r_fd", "r_sib"))
-    return X.relation_degrees(edges, V.persons(spark, sf), "any")
+    return X.relation_degrees(V.stored_edges(spark, sf), V.persons(spark, sf), "any")
 
 
-DENSITY_SQL = SPLIT_SQL.replace("WITH", "") + """,
-ranked_refs AS (SELECT *, row_number() OVER (PARTITION BY PERSON_ID ORDER BY CASE WHEN SEX = 1 AND coalesce(MARITAL_STATUS, 0) = 2 THEN 1 ELSE 0 END, OBS_DATE, OBS_KEY) AS rr FROM panel),
-kids AS (SELECT PERSON_ID AS person, SEX AS sex, FATHER_ID AS father, coalesce(BIRTHYEAR, 1749) AS born FROM ranked_refs WHERE rr = 1 AND FATHER_ID IN (SELECT id FROM persons)),
+_SPEC = [("men", r, m) for r, m, _ in X.COHORT_SIDES if m] + [("women", r, w) for r, _, w in X.COHORT_SIDES if w]
+DENSITY_SQL = V.EDGES_SQL + f""",
+split AS (SELECT src AS h, dst AS w, t AS year FROM hw WHERE t BETWEEN 1995 AND 1999),
+spec(who, rel, side) AS (VALUES {", ".join(str(s) for s in _SPEC)}),
 links AS (
-  SELECT 'men' AS who, 'r_fs' AS rel, person AS id, born AS t FROM kids WHERE sex = 2
-  UNION ALL SELECT 'women', 'r_fd', person, born FROM kids WHERE sex = 1
-  UNION ALL SELECT w.who, 'r_sib', a.person, greatest(a.born, b.born) FROM kids a JOIN kids b ON a.father = b.father AND a.person <> b.person,
-    (SELECT unnest(['men', 'women']) AS who) w
-  UNION ALL SELECT w.who, 'r_sib', a.person, greatest(a.born, b.born) FROM kids a JOIN kids b ON a.father = b.father AND a.person <> b.person,
-    (SELECT unnest(['men', 'women']) AS who) w
-  UNION ALL SELECT w.who, 'r_hh', PERSON_ID, YEAR FROM panel, (SELECT unnest(['men', 'women']) AS who) w),
+  SELECT s.who, s.rel, e.dst AS id, e.t FROM edges e JOIN spec s ON s.rel = e.rel AND s.side IN ('in', 'any')
+  UNION ALL SELECT s.who, s.rel, e.src, e.t FROM edges e JOIN spec s ON s.rel = e.rel AND s.side IN ('out', 'any')),
 members AS (SELECT DISTINCT 'men' AS who, h AS id, year FROM split UNION SELECT DISTINCT 'women', w, year FROM split),
-spec AS (SELECT unnest(['men', 'men', 'men', 'women', 'women', 'women']) AS who, unnest(['r_fs', 'r_sib', 'r_hh', 'r_fd', 'r_sib', 'r_hh']) AS rel),
 deg AS (
   SELECT m.who, m.year, s.rel, m.id, count(l.id) AS d FROM members m JOIN spec s ON s.who = m.who
   LEFT JOIN links l ON l.who = m.who AND l.rel = s.rel AND l.id = m.id AND l.t < m.year GROUP BY ALL)"""
 
 
+def density(spark, sf):
+    edges = V.stored_edges(spark, sf)
+    pairs = T.cohort_split(edges, **BOUNDS).where(F.col("bucket").isNotNull())
+    return X.context_density(edges, pairs)
+
+
 @query("context_density", "WITH" + DENSITY_SQL + """
 SELECT year, who, rel, count(*) AS n_members, round(avg(d), 4) AS mean_degree, round(100.0 * count(*) FILTER (WHERE d = 0) / count(*), 4) AS zero_pct
 FROM deg GROUP BY year, who, rel""")
 def _context_density(spark, sf):
-    edges = V.stored_edges(spark, sf)
-    sides = [s for s in X.COHORT_SIDES if s[0] in ("r_fs", "r_fd", "r_sib", "r_hh")]
-    return rounded(X.context_density(edges, T.cohort_split(edges, **BOUNDS), sides))
+    return rounded(density(spark, sf))
 
 
-@query("density_wide", "WITH" + DENSITY_SQL + """
-SELECT year, count(DISTINCT id) AS n_members, round(avg(d) FILTER (WHERE rel = 'r_fs'), 4) AS r_fs_mean,
-  round(100.0 * count(*) FILTER (WHERE d = 0 AND rel = 'r_fs') / count(*) FILTER (WHERE rel = 'r_fs'), 4) AS r_fs_zero_pct,
-  round(avg(d) FILTER (WHERE rel = 'r_sib'), 4) AS r_sib_mean,
-  round(100.0 * count(*) FILTER (WHERE d = 0 AND rel = 'r_sib') / count(*) FILTER (WHERE rel = 'r_sib'), 4) AS r_sib_zero_pct
-FROM deg WHERE who = 'men' GROUP BY year""")
+MEN = [r for who, r, _ in _SPEC if who == "men"]
+_WIDE = ", ".join(
+    f"round(avg(d) FILTER (WHERE rel = '{r}'), 4) AS {r}_mean, "
+    f"round(100.0 * count(*) FILTER (WHERE d = 0 AND rel = '{r}') / count(*) FILTER (WHERE rel = '{r}'), 4) AS {r}_zero_pct"
+    for r in MEN
+)
+
+
+@query("density_wide", "WITH" + DENSITY_SQL + f"SELECT year, count(DISTINCT id) AS n_members, {_WIDE} FROM deg WHERE who = 'men' GROUP BY year")
 def _density_wide(spark, sf):
-    sides = [("r_fs", "in", None), ("r_sib", "any", None)]
-    edges = V.stored_edges(spark, sf)
-    density = X.context_density(edges, T.cohort_split(edges, **BOUNDS), sides)
-    return rounded(X.density_wide(density, "men", ["r_fs", "r_sib"]))
+    return rounded(X.density_wide(density(spark, sf), "men", MEN))
 
 
 AGGREGATE_SQL = V.EDGES_SQL + """,
-e AS (SELECT src, dst, rel FROM edges WHERE rel IN ('r_hw', 'r_fs', 'r_fd', 'r_sib')),
+e AS (SELECT src, dst, rel FROM edges),
 h0 AS (SELECT person AS id, CAST(born AS DOUBLE) AS v FROM (SELECT PERSON_ID AS person, coalesce(max(BIRTHYEAR), 1960) AS born FROM panel GROUP BY 1)),
 p1 AS (SELECT id, avg(v) AS v FROM (SELECT e.dst AS id, rel, avg(h0.v) AS v FROM e JOIN h0 ON h0.id = e.src GROUP BY 1, 2) GROUP BY 1),
 h1 AS (SELECT h0.id, coalesce(p1.v, h0.v) AS v FROM h0 LEFT JOIN p1 ON p1.id = h0.id),
@@ -436,7 +431,7 @@ h2 AS (SELECT h1.id, coalesce(p2.v, h1.v) AS v FROM h1 LEFT JOIN p2 ON p2.id = h
 
 @query("neighbor_aggregate", "WITH" + AGGREGATE_SQL + "SELECT id, round(v, 4) AS born FROM h2")
 def _neighbor_aggregate(spark, sf):
-    edges = V.stored_edges(spark, sf).where(F.col("rel").isin("r_hw", "r_fs", "r_fd", "r_sib"))
+    edges = V.stored_edges(spark, sf)
     people = V.panel(spark, sf).groupBy(F.col("PERSON_ID").alias("id")).agg(
         F.coalesce(F.max("BIRTHYEAR"), F.lit(1960)).cast("double").alias("born")
     )
