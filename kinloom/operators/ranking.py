@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom import fixed
+from kinloom.functions import arrays as A
 from kinloom.functions import scalars as S
+from kinloom.operators.kinship import kin_path_count
 from kinloom.operators.ordered import numbered
 
 LEFT = ("year", "h")
@@ -168,11 +170,16 @@ def scored_pair_table(
     path_counts: DataFrame | None = None,
     prefix: str = "P",
     number_pairs: bool = True,
+    edges: DataFrame | None = None,
+    vectors: DataFrame | None = None,
+    buckets: int = fixed.LINEAGE_BUCKETS,
 ) -> DataFrame:
     """True pairs and k hard negatives per left entity, in the published pair layout.
 
     ``assignment`` (year, h, w) gives ``hungarian_correct``; ``roots`` (id, root) the
-    lineages; ``path_counts`` (year, h, w, patri_path_count) the kin paths.
+    lineages, tagged with ``buckets``; ``path_counts`` (year, h, w, patri_path_count) the kin
+    paths, which ``edges`` (ids as text) count for the pairs of the table itself; ``vectors``
+    (id, vec) the vector ``z`` = [|a - b|, a * b] of every pair.
     """
     known = true_scores(scores, truth).select("year", "h", "true_w", "true_score")
     pairs = scores.select("year", "h", "w", "score").join(known, ["year", "h"])
@@ -208,7 +215,7 @@ def scored_pair_table(
         ).drop("_aw")
     if roots is not None:
         for side, name in (("h", "lineage_husband"), ("w", "lineage_wife")):
-            tags = roots.select(F.col("id").alias(f"_{side}"), S.lineage_tag(F.col("root")).alias(name))
+            tags = roots.select(F.col("id").alias(f"_{side}"), S.lineage_tag(F.col("root"), buckets).alias(name))
             out = out.join(tags, F.col(side) == F.col(f"_{side}"), "left").drop(f"_{side}")
             out = out.withColumn(name, F.coalesce(name, F.lit("L_unknown")))
         out = out.withColumn("same_lineage", S.same_lineage(F.col("lineage_husband"), F.col("lineage_wife")))
@@ -216,6 +223,21 @@ def scored_pair_table(
         out = out.join(path_counts, ["year", "h", "w"], "left").withColumn(
             "patri_path_count", F.coalesce("patri_path_count", F.lit(0)).cast("int")
         )
+    if edges is not None:
+        text = [F.col(c).cast("string").alias(c) for c in ("h", "w")]
+        paths = kin_path_count(out.select(*text).distinct(), edges).select(
+            *[F.col(c).cast(scores.schema[c].dataType).alias(c) for c in ("h", "w")], "patri_path_count"
+        )
+        out = out.join(paths, ["h", "w"], "left").withColumn(
+            "patri_path_count", F.coalesce("patri_path_count", F.lit(0)).cast("int")
+        )
+    if vectors is not None:
+        for side in ("h", "w"):
+            own = vectors.select(F.col("id").alias(side), A.as_doubles(F.col("vec")).alias(f"_{side}v"))
+            out = out.join(own, side, "left")
+        a, b = F.col("_hv"), F.col("_wv")
+        z = F.concat(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.zip_with(a, b, lambda x, y: x * y))
+        out = out.withColumn("z", F.transform(z, lambda x: F.round(x, 4))).drop("_hv", "_wv")
     out = (
         out.withColumn("score", F.round("score", 4))
         .withColumn("score_gap", F.round("score_gap", 4))

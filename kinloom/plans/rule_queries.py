@@ -27,12 +27,18 @@ def _get_pair(spark, sf):
     return Q.get_pair(V.pair_table(spark, sf), 1999, 42).select("year", "id", "husband_id", "wife_id", "score")
 
 
-@query("filter_pairs", PAIRS + """
-SELECT year, id, era, hungarian_correct FROM pair_table WHERE era = 'late' AND NOT coalesce(hungarian_correct, false)""")
+@query("filter_pairs")
 def _filter_pairs(spark, sf):
     return Q.filter_pairs(V.pair_table(spark, sf), era="late", correct=False).select("year", "id", "era", "hungarian_correct")
 
 
+@query("filter_pairs_check", PAIRS + "SELECT year, id, era FROM pair_table WHERE era = 'late'")
+def _filter_pairs_check(spark, sf):
+    """The pairs of an era are those found correct and those not, each once."""
+    pairs = V.pair_table(spark, sf)
+    return Q.filter_pairs(pairs, era="late", correct=False).unionByName(Q.filter_pairs(pairs, era="late", correct=True)).select("year", "id", "era")
+
+
 @query("cells_with_match", L.UNIT + """
 SELECT CAST(q AS INTEGER) AS q, CAST(r AS INTEGER) AS r, bool_or(label = 1 AND cluster < 5) AS has_match FROM placed GROUP BY q, r""")
 def _cells_with_match(spark, sf):

@@ -270,8 +270,14 @@ ranks AS (
   SELECT r.year, r.h, r.w AS true_w, r.rank AS rank_of_truth
   FROM ranked r JOIN truth t ON r.year = t.year AND r.h = t.h AND r.w = t.true_w)"""
 
-# True pairs and five hard negatives per (year, h), numbered per cohort.
-PAIR_TABLE_SQL = TRUTH_SQL + """,
+# True pairs and five hard negatives per (year, h), numbered per cohort, with lineages and kin
+# paths from the edges. The assignment itself has no SQL.
+PAIR_TABLE_SQL = " RECURSIVE " + EDGES_SQL + "," + TRUTH_SQL + """,
+up AS (SELECT dst AS id, min(src) AS parent FROM edges WHERE rel IN ('r_fs', 'r_fd') GROUP BY dst),
+walk AS (
+  SELECT id, id AS cur, 0 AS depth FROM persons
+  UNION ALL SELECT w.id, u.parent, w.depth + 1 FROM walk w JOIN up u ON u.id = w.cur WHERE w.depth < 64),
+roots AS (SELECT id, arg_max(cur, depth) AS root FROM walk GROUP BY id),
 negatives AS (
   SELECT s.year, s.h, s.w, s.score, k.true_score,
     row_number() OVER (PARTITION BY s.year, s.h ORDER BY s.score DESC, s.w) AS neg_rank
@@ -283,21 +289,51 @@ mutual AS (
   WHERE rl = 1 AND rr = 1),
 pair_rows AS (
   SELECT k.year, k.h, k.true_w AS w, 1 AS label, 0 AS neg_rank, k.true_score AS score,
-    k.true_score - coalesce(n.score, 0) AS score_gap, CAST(r.rank_of_truth AS INTEGER) AS rank_of_true_wife,
-    coalesce(m.w = k.true_w, false) AS hungarian_correct
+    k.true_score - coalesce(n.score, 0) AS score_gap, CAST(r.rank_of_truth AS INTEGER) AS rank_of_true_wife
   FROM known k LEFT JOIN negatives n ON n.year = k.year AND n.h = k.h AND n.neg_rank = 1
     JOIN ranks r ON r.year = k.year AND r.h = k.h
-    LEFT JOIN mutual m ON m.year = k.year AND m.h = k.h
   UNION ALL
-  SELECT year, h, w, 0, neg_rank, score, score - true_score, NULL, NULL FROM negatives WHERE neg_rank <= 5),
+  SELECT year, h, w, 0, neg_rank, score, score - true_score, NULL FROM negatives WHERE neg_rank <= 5),
+couples AS (SELECT DISTINCT CAST(h AS VARCHAR) AS h, CAST(w AS VARCHAR) AS w FROM pair_rows),
+pp AS (
+  SELECT src AS a, dst AS b FROM edges WHERE rel IN ('r_fs', 'r_fd', 'r_sib')
+  UNION SELECT dst, src FROM edges WHERE rel IN ('r_fs', 'r_fd', 'r_sib')),
+com AS (SELECT q.h, q.w, count(*) AS n FROM couples q JOIN pp x ON x.a = q.h JOIN pp y ON y.a = q.w AND y.b = x.b GROUP BY ALL),
+hhm AS (SELECT DISTINCT src AS p, dst AS g FROM edges WHERE rel = 'r_hh'),
+house AS (SELECT DISTINCT q.h, q.w FROM couples q JOIN hhm x ON x.p = q.h JOIN hhm y ON y.p = q.w AND y.g = x.g),
+kin AS (
+  SELECT q.h, q.w, CASE WHEN q.h = q.w THEN 0 ELSE CASE WHEN p.a IS NULL THEN 0 ELSE 1 END + coalesce(c.n, 0)
+    + CASE WHEN g.h IS NULL THEN 0 ELSE 1 END END AS paths, coalesce(a.root = b.root, false) AS same_lineage
+  FROM couples q LEFT JOIN pp p ON p.a = q.h AND p.b = q.w LEFT JOIN com c ON c.h = q.h AND c.w = q.w
+    LEFT JOIN house g ON g.h = q.h AND g.w = q.w LEFT JOIN roots a ON a.id = q.h LEFT JOIN roots b ON b.id = q.w),
 pair_table AS (
-  SELECT year, h, w, label, neg_rank, round(score, 4) AS score, round(score_gap, 4) AS score_gap,
-    rank_of_true_wife, hungarian_correct,
-    CASE WHEN year = 1998 THEN 'catchup' WHEN year IN (2000, 2001) THEN 'late' ELSE 'regular' END AS era,
-    h % 7 = w % 7 AS same_lineage, CAST((h + w) % 5 AS INTEGER) AS patri_path_count,
-    'P' || h AS husband_id, 'P' || w AS wife_id,
-    row_number() OVER (PARTITION BY year ORDER BY h, label DESC, neg_rank) - 1 AS id
-  FROM pair_rows)"""
+  SELECT r.year, r.h, r.w, label, neg_rank, round(score, 4) AS score, round(score_gap, 4) AS score_gap, rank_of_true_wife,
+    CASE WHEN r.year = 1998 THEN 'catchup' WHEN r.year IN (2000, 2001) THEN 'late' ELSE 'regular' END AS era,
+    k.same_lineage, CAST(k.paths AS INTEGER) AS patri_path_count,
+    'P' || r.h AS husband_id, 'P' || r.w AS wife_id,
+    row_number() OVER (PARTITION BY r.year ORDER BY r.h, label DESC, neg_rank) - 1 AS id
+  FROM pair_rows r JOIN kin k ON k.h = CAST(r.h AS VARCHAR) AND k.w = CAST(r.w AS VARCHAR))"""
+
+# Tags of this many buckets: different roots get different tags.
+LINEAGES = 1 << 62
+
+
+def assignment(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored one-to-one assignment of all cohorts: year, h, w, score."""
+    from kinloom.operators.assignment import assign_one_to_one
+
+    return _stored(spark, sf, "assignment", lambda path: assign_one_to_one(scores(spark, sf)).write.parquet(path))
+
+
+def lineage_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored root of every person: id (a number, as in the scores), root."""
+    from kinloom.operators.kinship import first_parent, root_ancestor
+
+    def write(path: str) -> None:
+        found = root_ancestor(first_parent(stored_edges(spark, sf)), persons(spark, sf))
+        found.select(F.col("id").cast("bigint").alias("id"), "root").write.parquet(path)
+
+    return _stored(spark, sf, "roots", write)
 
 
 def pair_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -308,17 +344,29 @@ def pair_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_pair_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The scored-pair table of the benchmark: lineage and paths by arithmetic on the ids."""
+    """The scored-pair table of the benchmark, with the assignment, lineages, kin paths and vectors.
+
+    The vector of a pair is made of the two members' embeddings; ids beyond the table of
+    embeddings begin anew.
+    """
     from kinloom.functions import scalars as S
-    from kinloom.operators.ranking import mutual_best, scored_pair_table
+    from kinloom.operators.ranking import scored_pair_table
 
     scored = scores(spark, sf)
-    out = scored_pair_table(scored, truth(scored), assignment=mutual_best(scored))
-    return (
-        out.withColumn("era", S.era_of_year(F.col("year"), catchup=(1998,), late=(2000, 2001)))
-        .withColumn("same_lineage", F.col("h") % 7 == F.col("w") % 7)
-        .withColumn("patri_path_count", ((F.col("h") + F.col("w")) % 5).cast("int"))
+    embeddings = table(spark, sf, "embeddings")
+    n = embeddings.count()
+    people = scored.select(F.col("h").alias("id")).union(scored.select("w")).distinct()
+    vectors = people.withColumn("vec_id", F.col("id") % n).join(embeddings, "vec_id").select("id", F.col("embedding").alias("vec"))
+    out = scored_pair_table(
+        scored,
+        truth(scored),
+        assignment=assignment(spark, sf),
+        roots=lineage_roots(spark, sf),
+        edges=stored_edges(spark, sf),
+        vectors=vectors,
+        buckets=LINEAGES,
     )
+    return out.withColumn("era", S.era_of_year(F.col("year"), catchup=(1998,), late=(2000, 2001)))
 
 
 # -- embeddings -----------------------------------------------------------------------
