@@ -29,16 +29,49 @@ def _learning_curve(spark, sf):
     return rounded(X.learning_curve(log(spark, sf), V.accept_truth(spark, sf)).select(*CURVE_COLUMNS))
 
 
+def as_stream(spark, rows, name, time="ts", parts=3):
+    """``rows`` as a stream of ``parts`` files in the order of time, and an end mark much later.
+
+    The mark (all null but its time) lets the watermark pass the last rows.
+    """
+    path = scratch(spark, name)
+    rows = rows.withColumn(time, F.col(time).cast("timestamp"))
+    us = F.unix_micros(time)
+    span = F.struct(F.min(us).alias("a"), F.max(us).alias("b"))
+    low, high = rows.agg(span).first()[0]
+    for i in range(parts):
+        cut = [low + (high + 1 - low) * k // parts for k in (i, i + 1)]
+        rows.where((us >= cut[0]) & (us < cut[1])).coalesce(1).write.mode("append").parquet(path)
+    end = [F.timestamp_micros(F.lit(high + 10 * 366 * 86_400_000_000)).alias(time) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    spark.range(1).select(*end).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), rows.schema
+
+
 @query("learning_curve_stream", LOG + "," + CURVE_SQL + CURVE)
 def _learning_curve_stream(spark, sf):
-    source = scratch(spark, "accepts")
+    accepts, schema = as_stream(spark, log(spark, sf), "accepts")
+    out = scratch(spark, "curve")
+    stream.learning_curve_stream(accepts, V.accept_truth(spark, sf), out, availableNow=True).awaitTermination()
+    return rounded(stream.read_curve(spark, out, schema).select(*CURVE_COLUMNS))
+
+
+@query("curve_since_reset_stream", LOG + """,
+after AS (SELECT * FROM accepts WHERE NOT is_reset AND (ts, seq) > (SELECT max((ts, seq)) FROM accepts WHERE is_reset)),""" + CURVE_SQL.replace("FROM accepts WHERE NOT is_reset", "FROM after") + CURVE)
+def _curve_since_reset_stream(spark, sf):
+    accepts, schema = as_stream(spark, V.accepts(spark, sf), "accepts")
     out = scratch(spark, "curve")
-    log(spark, sf).write.parquet(source)
-    schema = log(spark, sf).schema
-    accepts = spark.readStream.schema(schema).parquet(source)
-    running = stream.learning_curve_stream(accepts, V.accept_truth(spark, sf), out, availableNow=True)
-    running.awaitTermination()
-    return rounded(stream.read_curve(spark, out).select(*CURVE_COLUMNS))
+    stream.learning_curve_stream(accepts, V.accept_truth(spark, sf), out, availableNow=True).awaitTermination()
+    return rounded(stream.read_curve(spark, out, schema, since_reset=True).select(*CURVE_COLUMNS))
+
+
+@query("latest_accepted_stream", LOG + """
+SELECT husband_id, wife_id, year, source, seq FROM (SELECT *, row_number() OVER (PARTITION BY husband_id ORDER BY ts DESC, seq DESC) AS rn
+  FROM accepts WHERE NOT is_reset AND (ts, seq) > (SELECT max((ts, seq)) FROM accepts WHERE is_reset)) WHERE rn = 1""")
+def _latest_accepted_stream(spark, sf):
+    accepts, schema = as_stream(spark, V.accepts(spark, sf), "accepts")
+    out = scratch(spark, "latest")
+    stream.latest_accepted_stream(accepts.where(F.col("husband_id").isNotNull()), out, availableNow=True).awaitTermination()
+    return stream.read_latest(spark, out, schema).select("husband_id", "wife_id", "year", "source", "seq")
 
 
 @query("curve_totals", LOG + """
@@ -71,24 +104,43 @@ WITH e AS (SELECT CAST(user_id AS VARCHAR) AS topic, event_id AS seq, CASE event
 d AS (SELECT topic, min(seq) AS stop FROM e WHERE type = 'done' GROUP BY topic)"""
 
 
-@query("replay", SESSION_SQL + """
-SELECT e.topic, e.seq, e.type FROM e LEFT JOIN d ON d.topic = e.topic WHERE d.stop IS NULL OR e.seq <= d.stop""")
-def _replay(spark, sf):
+REPLAY_SQL = SESSION_SQL + """
+SELECT e.topic, e.seq, e.type FROM e LEFT JOIN d ON d.topic = e.topic WHERE d.stop IS NULL OR e.seq <= d.stop"""
+# Longer than the log: only the end mark ends a session without a ``done``.
+NEVER_IDLE = 5 * 366 * 86_400
+
+
+def session_events(spark, sf):
     kind = F.when(F.col("event_type") == "signup", "done").otherwise(F.col("event_type"))
-    events = table(spark, sf, "events").select(
-        F.col("user_id").cast("string").alias("topic"), F.col("event_id").alias("seq"), kind.alias("type")
+    return table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("topic"), F.col("event_id").alias("seq"), kind.alias("type"), "ts"
     )
-    return X.replay(events)
 
 
-@query("session_fold", "WITH" + V.TRUTH_SQL + """,
+@query("replay", REPLAY_SQL)
+def _replay(spark, sf):
+    return X.replay(session_events(spark, sf)).select("topic", "seq", "type")
+
+
+@query("replay_stream", REPLAY_SQL)
+def _replay_stream(spark, sf):
+    # An event may come before its place in the sequence by as much as the log is long.
+    events, schema = as_stream(spark, session_events(spark, sf), "events")
+    out = scratch(spark, "replay")
+    stream.replay_stream(events, out, late_seconds=NEVER_IDLE, idle_seconds=NEVER_IDLE, availableNow=True).awaitTermination()
+    return stream.read_replay(spark, out, schema).select("topic", "seq", "type")
+
+
+FOLD_SQL = "WITH" + V.TRUTH_SQL + """,
 top AS (SELECT year, h, w, rank, (score - 50000.0) / 20000.0 AS s FROM ranked WHERE rank <= 4)
 SELECT 'negotiate:' || year || '-' || h AS topic, CAST(w AS VARCHAR) AS candidate_id, round(s, 4) AS pre_score, CAST(rank AS DOUBLE) AS score_gap,
   CAST(CASE WHEN w % 3 = 0 THEN 9 ELSE w % 10 + 1 END AS DOUBLE) AS target_score, 'first ' || w AS target_reason,
   CAST(CASE WHEN w % 2 = 0 THEN 7 END AS DOUBLE) AS candidate_score, CASE WHEN w % 2 = 0 THEN 'back ' || w END AS candidate_reason,
   CAST(CASE WHEN rank = 1 AND h % 2 = 0 THEN 4.5 WHEN rank = 1 THEN 3.5 END AS DOUBLE) AS accepted_score
-FROM top""")
-def _session_fold(spark, sf):
+FROM top"""
+
+
+def negotiations(spark, sf):
     from kinloom.operators.ranking import top_k_per_left
 
     top = top_k_per_left(V.logits(V.scores(spark, sf)), 4)
@@ -114,8 +166,22 @@ def _session_fold(spark, sf):
             _event(7, "committed", F.to_json(F.struct(F.struct(F.col("best").alias("wife_id"), F.lit(4.5).alias("score")).alias("match")))),
         ),
     )
-    log_rows = rows.select("topic", F.inline(F.array_compact(events)))
-    return rounded(X.session_fold(log_rows))
+    return rows.select("topic", F.inline(F.array_compact(events)))
+
+
+@query("session_fold", FOLD_SQL)
+def _session_fold(spark, sf):
+    return rounded(X.session_fold(negotiations(spark, sf)))
+
+
+@query("session_fold_stream", FOLD_SQL)
+def _session_fold_stream(spark, sf):
+    """The same events, of which one kind after the other comes minutes later, in several batches."""
+    timed = negotiations(spark, sf).withColumn("ts", F.timestamp_seconds(F.col("seq") * 60))
+    events, _ = as_stream(spark, timed, "negotiations")
+    out = scratch(spark, "cards")
+    stream.session_fold_stream(events, out, availableNow=True).awaitTermination()
+    return rounded(stream.read_cards(spark, out))
 
 
 def _event(seq: int, kind: str, payload):
@@ -124,5 +190,8 @@ def _event(seq: int, kind: str, payload):
 
 @query("hint_counts", "SELECT user_id AS h, count(*) AS n_hints FROM events WHERE event_type = 'click' GROUP BY 1")
 def _hint_counts(spark, sf):
-    hints = table(spark, sf, "events").where(F.col("event_type") == "click")
-    return stream.hint_stream(hints.select(F.col("user_id").alias("h")))
+    hints = table(spark, sf, "events").where(F.col("event_type") == "click").select(F.col("user_id").alias("h"), "ts")
+    arriving, _ = as_stream(spark, hints, "hints")
+    out = scratch(spark, "hint_counts")
+    stream.hint_counts_stream(arriving.where(F.col("h").isNotNull()), out, availableNow=True).awaitTermination()
+    return stream.read_hint_counts(spark, out)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from kinloom.operators import live as X
 from kinloom.operators import metrics as M
 from kinloom.sources import files
-from kinloom.streaming import live as stream
 
 LOG = "year int, ablation string, husband_id string, wife_id string, source string, ts timestamp, seq long"
 START = dt.datetime(2024, 1, 1)
@@ -33,40 +32,6 @@ def test_curve_counts_eligible_only(spark, truth):
     assert got == [(1, 0, 0, None), (2, 1, 1, 1.0), (3, 2, 1, 0.5), (4, 3, 2, 2 / 3)]
 
 
-def test_stream_equals_batch_with_late_row_and_restart(spark, truth, tmp_path):
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    first = [accept(m, m, "ab"[m % 2], str(m % 3), year=1 + m % 2) for m in range(40)]
-    second = [accept(100 + m, 100 + m, "ab"[m % 2], str(m % 2 + 1), year=1 + m % 2) for m in range(30)]
-    late = accept(-300, 999, "a", "1")
-
-    def run():
-        accepts = spark.readStream.schema(LOG).parquet(source)
-        stream.learning_curve_stream(accepts, truth, out, late_seconds=3600 * 2, availableNow=True).awaitTermination()
-
-    spark.createDataFrame(first, LOG).coalesce(1).write.mode("append").parquet(source)
-    run()
-    spark.createDataFrame([*second, late], LOG).coalesce(1).write.mode("append").parquet(source)
-    run()  # a new query on the same progress folder: the totals go on
-    columns = ["year", "seq", "n_accepted", "n_eligible", "n_correct", "recall_at_1"]
-    got = sorted(tuple(r) for r in stream.read_curve(spark, out).select(*columns).collect())
-    batch = X.learning_curve(spark.createDataFrame(first + second, LOG), truth)
-    assert got == sorted(tuple(r) for r in batch.select(*columns).collect())
-    totals = spark.read.parquet(f"{out}/state/batch=1").groupBy().agg(F.sum("n_late"), F.sum("n_accepted")).first()
-    assert tuple(totals) == (1, 70)
-
-
-def test_latest_and_hints_as_streams(spark, tmp_path):
-    source = str(tmp_path / "in")
-    spark.createDataFrame([accept(0, 0, "a", "1"), accept(5, 1, "a", "2"), accept(3, 2, "b", "1")], LOG).write.parquet(source)
-    accepts = spark.readStream.schema(LOG).parquet(source)
-    for name, df in (("latest", stream.latest_accepted_stream(accepts)), ("hints", stream.hint_stream(accepts, "husband_id"))):
-        q = df.writeStream.outputMode("complete").format("memory").queryName(name).start()
-        q.processAllAvailable()
-        q.stop()
-    assert sorted(tuple(r) for r in spark.table("latest").select("husband_id", "wife_id").collect()) == [("a", "2"), ("b", "1")]
-    assert sorted(tuple(r) for r in spark.table("hints").collect()) == [("a", 2), ("b", 1)]
-
-
 def test_reset_keeps_what_follows(spark):
     log = spark.createDataFrame([accept(0, 0, "a", "1"), accept(1, 1, "a", "r"), accept(2, 2, "b", "1")], LOG)
     marked = log.withColumn("is_reset", F.col("wife_id") == "r")
