@@ -9,7 +9,7 @@ neither a prolific father nor a person in many pairs makes the work explode.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,31 +127,43 @@ def neighbor_counts(edges: DataFrame) -> DataFrame:
     )
 
 
-def kin_profile(edges: DataFrame) -> DataFrame:
-    """Per person: father, sibling group, the same of the father, and family sizes.
+def kin_facts(edges: DataFrame) -> DataFrame:
+    """Per person, in one pass over the edges: smallest father and family, how many of each, children."""
+    paternal, member = F.col("rel").isin(list(PATERNAL)), F.col("rel") == "r_sib"
+    none = F.lit(None).cast(edges.schema["src"].dataType)
+    ends = F.when(
+        paternal,
+        F.array(
+            F.struct(F.col("dst").alias("id"), F.col("src").alias("father"), none.alias("family"), F.lit(0).alias("child")),
+            F.struct(F.col("src").alias("id"), none.alias("father"), none.alias("family"), F.lit(1).alias("child")),
+        ),
+    ).otherwise(
+        F.array(F.struct(F.col("src").alias("id"), none.alias("father"), F.col("dst").alias("family"), F.lit(0).alias("child")))
+    )
+    single = edges.where(paternal | member).select(F.inline(ends))
+    return single.groupBy("id").agg(
+        F.min("father").alias("father"),
+        F.count("father").alias("n_fathers"),
+        F.min("family").alias("family"),
+        F.count("family").alias("n_families"),
+        F.sum("child").alias("n_children"),
+    )
+
+
+def kin_profile(facts: DataFrame) -> DataFrame:
+    """Per person: father, sibling group, the same of the father, and family sizes (from ``kin_facts``).
 
     ``father`` needs a paternal edge (sex known), ``family`` only the sibling membership.
     """
-    father = edges.where(F.col("rel").isin(list(PATERNAL))).groupBy(F.col("dst").alias("id")).agg(
-        F.min("src").alias("father")
-    )
-    family = edges.where(F.col("rel") == "r_sib").groupBy(F.col("src").alias("id")).agg(
-        F.min("dst").alias("family")
-    )
-    children = edges.where(F.col("rel").isin(list(PATERNAL))).groupBy(F.col("src").alias("id")).agg(
-        F.count("*").alias("n_children")
-    )
-    own = father.join(family, "id", "full").join(children, "id", "full")
-    sizes = own.where(F.col("family").isNotNull()).groupBy("family").agg(F.count("*").alias("n_family"))
-    up = own.select(
+    sizes = facts.where(F.col("family").isNotNull()).groupBy("family").agg(F.count("*").alias("n_family"))
+    up = facts.select(
         F.col("id").alias("_f"), F.col("father").alias("grandfather"), F.col("family").alias("father_family")
     )
     return (
-        own.join(sizes, "family", "left")
+        facts.join(sizes, "family", "left")
         .join(up, F.col("father") == F.col("_f"), "left")
         .select(
-            "id", "father", "family", "grandfather", "father_family",
-            F.coalesce("n_children", F.lit(0)).alias("n_children"),
+            "id", "father", "family", "grandfather", "father_family", "n_children",
             F.coalesce("n_family", F.lit(0)).alias("n_family"),
         )
     )
@@ -210,21 +222,23 @@ def _different(a: str, b: str) -> Column:
     return F.col(a) != F.col(b)
 
 
-def irregular(edges: DataFrame) -> DataFrame:
-    """The people (id) of whom the facts of ``kin_profile`` do not tell everything.
+def irregular(facts: DataFrame) -> DataFrame:
+    """The people (id) of whom the facts of ``kin_profile`` do not tell everything (from ``kin_facts``).
 
     They have several fathers or families (or one several times), a father who is not the
-    family, or are the own father or grandfather.
+    family, or are the own father or grandfather. Who is the own grandfather by another than
+    the smallest father is next to somebody with several fathers.
     """
-    pp = edges.where(F.col("rel").isin(list(PATERNAL))).select("src", "dst")
-    father = pp.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("father"))
-    family = edges.where(F.col("rel") == "r_sib").groupBy(F.col("src").alias("id")).agg(
-        F.count("*").alias("m"), F.min("dst").alias("family")
+    father, family = F.col("father"), F.col("family")
+    odd = (
+        (F.col("n_fathers") > 1)
+        | (F.col("n_families") > 1)
+        | F.coalesce(family == F.col("id"), F.lit(False))
+        | (father.isNotNull() & ~father.eqNullSafe(family))
     )
-    odd = (F.col("n") > 1) | (F.col("m") > 1) | (F.col("family") == F.col("id")) | ~F.coalesce(F.col("father").eqNullSafe(F.col("family")) | F.col("father").isNull(), F.lit(False))
-    back = pp.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    own = pp.join(back, ["src", "dst"], "left_semi").select(F.col("dst").alias("id"))
-    return father.join(family, "id", "full").where(odd).select("id").unionByName(own).distinct()
+    up = facts.where(father.isNotNull()).select(F.col("id").alias("_f"), father.alias("_g"))
+    own = facts.join(up, (father == F.col("_f")) & (F.col("id") == F.col("_g"))).select("id")
+    return facts.where(odd).select("id").unionByName(own).distinct()
 
 
 def _explicit(pairs: DataFrame, edges: DataFrame, odd: DataFrame, a: str, b: str) -> DataFrame:
@@ -268,15 +282,19 @@ def _explicit(pairs: DataFrame, edges: DataFrame, odd: DataFrame, a: str, b: str
 
 
 def _counted(pairs: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
-    """The pairs with the edges between them, their common neighbours, and the walks of two steps."""
+    """The pairs with the edges between them, their common neighbours, and the walks of two steps.
+
+    The facts are written once; only pairs near an irregular person are counted from neighbours.
+    """
     t = _kin_terms(a, b)
     one = _is(F.col("_a_father") == F.col(b)) + _is(F.col("_b_father") == F.col(a)) + 2 * t["sibling"]
     common = t["via_parent"] + t["parent_sibling"] + t["child_sibling"] + t["sibling_sibling"]
     two = t["via_parent"] + 2 * t["parent_sibling"] + 2 * t["child_sibling"] + 4 * t["sibling_sibling"]
-    profiled = _profiled(pairs, kin_profile(edges), a, b).select(
+    facts = settle(kin_facts(edges))
+    profiled = _profiled(pairs, kin_profile(facts), a, b).select(
         *pairs.columns, one.alias("_one"), common.alias("_common"), two.alias("_two")
     )
-    odd = irregular(edges)
+    odd = settle(irregular(facts))
     if odd.isEmpty():
         return profiled
     names = ("_one", "_common", "_two")
@@ -347,104 +365,134 @@ def walk_count_upto2(pairs: DataFrame, edges: DataFrame, a: str = "h", b: str =
 
 # -- motifs ---------------------------------------------------------------------------
 
-# Steps from the left member to the right one: (relation, direction).
+# Steps from the left member to the right one: (relation, direction). up leads from child to
+# parent, down back; out from the first end of an edge to the second, in back; any both ways.
+# A sibling step leads to every other member of a family, whatever its direction.
 MOTIFS = {
     "m1_father_brother": (("r_fs", "up"), ("r_sib", "any"), ("r_hw", "any")),
     "m2_uncle_in_law": (("r_fs", "up"), ("r_sib", "any"), ("r_fd", "down"), ("r_hw", "any")),
     "m3_same_household": (("r_hh", "out"), ("r_hh", "in")),
     "m4_banner_endog": (("r_cb", "out"), ("r_cb", "in")),
 }
+BACK = {"up": "down", "down": "up", "out": "in", "in": "out", "any": "any"}
 
+Steps = tuple[tuple[str, str], ...]
 
-def match_motifs(pairs: DataFrame, edges: DataFrame, a: str = "h", b: str = "w") -> DataFrame:
-    """Number of matches of each motif that ends in the given pair.
 
-    m1: a's father (a being a son) - a sibling of the father - married to b.
-    m2: a's father - a sibling of the father - that sibling's daughter - married to b.
-    m3: households both lived in. m4: banners both belong to.
+class _Walks:
+    """Numbers of walks along patterns, from the ends of the asked pairs towards the middle.
 
-    The right-hand ends are counted per (b, family) before they meet the pairs, so each
-    pair joins one row; the sibling step is equality of families minus the father's own
-    contribution. Where somebody is ``irregular``, distinct matches are listed instead.
+    A walk is a sequence of people and groups; parallel edges are one step. The sibling step is
+    taken through families: all their members, less what that counts too often (``surplus``:
+    a person with itself, and a second common family). So no list of siblings is made where a
+    walk from the left meets one from the right in a family.
     """
-    if not irregular(edges).isEmpty():
-        return _listed_motifs(pairs, edges, a, b)
-    sons = edges.where(F.col("rel") == "r_fs").groupBy(F.col("dst").alias("_sid")).agg(F.min("src").alias("_dad"))
-    daughters = edges.where(F.col("rel") == "r_fd").groupBy(F.col("dst").alias("_did")).agg(
-        F.min("src").alias("_dfather")
-    )
-    families = edges.where(F.col("rel") == "r_sib").select(F.col("src").alias("_fid"), F.col("dst").alias("_fam"))
-    hw = edges.where(F.col("rel") == "r_hw")
-    couples = (
-        hw.select(F.col("src").alias("_x"), F.col("dst").alias("_b"))
-        .unionByName(hw.select(F.col("dst").alias("_x"), F.col("src").alias("_b")))
-        .distinct()
-    )
-    couple_family = couples.join(families, F.col("_x") == F.col("_fid")).select("_b", "_x", "_fam")
-    m1_all = couple_family.groupBy("_b", "_fam").agg(F.count("*").alias("n1"))
-    m1_own = couple_family.select(F.col("_b").alias("_ob"), F.col("_x").alias("_ox"), F.lit(1).alias("n1_own"))
-    cousins = (
-        couples.join(daughters, F.col("_x") == F.col("_did"))
-        .join(families, F.col("_dfather") == F.col("_fid"))
-        .select("_b", "_dfather", "_fam")
-    )
-    m2_all = cousins.groupBy(F.col("_b").alias("_b2"), F.col("_fam").alias("_fam2")).agg(F.count("*").alias("n2"))
-    m2_own = cousins.groupBy(F.col("_b").alias("_b3"), F.col("_dfather").alias("_dad3")).agg(
-        F.count("*").alias("n2_own")
-    )
-    dad_family = families.select(F.col("_fid").alias("_dfid"), F.col("_fam").alias("_dadfam"))
-    keyed = (
-        pairs.select(a, b)
-        .distinct()
-        .join(sons, F.col(a) == F.col("_sid"), "left")
-        .join(dad_family, F.col("_dad") == F.col("_dfid"), "left")
-    )
-    counted = (
-        keyed.join(m1_all, (F.col(b) == F.col("_b")) & (F.col("_dadfam") == F.col("_fam")), "left")
-        .join(m1_own, (F.col(b) == F.col("_ob")) & (F.col("_dad") == F.col("_ox")), "left")
-        .join(m2_all, (F.col(b) == F.col("_b2")) & (F.col("_dadfam") == F.col("_fam2")), "left")
-        .join(m2_own, (F.col(b) == F.col("_b3")) & (F.col("_dad") == F.col("_dad3")), "left")
-        .join(shared_groups(pairs, edges, "r_hh", a, b).select(a, b, F.col("n_groups").alias("n3")), [a, b], "left")
-        .join(shared_groups(pairs, edges, "r_cb", a, b).select(a, b, F.col("n_groups").alias("n4")), [a, b], "left")
-        .na.fill(0, ["n1", "n1_own", "n2", "n2_own", "n3", "n4"])
-    )
-    return counted.select(
-        a,
-        b,
-        (F.col("n1") - F.col("n1_own")).alias("m1_father_brother"),
-        (F.col("n2") - F.col("n2_own")).alias("m2_uncle_in_law"),
-        F.col("n3").alias("m3_same_household"),
-        F.col("n4").alias("m4_banner_endog"),
-    )
-
 
-def _listed_motifs(pairs: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``match_motifs`` for people with several fathers or families: distinct (father, uncle[, cousin])."""
-
-    def links(rel: str, src: str, dst: str) -> DataFrame:
-        return edges.where(F.col("rel") == rel).select(F.col("src").alias(src), F.col("dst").alias(dst)).distinct()
-
-    hw = links("r_hw", "_x", "_b")
-    couples = hw.unionByName(hw.select(F.col("_b").alias("_x"), F.col("_x").alias("_b"))).distinct()
-    uncles = couples.join(links("r_sib", "_x", "_fam"), "_x").select("_b", F.col("_x").alias("_uncle"), "_x", "_fam")
-    cousins = couples.join(links("r_fd", "_uncle", "_x"), "_x").join(links("r_sib", "_uncle", "_fam"), "_uncle")
-    asked = pairs.select(a, b).distinct()
-    dads = (
-        asked.join(links("r_fs", "_dad", "_son"), F.col(a) == F.col("_son"))
-        .join(links("r_sib", "_dad", "_dadfam"), "_dad")
-        .select(a, b, "_dad", "_dadfam")
-    )
-
-    def number(ends: DataFrame, name: str) -> DataFrame:
-        met = dads.join(ends, (F.col(b) == F.col("_b")) & (F.col("_dadfam") == F.col("_fam")))
-        found = met.where(F.col("_dad") != F.col("_uncle")).select(a, b, "_dad", "_uncle", "_x").distinct()
-        return found.groupBy(a, b).agg(F.count("*").alias(name))
+    def __init__(self, edges: DataFrame):
+        self.edges = edges
+        self.known: dict[tuple, DataFrame] = {}
+
+    def links(self, rel: str, direction: str) -> DataFrame:
+        """(x, y) of a step."""
+        rows = self.edges.where(F.col("rel") == rel)
+        ahead = rows.select(F.col("src").alias("x"), F.col("dst").alias("y"))
+        behind = rows.select(F.col("dst").alias("x"), F.col("src").alias("y"))
+        if direction == "any":
+            return ahead.unionByName(behind).distinct()
+        return (ahead if direction in ("down", "out") else behind).distinct()
+
+    def members(self) -> DataFrame:
+        if "members" not in self.known:
+            rows = self.edges.where(F.col("rel") == "r_sib")
+            self.known["members"] = settle(rows.select(F.col("src").alias("x"), F.col("dst").alias("family")).distinct())
+        return self.known["members"]
+
+    def surplus(self) -> DataFrame:
+        """(x, y, e): how often families count y as a sibling of x too many times."""
+        if "surplus" not in self.known:
+            members = self.members()
+            several = members.groupBy("x").agg(F.count("*").cast("long").alias("e"))
+            own = several.select("x", F.col("x").alias("y"), "e")
+            # Only people with several families can share more than one.
+            odd = members.join(several.where(F.col("e") > 1).select("x"), "x", "left_semi")
+            met = odd.join(odd.select(F.col("x").alias("y"), "family"), "family").where(F.col("x") != F.col("y"))
+            twice = met.groupBy("x", "y").agg((F.count("*") - 1).cast("long").alias("e")).where(F.col("e") > 0)
+            self.known["surplus"] = settle(own.unionByName(twice))
+        return self.known["surplus"]
+
+    def by_family(self, walks: DataFrame) -> DataFrame:
+        return walks.join(self.members(), "x").groupBy("start", "family").agg(F.sum("n").alias("n"))
+
+    def less(self, walks: DataFrame) -> DataFrame:
+        """What to take away after a sibling step through families, as negative numbers."""
+        counted = walks.join(self.surplus(), "x")
+        return counted.select("start", F.col("y").alias("x"), (-F.col("n") * F.col("e")).alias("n"))
+
+    def step(self, walks: DataFrame, rel: str, direction: str) -> DataFrame:
+        if rel == "r_sib":
+            through = self.by_family(walks).join(self.members(), "family").select("start", "x", "n")
+            moved = through.unionByName(self.less(walks))
+        else:
+            moved = walks.join(self.links(rel, direction), "x").select("start", F.col("y").alias("x"), "n")
+        return moved.groupBy("start", "x").agg(F.sum("n").alias("n")).where(F.col("n") != 0)
+
+    def walk(self, side: str, starts: DataFrame, steps: Steps) -> DataFrame:
+        """(start, x, n): walks of ``steps`` from every start; patterns that begin alike share them."""
+        key = (side, steps)
+        if key not in self.known:
+            if steps:
+                self.known[key] = settle(self.step(self.walk(side, starts, steps[:-1]), *steps[-1]))
+            else:
+                self.known[key] = starts.select(F.col("start"), F.col("start").alias("x"), F.lit(1).cast("long").alias("n"))
+        return self.known[key]
+
+    def count(self, pairs: DataFrame, steps: Steps) -> DataFrame:
+        """(a, b, n) of the pairs (a, b); rows of a pair add up to its number of walks."""
+        middle = len(steps) // 2
+        siblings = [i for i, (rel, _) in enumerate(steps) if rel == "r_sib"]
+        cut = min(siblings, key=lambda i: abs(2 * i + 1 - len(steps))) if siblings else middle
+        back = tuple((rel, BACK[d]) for rel, d in reversed(steps[cut + 1 if siblings else cut :]))
+        left = self.walk("a", pairs.select(F.col("a").alias("start")).distinct(), steps[:cut])
+        right = self.walk("b", pairs.select(F.col("b").alias("start")).distinct(), back)
+
+        def meet(ahead: DataFrame, behind: DataFrame, on: str) -> DataFrame:
+            first = pairs.join(ahead.withColumnRenamed("start", "a"), "a")
+            second = behind.select(F.col("start").alias("b"), on, F.col("n").alias("m"))
+            return first.join(second, ["b", on]).select("a", "b", (F.col("n") * F.col("m")).alias("n"))
+
+        if not siblings:
+            return meet(left, right, "x")
+        return meet(self.by_family(left), self.by_family(right), "family").unionByName(meet(self.less(left), right, "x"))
+
+
+def match_motif(pairs: DataFrame, edges: DataFrame, pattern: Steps, a: str = "h", b: str = "w", name: str = "n_matches") -> DataFrame:
+    """Number of walks along ``pattern``, a sequence of (relation, direction), from a to b of every pair."""
+    return match_motifs(pairs, edges, a, b, {name: tuple(pattern)})
+
+
+def match_motifs(
+    pairs: DataFrame, edges: DataFrame, a: str = "h", b: str = "w", motifs: Mapping[str, Steps] | None = None
+) -> DataFrame:
+    """Number of matches of each motif (``MOTIFS`` by default) that ends in the given pair.
 
-    names = ["m1_father_brother", "m2_uncle_in_law", "m3_same_household", "m4_banner_endog"]
-    out = asked.join(number(uncles, names[0]), [a, b], "left").join(number(cousins, names[1]), [a, b], "left")
-    for name, rel in zip(names[2:], ("r_hh", "r_cb")):
-        out = out.join(shared_groups(pairs, edges, rel, a, b).select(a, b, F.col("n_groups").alias(name)), [a, b], "left")
-    return out.na.fill(0, names).select(a, b, *names)
+    A pattern is cut at the sibling step nearest to its middle (or in the middle). Walks are
+    counted per start from both ends up to the cut, and each pair joins what the two have in
+    common there; all motifs are added up in one aggregate.
+    """
+    motifs = dict(MOTIFS if motifs is None else motifs)
+    for name, steps in motifs.items():
+        if not steps or any(direction not in BACK for _, direction in steps):
+            raise ValueError(f"motif {name!r} needs steps of (relation, {' / '.join(BACK)})")
+    asked = settle(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    walks = _Walks(edges)
+    rows = asked.select("a", "b", F.lit(-1).alias("motif"), F.lit(0).cast("long").alias("n"))
+    for i, steps in enumerate(motifs.values()):
+        found = walks.count(asked, tuple(map(tuple, steps)))
+        rows = rows.unionByName(found.select("a", "b", F.lit(i).alias("motif"), "n"))
+    counted = rows.groupBy("a", "b").agg(
+        *[F.sum(F.when(F.col("motif") == i, F.col("n")).otherwise(0)).alias(name) for i, name in enumerate(motifs)]
+    )
+    return counted.select(F.col("a").alias(a), F.col("b").alias(b), *motifs)
 
 
 def motif_example_counts(matches: DataFrame, flags: dict[str, bool] | None = None) -> DataFrame:
