@@ -272,9 +272,9 @@ def fit_pair_scorer(
     # Only the cohorts that are judged are scored.
     judged = validation.select("year").distinct()
     left_judged, right_judged = left.join(judged, "year", "left_semi"), right.join(judged, "year", "left_semi")
-    train = pair_vectors(examples, left, right).select(
-        F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features")
-    )
+    # The joined examples are written once: every setting and every step of a fit reads them.
+    joined = settle(pair_vectors(examples, left, right).select(F.col("label").cast("double").alias("label"), "features"))
+    train = joined.select("label", array_to_vector("features").alias("features"))
     best: dict | None = None
     for reg in reg_params:
         model = LogisticRegression(regParam=reg, maxIter=max_iter).fit(train)

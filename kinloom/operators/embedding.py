@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions import arrays as A
+from kinloom.session import settle
 
 
 def standardize(df: DataFrame, vector: str = "vec", name: str = "scaled") -> DataFrame:
@@ -45,6 +46,30 @@ def landmarks_of(df: DataFrame, order: str, n: int, vector: str = "vec") -> Data
     return df.orderBy(F.md5(F.col(order).cast("string")), order).limit(n).select(F.col(order).alias("landmark"), A.as_doubles(F.col(vector)).alias("lv"))
 
 
+def farthest_landmarks(df: DataFrame, key: str, n: int, vector: str = "vec", settle_every: int = 10) -> DataFrame:
+    """n rows that cover the others well: each is the farthest one from those before it (Gonzalez 1985).
+
+    The largest distance from a row to its nearest landmark is at most twice the least possible
+    one. The first landmark has the smallest key, ties go to it, too; equal vectors are taken
+    once. A round is one aggregate; the distances so far are written now and then.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("landmark"), A.as_doubles(F.col(vector)).alias("lv"))
+    first = rows.orderBy("landmark").limit(1).collect()
+    found = [(r["landmark"], list(r["lv"])) for r in first]
+    state, new = settle(rows.withColumn("_d", F.lit(float("inf")))), found[:]
+    while found and len(found) < n:
+        nearest = [A.squared_distance(F.col("lv"), F.array(*[F.lit(float(v)) for v in lv])) for _, lv in new]
+        state = state.withColumn("_d", F.least("_d", *nearest))
+        if len(found) % settle_every == 0:
+            state = settle(state)
+        far = state.agg(F.max_by(F.struct("landmark", "lv", "_d"), F.struct("_d", F.struct("landmark")))).first()[0]
+        if far["_d"] <= 0:
+            break
+        new = [(far["landmark"], list(far["lv"]))]
+        found += new
+    return df.sparkSession.createDataFrame(found, rows.schema) if found else rows.limit(0)
+
+
 def pairwise_distance(df: DataFrame, landmarks: DataFrame, key: str, vector: str = "vec") -> DataFrame:
     """Euclidean distance of every row to each landmark of a bounded set (at most a few hundred)."""
     marks = landmarks.agg(F.sort_array(F.collect_list(F.struct("landmark", "lv")))).scalar()
@@ -56,12 +81,15 @@ def pairwise_distance(df: DataFrame, landmarks: DataFrame, key: str, vector: str
     )
 
 
-def project_2d(df: DataFrame, key: str, vector: str = "vec", method: str = "pca", n_landmarks: int = 100, digits: int = 4) -> DataFrame:
+def project_2d(
+    df: DataFrame, key: str, vector: str = "vec", method: str = "pca", n_landmarks: int = 100, digits: int = 4, choice: str = "farthest"
+) -> DataFrame:
     """Two coordinates per row, in one space for all rows.
 
     ``pca`` takes the first two components. ``landmark`` is landmark MDS (de Silva and
     Tenenbaum 2004): the landmark distances, a matrix of fixed size, are solved once and
-    every row is placed by a linear expression of its squared distances to them.
+    every row is placed by a linear expression of its squared distances to them. ``choice``
+    of landmarks: ``farthest`` (a round for each, covers the data) or ``hash`` (one pass).
     """
     if method == "pca":
         p = pca(df, 2, vector, "_xy")
@@ -70,7 +98,8 @@ def project_2d(df: DataFrame, key: str, vector: str = "vec", method: str = "pca"
         )
     if method != "landmark":
         raise ValueError(f"unknown method {method!r}")
-    marks = [np.array(r["lv"]) for r in landmarks_of(df, key, n_landmarks, vector).orderBy("landmark").collect()]
+    chosen = {"farthest": farthest_landmarks, "hash": landmarks_of}[choice](df, key, n_landmarks, vector)
+    marks = [np.array(r["lv"]) for r in chosen.orderBy("landmark").collect()]
     m = np.stack(marks)
     d2 = ((m[:, None, :] - m[None, :, :]) ** 2).sum(axis=2)
     centre = np.eye(len(m)) - 1.0 / len(m)

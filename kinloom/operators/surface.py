@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom import fixed
 from kinloom.functions import scalars as S
 from kinloom.operators.features import minmax_scale
-from kinloom.operators.ordered import exact_percentiles, with_scalar
+from kinloom.operators.ordered import exact_percentiles
+from kinloom.session import settle
 
 
 def channel_values(cells: DataFrame) -> DataFrame:
@@ -42,6 +43,54 @@ def raster_size(width: float = 800, height: float = 600, margin: float = 40) ->
     return fixed.RASTER_WIDTH, max(fixed.RASTER_MIN_HEIGHT, rows)
 
 
+def nearest_cells(points: DataFrame, cells: DataFrame, k: int, cutoff: float, side: float, reach: float) -> DataFrame:
+    """The k nearest cells of every point: ``points`` (gx, gy) with ``_n``, an array by distance and cell id.
+
+    Both lie in square buckets of length ``side``. A point looks through its own bucket, then
+    ring after ring around it; after ring r it knows all cells within r * side. It is done with
+    k cells within that bound, or all there are, or with none within ``cutoff`` (then its array
+    does not matter), and all are done beyond ``reach``. Only points that are not done join the
+    next ring.
+    """
+    total = cells.count()
+    kind = cells.select("cell_id", "height", "lead").schema
+    found = "array<struct<d2:double,cell_id:{},height:{},lead:{}>>".format(*[f.dataType.simpleString() for f in kind])
+    bucketed = settle(
+        cells.select(
+            F.floor(F.col("gx") / side).alias("_bx"), F.floor(F.col("gy") / side).alias("_by"),
+            F.struct("gx", "gy", "cell_id", "height", "lead").alias("_c"),
+        )
+    )
+    waiting, done, ring = points.select("gx", "gy", F.array().cast(found).alias("_n")), None, 0
+    while True:
+        steps = [(x, y) for x in range(-ring, ring + 1) for y in range(-ring, ring + 1) if max(abs(x), abs(y)) == ring]
+        around = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps]))
+        asked = waiting.select("gx", "gy", around.alias("_s")).select(
+            F.col("gx").alias("_px"), F.col("gy").alias("_py"),
+            (F.floor(F.col("gx") / side) + F.col("_s.x")).alias("_bx"), (F.floor(F.col("gy") / side) + F.col("_s.y")).alias("_by"),
+        )
+        x, y = F.col("_c.gx") - F.col("_px"), F.col("_c.gy") - F.col("_py")
+        met = asked.join(bucketed, ["_bx", "_by"]).select(
+            "_px", "_py", F.struct((x * x + y * y).alias("d2"), "_c.cell_id", "_c.height", "_c.lead").alias("_m")
+        )
+        order = Window.partitionBy("_px", "_py").orderBy("_m.d2", "_m.cell_id")
+        best = met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+        lists = best.groupBy(F.col("_px").alias("gx"), F.col("_py").alias("gy")).agg(F.collect_list("_m").alias("_new"))
+        merged = waiting.join(lists, ["gx", "gy"], "left").select(
+            "gx", "gy", F.slice(F.array_sort(F.concat("_n", F.coalesce("_new", F.array().cast(found)))), 1, k).alias("_n")
+        )
+        known = ring * side
+        full = (F.size("_n") >= total) | (F.size("_n") >= k) & (F.get("_n", k - 1)["d2"] <= known * known)
+        empty = F.lit(known >= cutoff) & F.coalesce(F.get("_n", 0)["d2"] > cutoff * cutoff, F.lit(True))
+        judged = settle(merged.withColumn("_done", F.lit(known > reach) | F.coalesce(full, F.lit(False)) | empty))
+        ended = judged.where("_done").drop("_done")
+        done = ended if done is None else done.unionByName(ended)
+        waiting = judged.where(~F.col("_done")).drop("_done")
+        if waiting.isEmpty():
+            return done
+        ring += 1
+
+
 def idw_raster(
     cells: DataFrame,
     radius: float = fixed.HEX_RADIUS,
@@ -52,56 +101,37 @@ def idw_raster(
 ) -> DataFrame:
     """Inverse-distance surface over a grid: raster(gx, gy, height, lead).
 
-    ``cells`` has (cell_id, cx, cy, height, lead), the non-empty cells of a unit-square
-    grid. Their number is fixed by the radius, not by the data, so they travel as one
-    array and every grid point takes its nearest ones with array functions: no join.
-    A point with no cell within three radii is 0.
+    ``cells`` has (cell_id, cx, cy, height, lead), the non-empty cells of a grid, however many.
+    Every grid point takes its nearest ones (``nearest_cells``). A point with no cell within
+    three radii is 0. Only the bounding box and the number of cells reach the driver.
     """
     width, rows = size or raster_size()
-    box = cells.agg(
-        F.struct(
-            F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1")
-        ).alias("b")
-    )
-
-    def padded(lo: str, hi: str) -> tuple[Column, Column]:
-        pad = F.greatest(F.lit(pad_min), (F.col("b")[hi] - F.col("b")[lo]) * pad_share)
-        low, high = F.col("b")[lo] - pad, F.col("b")[hi] + pad
-        return low, F.when(high - low < 1e-6, low + 1).otherwise(high)
-
-    x0, x1 = padded("x0", "x1")
-    y0, y1 = padded("y0", "y1")
-    bounds = box.select(F.struct(x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1")))
-    frame = F.col("_frame")
-    on_grid = with_scalar(cells, "_frame", bounds).select(
+    box = cells.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy"), F.count("*")).first()
+    n_cells = box[4]
+
+    def padded(low: float | None, high: float | None) -> tuple[float, float]:
+        if low is None:
+            return 0.0, 1.0
+        pad = max(pad_min, (high - low) * pad_share)
+        low, high = low - pad, high + pad
+        return low, low + 1 if high - low < 1e-6 else high
+
+    (x0, x1), (y0, y1) = padded(box[0], box[1]), padded(box[2], box[3])
+    on_grid = cells.select(
         "cell_id",
-        ((F.col("cx") - frame["x0"]) / (frame["x1"] - frame["x0"]) * (width - 1)).alias("gx"),
-        ((F.col("cy") - frame["y0"]) / (frame["y1"] - frame["y0"]) * (rows - 1)).alias("gy"),
+        ((F.col("cx") - x0) / (x1 - x0) * (width - 1)).alias("gx"),
+        ((F.col("cy") - y0) / (y1 - y0) * (rows - 1)).alias("gy"),
         "height",
         "lead",
     )
-    marks = on_grid.agg(
-        F.sort_array(F.collect_list(F.struct("cell_id", "gx", "gy", "height", "lead")))
-    )
-    per_step = ((frame["x1"] - frame["x0"]) / (width - 1) + (frame["y1"] - frame["y0"]) / (rows - 1)) * 0.5
-    cutoff = F.greatest(F.lit(2.0), F.lit(3.0 * radius) / F.greatest(F.lit(1e-6), per_step))
+    per_step = ((x1 - x0) / (width - 1) + (y1 - y0) / (rows - 1)) * 0.5
+    cutoff = max(2.0, 3.0 * radius / max(1e-6, per_step))
     grid = cells.sparkSession.range(width).select(
         F.col("id").cast("int").alias("gx"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("gy")
     )
-    grid = with_scalar(with_scalar(grid, "_marks", marks), "_frame", bounds)
-    grid = grid.select("gx", "gy", "_marks", (cutoff * cutoff).alias("_cut2"))
-    by_distance = F.array_sort(
-        F.transform(
-            F.col("_marks"),
-            lambda m: F.struct(
-                ((m["gx"] - F.col("gx")) * (m["gx"] - F.col("gx")) + (m["gy"] - F.col("gy")) * (m["gy"] - F.col("gy"))).alias("d2"),
-                m["cell_id"].alias("cell_id"),
-                m["height"].alias("height"),
-                m["lead"].alias("lead"),
-            ),
-        )
-    )
-    near = grid.withColumn("_n", F.slice(by_distance, 1, neighbours)).drop("_marks")
+    # Buckets of about as many cells as are wanted, unless these lie far apart.
+    side = min(cutoff, max(0.25, math.sqrt(neighbours * width * rows / max(1, n_cells))))
+    near = nearest_cells(grid, on_grid, neighbours, cutoff, side, math.hypot(width, rows)).withColumn("_cut2", F.lit(cutoff * cutoff))
 
     def weight(n: Column) -> Column:
         return F.lit(1.0) / (n["d2"] + fixed.IDW_EPS)
@@ -120,7 +150,7 @@ def idw_raster(
     lead = F.lit(len(votes) - 1)
     for i in reversed(range(len(votes) - 1)):
         lead = F.when(votes[i] == most, F.lit(i)).otherwise(lead)
-    inside = F.coalesce(F.col("_n")[0]["d2"] <= F.col("_cut2"), F.lit(False))
+    inside = F.coalesce(F.get("_n", 0)["d2"] <= F.col("_cut2"), F.lit(False))
     return near.select(
         "gx", "gy",
         F.when(inside, heights / total).otherwise(0.0).alias("height"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import random
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +53,49 @@ def test_surface_far_from_cells_is_zero_and_exact_on_a_cell(spark):
     assert out[20, 15]["height"] == 0.0 and len(out) == 41 * 31
 
 
+def test_raster_equals_brute_force(spark):
+    """Crowded and lonely cells: the nearest ones, wherever they lie, in the order of distance and id."""
+    rng = np.random.default_rng(8)
+    xy = np.concatenate([rng.uniform(0, 0.2, (150, 2)), rng.uniform(0, 1, (12, 2))])
+    height, lead = rng.uniform(0, 1, len(xy)), rng.integers(0, len(U.fixed.CHANNELS), len(xy))
+    data = [(i, *map(float, p), float(h), int(k)) for i, (p, h, k) in enumerate(zip(xy, height, lead))]
+    cells = spark.createDataFrame(data, "cell_id int, cx double, cy double, height double, lead int")
+    out = {(r["gx"], r["gy"]): r for r in U.idw_raster(cells, size=(31, 21), pad_min=0.0).collect()}
+    low, high = xy.min(axis=0), xy.max(axis=0)
+    pad = (high - low) * 0.04
+    low, high = low - pad, high + pad
+    grid = (xy - low) / (high - low) * np.array([30, 20])
+    step = ((high - low) / np.array([30, 20])).mean()
+    cutoff = max(2.0, 3 * U.fixed.HEX_RADIUS / step)
+    for (gx, gy), row in out.items():
+        d2 = ((grid - np.array([gx, gy])) ** 2).sum(axis=1)
+        near = np.lexsort((np.arange(len(d2)), d2))[:12]
+        if d2[near[0]] > cutoff**2:
+            assert row["height"] == 0.0 and row["lead"] == 0
+            continue
+        weights = 1 / (d2[near] + U.fixed.IDW_EPS)
+        votes = [weights[lead[near] == c].sum() for c in range(len(U.fixed.CHANNELS))]
+        assert abs(row["height"] - (weights * height[near]).sum() / weights.sum()) < 1e-9
+        assert row["lead"] == int(np.argmax(votes))
+    assert U.idw_raster(cells.limit(0), size=(5, 4)).agg(F.sum("height")).first()[0] == 0.0
+
+
+def test_farthest_landmarks_are_within_twice_the_best_radius(spark):
+    rng = np.random.default_rng(3)
+    points_ = np.concatenate([rng.normal(size=(12, 2)), rng.normal(size=(4, 2)) + 9])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points_)], "id int, vec array<double>")
+    chosen = [r["landmark"] for r in Z.farthest_landmarks(df, "id", 3, settle_every=2).collect()]
+
+    def radius(centres):
+        return max(min(np.linalg.norm(p - points_[c]) for c in centres) for p in points_)
+
+    best = min(radius(c) for c in itertools.combinations(range(len(points_)), 3))
+    assert len(set(chosen)) == 3 and radius(chosen) <= 2 * best + 1e-9
+    same = spark.createDataFrame([(1, [0.0]), (2, [0.0]), (3, None)], "id int, vec array<double>")
+    assert [r["landmark"] for r in Z.farthest_landmarks(same, "id", 3).collect()] == [1]
+    assert Z.farthest_landmarks(same.limit(0), "id", 3).collect() == []
+
+
 def test_smoothing_keeps_a_constant(spark):
     grid = spark.range(12).select(F.col("id").cast("int").alias("gx"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("gy"))
     out = U.gaussian_smooth(grid.withColumn("height", F.lit(3.0)), (12, 8))
