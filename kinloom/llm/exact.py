@@ -8,6 +8,7 @@ the exact buckets, and only their texts are compared byte by byte.
 
 from __future__ import annotations
 
+import itertools
 import math
 from typing import NamedTuple
 
@@ -40,16 +41,16 @@ class FuseFilter(NamedTuple):
         factor = 0.0 if n < 2 else max(1.125, 0.875 + 0.25 * math.log(1_000_000) / math.log(n))
         segments = max(1, -(-int(n * factor) // segment) - 2)
         starts = segments * segment
-        for seed in range(1, 1000):
+        for seed in itertools.count(1):
             mixed, slots = places(keys, seed, segment, starts)
             table = peeled(mixed, slots, (segments + 2) * segment)
             if table is not None:
                 return FuseFilter(seed, segment, starts, table)
             if seed % 20 == 0:
-                # Only tiny sets need more room.
-                segments += 1
+                # More room: sooner or later distinct keys can be peeled.
+                segments += 1 + segments // 8
                 starts = segments * segment
-        raise RuntimeError("no seed peels this bucket")
+        raise AssertionError("seeds do not end")
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         mixed, slots = places(keys.astype(np.uint64), self.seed, self.segment, self.starts)
@@ -183,12 +184,13 @@ def dedup(docs: DataFrame, batch: Column, bucket_rows: int = 100_000) -> DataFra
     older = grouped.select("sha", "n_bytes", F.col("batch").alias("snapshot"), handle("top").alias("old_top"))
     met = settled(passed.join(older, ["sha", "n_bytes", "snapshot"]))
     asked = met.select("sha", "batch", "top").union(met.select("sha", "snapshot", "old_top")).distinct()
+    # A text is fetched by id and digest: rows without an id, or many texts under one, are no hot
+    # key. The small side is hashed, so the texts are shuffled but not sorted. At most one row
+    # for each digest and batch is asked for.
     texts = docs.select(handle("doc_id").alias("top"), text_or_empty().alias("text"))
-    # The small side is hashed, so the texts are shuffled but not sorted. At most one row for
-    # each digest and batch is asked for.
     fetched = (
-        texts.join(asked.hint("shuffle_hash"), "top")
-        .where(F.unhex(F.sha2("text", 256)) == F.col("sha"))
+        texts.withColumn("sha", F.unhex(F.sha2("text", 256)))
+        .join(asked.hint("shuffle_hash"), ["top", "sha"])
         .groupBy("sha", "batch")
         .agg(F.first("text").alias("text"))
     )

@@ -60,3 +60,20 @@ def test_corpus(corpus):
     rows = [(r["doc_id"], r["text"]) for r in corpus.collect()]
     got = sorted((tuple(r[c] for c in COLUMNS) for r in dedup(corpus, by_hash()).collect()), key=repr)
     assert got == brute(rows)
+
+
+def test_many_texts_without_an_id(spark, make):
+    """Rows without an id, and many texts under one id, are fetched by their digests."""
+    from kinloom.llm.exact import by_hash, dedup
+
+    data = [(None, f"text {i % 150}") for i in range(300)] + [(7, f"text {i}") for i in range(100, 260)]
+    found = dedup(make(data), by_hash()).collect()
+    sizes = {}
+    for _, text in data:
+        sizes[text] = sizes.get(text, 0) + 1
+    import hashlib
+
+    by_sha = {hashlib.sha256(t.encode()).hexdigest(): (n, 7 if int(t.split()[1]) >= 100 else None) for t, n in sizes.items()}
+    assert len(found) == len(data)
+    assert all((r["group_size"], r["keep_id"]) == by_sha[r["text_sha256"]] for r in found)
+    assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in found)
