@@ -73,7 +73,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The driver has held four stages by now, so its word table is smaller than the operator's
     default: more words are folded where they stand, with the same result.
     """
-    return bpe.round_trip(docs, bpe.Vocabulary(spark, settings=bpe.Settings(table_words=1 << 17)))
+    with bpe.Vocabulary(spark, settings=bpe.Settings(table_words=1 << 17)) as vocabulary:
+        return bpe.round_trip(docs, vocabulary)
 
 
 STAGES = [
