@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom import fixed
-from kinloom.operators.ordered import numbered, with_scalar
+from kinloom.operators.ordered import numbered, running_sums, sliced, with_scalar
+from kinloom.session import settle
 
 
 def unit_scaled(df: DataFrame, x: str = "x", y: str = "y", reference: DataFrame | None = None) -> DataFrame:
@@ -100,6 +101,12 @@ def hex_assign(points: DataFrame, radius: float = fixed.HEX_RADIUS) -> DataFrame
     return placed.withColumn("q", F.col("_c")["q"]).withColumn("r", F.col("_c")["r"]).drop("_c")
 
 
+def _squared(x: str, y: str) -> Column:
+    """Squared distance of (x, y) to a centroid."""
+    dx, dy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
+    return dx * dx + dy * dy
+
+
 def hex_pack(
     points: DataFrame,
     radius: float = fixed.HEX_RADIUS,
@@ -109,50 +116,49 @@ def hex_pack(
 ) -> DataFrame:
     """Place every point so that a cell holds at most ``capacity`` points of one cluster.
 
-    Points of a cluster are ordered by distance to their centroid and cut into blocks of
-    ``capacity``. Every cell belongs to the cluster with the nearest centroid; block b
-    takes the b-th nearest cell of its own cluster. Blocks beyond the cluster's territory
-    take the free cells nearest to the middle of the layout. The grid grows beyond the
-    unit square until there is a cell for every block, so no point is left out. The
-    number of clusters is bounded by the clustering (``k_max``).
+    Points of a cluster are ordered by distance to their centroid (ties by ``key``) and cut into
+    blocks of ``capacity``; a missing cluster counts as cluster 0. Every cluster claims as many
+    cells as it has blocks, the nearest to its centroid first (ties by q, r). A cell claimed by
+    several clusters goes to the one with most points (ties: the smaller number); the others give
+    it up for good and claim cells farther out. This goes on until no cell is claimed twice, so
+    no block would win a cell nearer than its own. Block b of a cluster gets its b-th nearest
+    cell. The grid grows beyond the unit square until there is a cell for every block, so no point
+    is left out; no points give no rows.
+
+    What a larger cluster holds only grows, so there are at most as many rounds as clusters; their
+    number is bounded by the clustering (``k_max``). Wishes are sorted once, a round numbers
+    those that are left.
     """
     spark = points.sparkSession
     pts = points.withColumn("_cl", F.coalesce(F.col(cluster).cast("int"), F.lit(0)))
-    centroids = pts.groupBy("_cl").agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
-    near = pts.join(centroids, "_cl")
-    d2 = (F.col("x") - F.col("_mx")) * (F.col("x") - F.col("_mx")) + (F.col("y") - F.col("_my")) * (
-        F.col("y") - F.col("_my")
-    )
-    ranked = numbered(near.withColumn("_d", d2), ["_cl"], ["_d", key], "_rn", start=0)
-    ranked = ranked.withColumn("_block", F.floor(F.col("_rn") / capacity))
-    blocks = ranked.where(F.col("_rn") % capacity == 0).select("_cl", "_block")
+    centroids = settle(
+        pts.groupBy("_cl").agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"), F.count("*").alias("_n"))
+    ).withColumn("_blocks", F.ceil(F.col("_n") / capacity))
+    ranked = numbered(pts.join(centroids, "_cl").withColumn("_d", _squared("x", "y")), ["_cl"], ["_d", key], "_rn", start=0)
 
-    n_blocks = blocks.count()
+    n_blocks = centroids.agg(F.coalesce(F.sum("_blocks"), F.lit(0))).first()[0]
     area = 1.5 * math.sqrt(3.0) * radius * radius
     side = math.sqrt(1.3 * n_blocks * area)
     cells = hex_grid(spark, radius, max(radius, (side - 1.0) / 2 + 2 * radius))
 
-    centres = centroids.agg(F.sort_array(F.collect_list(F.struct("_cl", "_mx", "_my")))).scalar()
-    to_centres = F.transform(
-        "_centres",
-        lambda c: F.struct(
-            ((F.col("cx") - c["_mx"]) * (F.col("cx") - c["_mx"]) + (F.col("cy") - c["_my"]) * (F.col("cy") - c["_my"])).alias("d"),
-            c["_cl"].alias("cl"),
-        ),
-    )
-    owned = cells.withColumn("_centres", centres).withColumn("_own", F.array_min(to_centres)).select(
-        "q", "r", "cx", "cy", F.col("_own")["cl"].alias("_cl"), F.col("_own")["d"].alias("_d")
-    )
-    owned = numbered(owned, ["_cl"], ["_d", "q", "r"], "_block", start=0)
-    home = blocks.join(owned, ["_cl", "_block"], "left").select("_cl", "_block", "q", "r", "cx", "cy")
-    settled = home.where(F.col("q").isNotNull())
-    lost = numbered(home.where(F.col("q").isNull()).select("_cl", "_block"), [], ["_block", "_cl"], "_i", start=0)
-    free = owned.join(blocks, ["_cl", "_block"], "left_anti").select("q", "r", "cx", "cy")
-    middle = (F.col("cx") - 0.5) * (F.col("cx") - 0.5) + (F.col("cy") - 0.5) * (F.col("cy") - 0.5)
-    free = numbered(free.withColumn("_d", middle), [], ["_d", "q", "r"], "_i", start=0)
-    moved = lost.join(free.drop("_d"), "_i").select("_cl", "_block", "q", "r", "cx", "cy")
-    cell_of_block = settled.unionByName(moved)
-    return ranked.join(cell_of_block, ["_cl", "_block"]).select(*points.columns, "q", "r", "cx", "cy")
+    fields = ["_cl", "_mx", "_my", "_n", "_blocks"]
+    centres = centroids.agg(F.collect_list(F.struct(*fields))).scalar()
+    wishes = cells.select("*", F.inline(centres)).withColumn("_d", _squared("cx", "cy"))
+    # The smallest claim on a cell wins.
+    wishes = wishes.select("_cl", "_blocks", "_d", "q", "r", "cx", "cy", F.struct(-F.col("_n"), "_cl").alias("_claim"))
+    wishes = sliced(wishes, ["_cl"], ["_d", "q", "r"])
+    left = wishes
+    while True:
+        places = running_sums(left, ["_cl"], ["_d", "q", "r"], {"_block": F.lit(1)}, slice_by=["_slice"])
+        claims = settle(places.where(F.col("_block") <= F.col("_blocks")))
+        holders = claims.groupBy("q", "r").agg(F.min("_claim").alias("_holder"), F.count("*").alias("_n_claims"))
+        if holders.where("_n_claims > 1").isEmpty():
+            break
+        kept = F.col("_holder").isNull() | (F.col("_claim") <= F.col("_holder"))
+        left = wishes.join(holders, ["q", "r"], "left").where(kept).drop("_holder", "_n_claims")
+    cell_of_block = claims.select("_cl", (F.col("_block") - 1).alias("_block"), "q", "r", "cx", "cy")
+    placed = ranked.withColumn("_block", F.floor(F.col("_rn") / capacity)).join(cell_of_block, ["_cl", "_block"])
+    return placed.select(*points.columns, "q", "r", "cx", "cy")
 
 
 def cell_aggregates(placed: DataFrame, grid: DataFrame) -> DataFrame:
@@ -177,13 +183,14 @@ def cell_aggregates(placed: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def cluster_summary(cells: DataFrame) -> DataFrame:
-    """Cells and points per cluster."""
+    """Cells and points per cluster; ``cluster_cells`` names the cells."""
     used = cells.where(~F.col("empty"))
-    return used.groupBy("cluster").agg(
-        F.count("*").alias("n_cells"),
-        F.sum("n_points").alias("n_points"),
-        F.sort_array(F.collect_list("cell_id")).alias("cell_ids"),
-    )
+    return used.groupBy("cluster").agg(F.count("*").alias("n_cells"), F.sum("n_points").alias("n_points"))
+
+
+def cluster_cells(cells: DataFrame) -> DataFrame:
+    """The cells of each cluster, one row per cell: a cluster may have as many as it likes."""
+    return cells.where(~F.col("empty")).select("cluster", "cell_id", "q", "r")
 
 
 # Neighbour offsets (column step, row step) of even and odd columns.

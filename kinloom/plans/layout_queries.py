@@ -12,6 +12,7 @@ from kinloom.plans.registry import query, rounded, table
 from kinloom.session import settle
 
 UNIT = "WITH" + V.POINTS_SQL
+CLUSTERS = 10  # labels of the embeddings
 
 
 def unit_points(spark, sf):
@@ -106,13 +107,42 @@ def _hex_assign(spark, sf):
     return placed(spark, sf).select("id", "q", "r")
 
 
-@query("hex_pack")
+def _pack_sql(clusters: int) -> str:
+    """Packing as a serial choice: clusters from large to small take the nearest cells left."""
+    taken, steps = "SELECT CAST(NULL AS INTEGER) AS place, CAST(NULL AS BIGINT) AS q, CAST(NULL AS BIGINT) AS r, CAST(NULL AS BIGINT) AS block WHERE false", []
+    for k in range(1, clusters + 1):
+        steps.append(f"""t{k} AS MATERIALIZED (
+  SELECT {k} AS place, q, r, block FROM (
+    SELECT c.q, c.r, b.blocks, row_number() OVER (ORDER BY (c.cx - b.mx) * (c.cx - b.mx) + (c.cy - b.my) * (c.cy - b.my), c.q, c.r) - 1 AS block
+    FROM wide c JOIN centres b ON b.place = {k} ANTI JOIN ({taken}) t ON t.q = c.q AND t.r = c.r)
+  WHERE block < blocks)""")
+        taken = " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(1, k + 1))
+    return UNIT + f""",
+centres AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY n DESC, cl) AS place FROM (
+    SELECT coalesce(cluster, 0) AS cl, avg(x) AS mx, avg(y) AS my, count(*) AS n, ceil(count(*) / 12.0) AS blocks FROM unit GROUP BY 1)),
+side AS (SELECT greatest(0.04, (sqrt(1.3 * sum(blocks) * (1.5 * sqrt(3.0) * 0.04 * 0.04)) - 1.0) / 2 + 0.08) AS margin FROM centres),
+wide AS MATERIALIZED (
+  SELECT q, r, cx, cy FROM side, (
+    SELECT q, r, CAST(q AS DOUBLE) * 0.06 AS cx, r * (sqrt(3.0) * 0.04) + CASE WHEN abs(q) % 2 = 1 THEN sqrt(3.0) * 0.04 / 2 ELSE 0 END AS cy
+    FROM range(-200, 220) a(q), range(-200, 220) b(r))
+  WHERE cx BETWEEN -margin AND 1 + margin AND cy BETWEEN -margin AND 1 + margin),
+{", ".join(steps)},
+ranked AS (
+  SELECT u.id, u.cluster, b.place, (row_number() OVER (PARTITION BY b.place ORDER BY (u.x - b.mx) * (u.x - b.mx) + (u.y - b.my) * (u.y - b.my), u.id) - 1) // 12 AS block
+  FROM unit u JOIN centres b ON b.cl = coalesce(u.cluster, 0)),
+packed AS (SELECT id, cluster, CAST(q AS INTEGER) AS q, CAST(r AS INTEGER) AS r FROM ranked JOIN ({taken}) USING (place, block))
+"""
+
+
+@query("hex_pack", _pack_sql(CLUSTERS) + "SELECT * FROM packed")
 def _hex_pack(spark, sf):
     return H.hex_pack(unit_points(spark, sf)).select("id", "cluster", "q", "r")
 
 
-@query("hex_pack_check", """
-SELECT count(*) AS n_points, true AS within_capacity, true AS one_cluster_per_cell FROM embeddings""")
+@query("hex_pack_check", _pack_sql(CLUSTERS) + """
+SELECT count(*) AS n_points, max(n) <= 12 AS within_capacity, max(k) = 1 AS one_cluster_per_cell FROM (
+  SELECT count(*) OVER (PARTITION BY q, r) AS n, max(cluster) OVER (PARTITION BY q, r) - min(cluster) OVER (PARTITION BY q, r) + 1 AS k FROM packed)""")
 def _hex_pack_check(spark, sf):
     cells = H.hex_pack(unit_points(spark, sf)).groupBy("q", "r").agg(
         F.count("*").alias("n"), F.count_distinct("cluster").alias("k")
@@ -135,11 +165,15 @@ def _cell_aggregates(spark, sf):
 
 
 @query("cluster_summary", UNIT + """
-SELECT cluster, count(*) AS n_cells, CAST(sum(n_points) AS BIGINT) AS n_points, string_agg(CAST(cell_id AS VARCHAR), ',' ORDER BY cell_id) AS cells
-FROM cell_stats WHERE NOT empty GROUP BY cluster""")
+SELECT cluster, count(*) AS n_cells, CAST(sum(n_points) AS BIGINT) AS n_points FROM cell_stats WHERE NOT empty GROUP BY cluster""")
 def _cluster_summary(spark, sf):
-    out = H.cluster_summary(cell_stats(spark, sf))
-    return out.select("cluster", "n_cells", "n_points", F.array_join("cell_ids", ",").alias("cells"))
+    return H.cluster_summary(cell_stats(spark, sf))
+
+
+@query("cluster_cells", UNIT + """
+SELECT cluster, CAST(cell_id AS INTEGER) AS cell_id, CAST(q AS INTEGER) AS q, CAST(r AS INTEGER) AS r FROM cell_stats WHERE NOT empty""")
+def _cluster_cells(spark, sf):
+    return H.cluster_cells(cell_stats(spark, sf))
 
 
 NEIGHBOR_SQL = UNIT + """,

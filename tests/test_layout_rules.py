@@ -41,6 +41,26 @@ def test_packing_places_every_point_within_capacity(spark, n, clusters):
     assert cells.where("n > 12 or k > 1").isEmpty()
 
 
+@pytest.mark.parametrize("n,clusters", [(700, [0, 0, 0, 1, 1, 2, 3]), (260, [0, 1, 2, 3, 4, 5])])
+def test_contested_cells_go_to_the_larger_cluster(spark, n, clusters):
+    """Large to small, each cluster takes the nearest cells left: what the claims must end in."""
+    pts = points(spark, n, clusters, seed=4)
+    cells = {(r["q"], r["r"]): (r["cx"], r["cy"]) for r in H.hex_grid(spark, 0.04, 0.3).collect()}
+    xy = {}
+    for p in pts.collect():
+        xy.setdefault(p["cluster"], []).append((p["x"], p["y"], p["id"]))
+    free, want = set(cells), {}
+    for c in sorted(xy, key=lambda c: (-len(xy[c]), c)):
+        mx, my = (sum(p[i] for p in xy[c]) / len(xy[c]) for i in (0, 1))
+        near = sorted(free, key=lambda z: ((cells[z][0] - mx) ** 2 + (cells[z][1] - my) ** 2, z))
+        members = sorted(xy[c], key=lambda p: ((p[0] - mx) ** 2 + (p[1] - my) ** 2, p[2]))
+        for i, p in enumerate(members):
+            want[p[2]] = near[i // 12]
+        free -= set(near[: -(-len(members) // 12)])
+    assert {r["id"]: (r["q"], r["r"]) for r in H.hex_pack(pts, capacity=12).collect()} == want
+    assert H.hex_pack(pts.limit(0)).count() == 0
+
+
 def test_neighbours_are_symmetric(spark):
     pairs = {tuple(r) for r in H.cell_neighbors(H.cell_ids(H.hex_grid(spark))).collect()}
     assert pairs == {(b, a) for a, b in pairs}
