@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -241,6 +241,150 @@ def score_cohorts(
     )
 
 
+# -- exact top k by bounds on blocks ---------------------------------------------------
+
+
+def box_bounds(
+    left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], weights: np.ndarray
+) -> np.ndarray:
+    """The score without bias that no pair from two boxes exceeds; one row per pair of boxes.
+
+    Each dimension adds ax + by + c|x-y| + dxy. On either side of x = y that has its maximum over a
+    box in a corner, where the diagonal enters or leaves it, or, if d < 0, at the vertex on the
+    diagonal; so the bound is the exact maximum of every dimension, plus room for rounding.
+    """
+    a, b, c, d = np.split(weights, 4)
+    (x0, x1), (y0, y1) = left, right
+
+    def part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return a * x + b * y + c * np.abs(x - y) + d * x * y
+
+    best = np.maximum.reduce([part(x, y) for x in (x0, x1) for y in (y0, y1)])
+    low, high = np.maximum(x0, y0), np.minimum(x1, y1)
+    vertex = np.divide(-(a + b), 2 * d, out=np.zeros_like(d), where=d < 0)
+    for t in (low, high, np.clip(vertex, low, np.maximum(low, high))):
+        best = np.where(low <= high, np.maximum(best, part(t, t)), best)
+    x, y = np.maximum(np.abs(x0), np.abs(x1)), np.maximum(np.abs(y0), np.abs(y1))
+    size = np.abs(a) * x + np.abs(b) * y + np.abs(c) * (x + y) + np.abs(d) * x * y
+    return best.sum(axis=1) + 1e-12 * size.sum(axis=1)
+
+
+def _near_blocks(side: DataFrame, d: int, block: int, most: int = 20) -> DataFrame:
+    """``side`` (_c, id, vec) with its block ``b``: rows on the same side of the same hyperplanes.
+
+    A cohort of n rows uses log2(n / block) + 2 hyperplanes, at most ``most``, through the mean of
+    its projections. A block of more than ``block`` rows is dealt by hash. Blocks only decide how
+    much is skipped, never the result.
+    """
+    planes = np.random.default_rng(0).normal(size=(most, d))
+    axes = F.array(*[F.array(*[F.lit(float(x)) for x in plane]) for plane in planes])
+    cast = side.select("_c", "id", A.as_doubles(F.col("vec")).alias("vec"))
+    projected = cast.withColumn("_p", F.transform(axes, lambda axis: A.dot(axis, F.col("vec"))))
+    means = projected.groupBy("_c").agg(
+        F.array(*[F.avg(F.col("_p")[i]) for i in range(most)]).alias("_m"),
+        F.least(F.lit(most), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / block)) + 2)).cast("int").alias("_bits"),
+    )
+    bits = F.zip_with("_p", "_m", lambda p, m: F.when(p > m, "1").otherwise("0"))
+    coded = projected.join(means, "_c").select("_c", "id", "vec", F.array_join(F.slice(bits, 1, F.col("_bits")), "").alias("_code"))
+    pieces = coded.groupBy("_c", "_code").agg(F.ceil(F.count("*") / block).alias("_pieces"))
+    piece = F.pmod(F.xxhash64("id"), F.col("_pieces")).cast("string")
+    return coded.join(pieces, ["_c", "_code"]).select("_c", "id", "vec", F.concat_ws(".", "_code", piece).alias("b"))
+
+
+def _boxes(blocks: DataFrame, d: int, tag: str) -> DataFrame:
+    """Least and greatest value of each dimension and the number of rows of every block."""
+    ends = [F.array(*[f(F.col("vec")[i]) for i in range(d)]).alias(f"{tag}{n}") for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    return blocks.groupBy("_c", F.col("b").alias(f"{tag}b")).agg(*ends, F.count("*").alias(f"{tag}n"))
+
+
+def top_candidates(
+    left: DataFrame,
+    right: DataFrame,
+    weights: Sequence[float],
+    bias: float = 0.0,
+    k: int = 10,
+    block: int = 1024,
+    keys: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """The k best right members of every left member, exact, without scoring hopeless blocks.
+
+    ``left``/``right`` have (year, id, vec) and the blocking ``keys``, if any; only members that
+    agree in year and keys meet (missing values agree). Scores and ties are those of
+    ``score_cohorts``. Near vectors share a block. Least and greatest values of each dimension bound
+    the scores of a pair of blocks. Each left block first meets the right blocks of highest bound
+    that hold k members; its worst k-th score then rules out all right blocks bounded below it.
+    Vectors travel only to pairs of blocks that are scored. A bound that is no number rules out
+    nothing; a score that is none comes last. Ids are unique within a cohort.
+
+    Returns ((year, keys, h, top: array of (score, w)), (year, keys, n_block_pairs, n_scored)).
+    A member of a cohort without right members has no row.
+    """
+    w = np.asarray(weights, dtype="float64")
+    if len(w) % 4:
+        raise ValueError("weights must hold four equally long parts")
+    d, names = len(w) // 4, ["year", *keys]
+    # Cohorts as text: one column that also stands for missing keys.
+    cohort = F.to_json(F.struct(*names))
+    cohorts = left.select(cohort.alias("_c"), *names).distinct()
+    men = settle(_near_blocks(left.select(cohort.alias("_c"), "id", "vec"), d, block))
+    women = settle(_near_blocks(right.select(cohort.alias("_c"), "id", "vec"), d, block))
+    met = _boxes(men, d, "l").join(_boxes(women, d, "r"), "_c")
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                llo, lhi, rlo, rhi = (np.stack(pdf[c].to_list()) for c in ("llo", "lhi", "rlo", "rhi"))
+                yield pdf[["_c", "lb", "rb", "rn"]].assign(bound=box_bounds((llo, lhi), (rlo, rhi), w) + bias)
+
+    pairs = met.mapInPandas(bound, "_c string, lb string, rb string, rn long, bound double")
+    best = Window.partitionBy("_c", "lb").orderBy(F.desc("bound"), "rb").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = settle(pairs.withColumn("_first", F.coalesce(F.sum("rn").over(best), F.lit(0)) < k))
+
+    schema = T.StructType(
+        [
+            T.StructField("_c", T.StringType()),
+            T.StructField("lb", T.StringType()),
+            T.StructField("h", left.schema["id"].dataType),
+            T.StructField("w", right.schema["id"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+
+    def score_block(key: tuple, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        if lp.empty or rp.empty:
+            return pd.DataFrame(columns=schema.names)
+        rp = rp.sort_values("id", kind="stable").reset_index(drop=True)
+        scores = _block_scores(np.stack(lp["vec"].to_list()), np.stack(rp["vec"].to_list()), w, bias)
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(lp)), order.shape[1])
+        data = {"_c": key[0], "lb": key[1], "h": lp["id"].to_numpy()[rows], "w": rp["id"].to_numpy()[order.ravel()]}
+        return pd.DataFrame({**data, "score": scores[rows, order.ravel()]}, columns=schema.names)
+
+    def scored(which: DataFrame) -> DataFrame:
+        lefts = men.withColumnRenamed("b", "lb").join(which.select("_c", "lb", "rb"), ["_c", "lb"])
+        rights = women.withColumnRenamed("b", "rb").join(which.select("_c", "lb", "rb"), ["_c", "rb"])
+        met = lefts.groupBy("_c", "lb", "rb").cogroup(rights.groupBy("_c", "lb", "rb"))
+        return settle(met.applyInPandas(score_block, schema))
+
+    worth = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
+    order = Window.partitionBy("_c", "h").orderBy(F.desc(worth), F.isnan("score"), "w")
+    first = scored(pairs.where("_first"))
+    kth = first.withColumn("_r", F.row_number().over(order)).groupBy("_c", "lb", "h").agg(
+        F.max(F.when(F.col("_r") == k, worth)).alias("kth")
+    )
+    least = kth.groupBy("_c", "lb").agg(F.min(F.coalesce("kth", F.lit(float("-inf")))).alias("least"))
+    hopeless = (F.col("bound") < F.col("least")) & ~F.isnan("bound")
+    chosen = settle(pairs.join(least, ["_c", "lb"]).withColumn("_second", ~F.col("_first") & ~hopeless))
+    every = first.unionByName(scored(chosen.where("_second")))
+    kept = every.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    tops = kept.groupBy("_c", "h").agg(F.sort_array(F.collect_list(F.struct("_r", "score", "w"))).alias("top"))
+    tops = tops.withColumn("top", F.transform("top", lambda x: F.struct(x["score"].alias("score"), x["w"].alias("w"))))
+    report = chosen.groupBy("_c").agg(
+        F.count("*").alias("n_block_pairs"), F.count_if(F.col("_first") | F.col("_second")).alias("n_scored")
+    )
+    return tops.join(cohorts, "_c").select(*names, "h", "top"), report.join(cohorts, "_c").select(*names, "n_block_pairs", "n_scored")
+
+
 def pair_vectors(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs with the feature vector [a, b, |a-b|, a*b] of their two members."""
     a = left.select("year", F.col("id").alias("h"), A.as_doubles(F.col("vec")).alias("_a"))

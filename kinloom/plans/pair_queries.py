@@ -108,6 +108,27 @@ def _candidate_pairs(spark, sf):
     return rounded(rows.select("year", "h", (F.col("p") + 1).alias("rank"), "t.w", "t.score"))
 
 
+@query("top_candidates", "WITH" + VECTOR_SCORES_SQL + """,
+placed AS (SELECT *, row_number() OVER (PARTITION BY year, h ORDER BY score DESC, w) AS rank FROM crossed)
+SELECT year, h, CAST(rank AS INTEGER) AS rank, w, round(score, 4) AS score FROM placed WHERE rank <= 5""")
+def _top_candidates(spark, sf):
+    left, right, _ = V.vector_sides(spark, sf)
+    top, _ = N.top_candidates(left, right, linear_weights(64), k=5, block=256)
+    rows = top.select("year", "h", F.posexplode("top").alias("p", "t"))
+    return rounded(rows.select("year", "h", (F.col("p") + 1).alias("rank"), "t.w", "t.score"))
+
+
+@query("top_candidates_keyed", "WITH" + VECTOR_SCORES_SQL + """,
+placed AS (SELECT *, row_number() OVER (PARTITION BY year, h ORDER BY score DESC, w) AS rank FROM crossed WHERE h % 3 = w % 3)
+SELECT year, h, CAST(rank AS INTEGER) AS rank, w, round(score, 4) AS score FROM placed WHERE rank <= 3""")
+def _top_candidates_keyed(spark, sf):
+    """Only members that agree in a blocking key meet."""
+    left, right = (side.withColumn("key", F.col("id") % 3) for side in V.vector_sides(spark, sf)[:2])
+    top, _ = N.top_candidates(left, right, linear_weights(64), k=3, block=64, keys=["key"])
+    rows = top.select("year", "h", F.posexplode("top").alias("p", "t"))
+    return rounded(rows.select("year", "h", (F.col("p") + 1).alias("rank"), "t.w", "t.score"))
+
+
 @query("cohort_true_ranks", "WITH" + VECTOR_SCORES_SQL + """,
 t AS (SELECT c.year, c.h, c.true_w, x.score AS true_score FROM couples c JOIN crossed x ON x.year = c.year AND x.h = c.h AND x.w = c.true_w)
 SELECT x.year, x.h, t.true_w, 1 + count(*) FILTER (WHERE x.score > t.true_score OR x.score = t.true_score AND x.w < t.true_w) AS rank_of_truth, count(*) AS n_pool

@@ -76,6 +76,49 @@ def test_cohort_scoring_equals_brute_force_over_several_blocks(spark):
         assert r["n_pool"] == 17
 
 
+def test_box_bounds_hold_and_are_reached():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        w = rng.normal(size=4) * rng.integers(0, 2, 4)
+        x, y = np.sort(rng.normal(size=2)), np.sort(rng.normal(size=2))
+        gx, gy = np.meshgrid(np.linspace(*x, 201), np.linspace(*y, 201))
+        t = np.linspace(max(x[0], y[0]), min(x[1], y[1]), 4001) if max(x[0], y[0]) <= min(x[1], y[1]) else x[:1] * np.nan
+        gx, gy = np.append(gx, t), np.append(gy, t)
+        top = np.nanmax(w[0] * gx + w[1] * gy + w[2] * abs(gx - gy) + w[3] * gx * gy)
+        bound = N.box_bounds((x[None, :1], x[None, 1:]), (y[None, :1], y[None, 1:]), w)[0]
+        assert top <= bound <= top + 1e-4
+
+
+def test_top_candidates_equal_whole_scoring_and_skip_blocks(spark):
+    """Clustered vectors, ties by repeated vectors, a cohort with few members, and a blocking key."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 6)) * 10
+
+    def side(start):
+        rows = [(1, start + i, (centres[i % 12] + rng.normal(size=6) * 0.1).round(1).tolist(), i % 2) for i in range(480)]
+        return rows + [(2, start + 1000 + i, rng.normal(size=6).tolist(), None) for i in range(3)]
+
+    schema = "year int, id long, vec array<double>, key int"
+    left, right = table(spark, side(0), schema), table(spark, side(5000) + [(3, 1, [0.0] * 6, 1)], schema)
+    weights = [0.0] * 12 + [-1.0] * 6 + [0.01] * 6
+    top, report = N.top_candidates(left, right, weights, 0.5, k=4, block=16)
+    whole = N.score_cohorts(left, right, None, weights, 0.5, k=4, block=200)
+    assert {(r["year"], r["h"]): r["top"] for r in top.collect()} == {(r["year"], r["h"]): r["top"] for r in whole.collect()}
+    counts = {r["year"]: (r["n_block_pairs"], r["n_scored"]) for r in report.collect()}
+    assert counts.keys() == {1, 2} and counts[1][1] < 0.3 * counts[1][0]
+
+    keyed, _ = N.top_candidates(left, right, weights, 0.5, k=4, block=16, keys=["key"])
+    got = {(r["year"], r["key"], r["h"]): r["top"] for r in keyed.collect()}
+    for key in (0, 1, None):
+        same = F.col("key").eqNullSafe(F.lit(key))
+        part = N.score_cohorts(left.where(same), right.where(same), None, weights, 0.5, k=4)
+        for r in part.collect():
+            assert got.pop((r["year"], key, r["h"])) == r["top"]
+    assert not got
+    empty, none = N.top_candidates(left.limit(0), right, weights, k=4)
+    assert empty.collect() == [] and none.collect() == []
+
+
 def test_pair_features_and_linear_score(spark):
     df = spark.range(1).select(
         A.pair_features(F.array(F.lit(1.0), F.lit(-2.0)), F.array(F.lit(3.0), F.lit(4.0))).alias("f")
