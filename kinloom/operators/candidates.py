@@ -353,17 +353,24 @@ def top_candidates(
     def score_block(key: tuple, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame(columns=schema.names)
-        rp = rp.sort_values("id", kind="stable").reset_index(drop=True)
-        scores = _block_scores(np.stack(lp["vec"].to_list()), np.stack(rp["vec"].to_list()), w, bias)
+        rp = rp.sort_values("w", kind="stable").reset_index(drop=True)
+        scores = _block_scores(np.stack(lp["hv"].to_list()), np.stack(rp["wv"].to_list()), w, bias)
         order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(len(lp)), order.shape[1])
-        data = {"_c": key[0], "lb": key[1], "h": lp["id"].to_numpy()[rows], "w": rp["id"].to_numpy()[order.ravel()]}
+        data = {"_c": key[0], "lb": key[1], "h": lp["h"].to_numpy()[rows], "w": rp["w"].to_numpy()[order.ravel()]}
         return pd.DataFrame({**data, "score": scores[rows, order.ravel()]}, columns=schema.names)
 
+    # Fresh names: both sides may come from the same table.
+    lefts = men.select(F.col("_c").alias("lc"), F.col("b").alias("lb"), F.col("id").alias("h"), F.col("vec").alias("hv"))
+    rights = women.select(F.col("_c").alias("rc"), F.col("b").alias("rb"), F.col("id").alias("w"), F.col("vec").alias("wv"))
+
     def scored(which: DataFrame) -> DataFrame:
-        lefts = men.withColumnRenamed("b", "lb").join(which.select("_c", "lb", "rb"), ["_c", "lb"])
-        rights = women.withColumnRenamed("b", "rb").join(which.select("_c", "lb", "rb"), ["_c", "rb"])
-        met = lefts.groupBy("_c", "lb", "rb").cogroup(rights.groupBy("_c", "lb", "rb"))
+        to_left = which.select(F.col("_c").alias("lc"), "lb", F.col("rb").alias("lr"))
+        to_right = which.select(F.col("_c").alias("rc"), F.col("lb").alias("rl"), "rb")
+        met = (
+            lefts.join(to_left, ["lc", "lb"]).groupBy("lc", "lb", "lr")
+            .cogroup(rights.join(to_right, ["rc", "rb"]).groupBy("rc", "rl", "rb"))
+        )
         return settle(met.applyInPandas(score_block, schema))
 
     worth = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
