@@ -51,8 +51,35 @@ FRAMES = (
     "this software is licensed under the {}",
     "this software is released under the {}",
     "this program is licensed under the {}",
+    "licensed under the terms of the {}",
+    "released under the terms of the {}",
+    "distributed under the terms of the {}",
+    "available under the terms of the {}",
+    "this project is released under the {}",
+    "this project is released under the terms of the {}",
+    "this project is licensed under the terms of the {}",
+    "this software is licensed under the terms of the {}",
+    "this software is released under the terms of the {}",
+    "this software is distributed under the {}",
+    "this software is distributed under the terms of the {}",
+    "this program is distributed under the terms of the {}",
+    "this work is released under the {}",
+    "this package is licensed under the {}",
+    "this library is licensed under the {}",
+    "this code is released under the {}",
     "spdx license identifier {}",
 )
+# Sentences around a choice of two names.
+CHOICES = (
+    "licensed under either of {} or {}",
+    "licensed under either of {} or {} at your option",
+    "licensed under either the {} or the {}",
+    "licensed under either the {} or the {} at your option",
+    "dual licensed under the {} and the {}",
+    "dual licensed under the {} or the {}",
+    "dual licensed under {} and {}",
+    "dual licensed under {} or {}",
+)
 # Sentences of licence texts and notices, normalised.
 SENTENCES = {
     "mit.grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
@@ -71,12 +98,40 @@ SENTENCES = {
     "isc.grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "unlicense.grant": "this is free and unencumbered software released into the public domain",
     "mpl.grant": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "bsd.advert": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "agpl.grant3": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl.grant21": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl.grant3": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl.hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl.only2": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "zlib.warranty": "this software is provided as is without any express or implied warranty",
+    "zlib.grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "bsl.grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "epl.grant": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "apache.head": "apache license version 2 0 january 2004 http www apache org licenses",
+    "gpl.head2": "gnu general public license version 2 june 1991",
+    "gpl.head3": "gnu general public license version 3 29 june 2007",
+    "lgpl.head21": "gnu lesser general public license version 2 1 february 1999",
+    "lgpl.head3": "gnu lesser general public license version 3 29 june 2007",
+    "agpl.head3": "gnu affero general public license version 3 19 november 2007",
+}
+# Other wordings of these sentences, normalised.
+WORDINGS = {
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd.endorse",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgment": "bsd.advert",
+    "apache license version 2 0 january 2004 https www apache org licenses": "apache.head",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0": "epl.grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl.grant3",
 }
+# A sentence with a name in it: what it begins with, its pattern, and the known sentence it stands for.
+HOLDER = ("neither the name", "^neither the names? of .+ nor the names? of (its|the|their|any) contributors may be used", "neither the name of the copyright holder nor the names of its contributors may be used")
 # Identifier sequences and the licence each names. Earlier rules go first; what
 # one has matched is used up.
 RULES = (
     ("MIT", ("mit.grant", "mit.notice", "mit.warranty")),
     ("MIT", ("mit.grant", "mit.notice")),
+    ("BSD-4-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.advert", "bsd.endorse")),
+    ("BSD-4-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.advert")),
     ("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse")),
     ("BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary")),
     ("Apache-2.0", ("apache.grant", "apache.comply", "apache.obtain")),
@@ -89,14 +144,41 @@ RULES = (
     ("ISC", ("isc.grant",)),
     ("Unlicense", ("unlicense.grant",)),
     ("MPL-2.0", ("mpl.grant",)),
+    ("AGPL-3.0-or-later", ("agpl.grant3", "gpl.hope")),
+    ("AGPL-3.0-or-later", ("agpl.grant3",)),
+    ("LGPL-2.1-or-later", ("lgpl.grant21", "lgpl.hope")),
+    ("LGPL-2.1-or-later", ("lgpl.grant21",)),
+    ("LGPL-3.0-or-later", ("lgpl.grant3", "lgpl.hope")),
+    ("LGPL-3.0-or-later", ("lgpl.grant3", "gpl.hope")),
+    ("LGPL-3.0-or-later", ("lgpl.grant3",)),
+    ("GPL-2.0-only", ("gpl.only2", "gpl.hope")),
+    ("GPL-2.0-only", ("gpl.only2",)),
+    ("Zlib", ("zlib.warranty", "zlib.grant")),
+    ("Zlib", ("zlib.grant",)),
+    ("BSL-1.0", ("bsl.grant",)),
+    ("EPL-2.0", ("epl.grant",)),
+    ("Apache-2.0", ("apache.head",)),
+    ("GPL-2.0", ("gpl.head2",)),
+    ("GPL-3.0", ("gpl.head3",)),
+    ("LGPL-2.1", ("lgpl.head21",)),
+    ("LGPL-3.0", ("lgpl.head3",)),
+    ("AGPL-3.0", ("agpl.head3",)),
     *((name, (f"names.{name}",)) for name in NAMES),
 )
 
 
+def forms_of(name: str) -> list[str]:
+    """Ways to write a name, with "license" behind those that lack the word."""
+    return [*NAMES[name], *(f"{form} license" for form in NAMES[name] if "license" not in f"{form} license".split()[:-1])]
+
+
 def known_sentences() -> dict[str, str]:
-    """Normalised sentence -> identifier."""
-    known = {frame.format(form): f"names.{name}" for name, forms in NAMES.items() for form in forms for frame in FRAMES}
-    return {**known, **{text: name for name, text in SENTENCES.items()}}
+    """Normalised sentence -> identifier, or identifiers joined by >< for a choice of licences."""
+    known = {frame.format(form): f"names.{name}" for name in NAMES for form in forms_of(name) for frame in FRAMES}
+    for one, two in itertools.permutations(("MIT", "Apache-2.0"), 2):
+        for frame, a, b in itertools.product(CHOICES, forms_of(one), forms_of(two)):
+            known[frame.format(a, b)] = f"names.{one}><names.{two}"
+    return {**known, **{text: name for name, text in SENTENCES.items()}, **WORDINGS}
 
 
 # Comment marks at the start of a line say nothing; sentences end at . ! ? ; : with white space.
@@ -112,7 +194,8 @@ PARAGRAPH = r"\n[ \t\r]*\n\s*"
 
 def _normalised(sentence: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(F.lower(sentence), "licence", "license"), "[^a-z0-9]+", " ")
-    return F.trim(plain)
+    plain = F.trim(plain)
+    return F.when(F.startswith(plain, F.lit(HOLDER[0])), F.regexp_replace(plain, *HOLDER[1:])).otherwise(plain)
 
 
 # A sentence of the splitter ends within these sentences: their parts between the marks that
@@ -126,7 +209,19 @@ PARTS = {
         "without even the implied warranty of merchantability or fitness for a particular purpose",
     ),
     "mpl.grant": ("this source code form is subject to the terms of the mozilla public license v", "2 0"),
+    "agpl.grant3": (GRANT[0], GRANT[1].replace("gnu", "gnu affero"), "either version 3 of the license or at your option any later version"),
+    "lgpl.grant21": ("this library is free software", GRANT[1].replace("gnu", "gnu lesser"), "either version 2 1 of the license or at your option any later version"),
+    "lgpl.grant3": (GRANT[0], GRANT[1].replace("gnu", "gnu lesser"), "either version 3 of the license or at your option any later version"),
+    "lgpl.hope": (
+        "this library is distributed in the hope that it will be useful but without any warranty",
+        "without even the implied warranty of merchantability or fitness for a particular purpose",
+    ),
+    "gpl.only2": (GRANT[0], GRANT[1].replace("license", "license version 2")),
 }
+# Other wordings in parts.
+PART_WORDINGS = (
+    ("lgpl.grant3", ("this library is free software", GRANT[1].replace("gnu", "gnu lesser"), "either version 3 of the license or at your option any later version")),
+)
 # Names with a suffix of SPDX; the bare name tells nothing of later versions.
 SUFFIXED = {
     f"{name}-{suffix}": f"{name} {suffix}".lower().replace("-", " ").replace(".", " ")
@@ -144,7 +239,7 @@ def cut_sentences() -> tuple[dict[str, str], list[tuple[str, str]]]:
     """Pieces of known sentences with their marks, and the runs of marks that are a whole sentence."""
     pieces: dict[str, str] = {}
     runs = []
-    for name, parts in PARTS.items():
+    for name, parts in (*PARTS.items(), *PART_WORDINGS):
         for cuts in itertools.product((True, False), repeat=len(parts) - 1):
             if not any(cuts):
                 continue
@@ -249,7 +344,7 @@ def _sql() -> str:
         return f"""
 {name}_s AS (SELECT doc_id, unnest(p) AS x, unnest(range(len(p))) AS i FROM
      (SELECT doc_id, regexp_split_to_array({sub}, '{ENDS}') AS p FROM bare)),
-{name}_n AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(lower(x), 'licence', 'license', 'g'), '[^a-z0-9]+', ' ', 'g')) AS s FROM {name}_s),
+{name}_n AS (SELECT doc_id, i, regexp_replace(trim(regexp_replace(regexp_replace(lower(x), 'licence', 'license', 'g'), '[^a-z0-9]+', ' ', 'g')), '{HOLDER[1]}', '{HOLDER[2]}') AS s FROM {name}_s),
 {name} AS (SELECT doc_id, count(*) AS n, string_agg('<' || id || '>', '' ORDER BY i) AS ids FROM {name}_n JOIN known USING (s) GROUP BY doc_id)"""
 
     return f"""

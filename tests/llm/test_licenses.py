@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinloom.llm.licenses import PARTS, SENTENCES, identifiers, scan
+from kinloom.llm.licenses import FRAMES, NAMES, PARTS, SENTENCES, forms_of, identifiers, scan
 
 MIT = """\
 # Copyright (c) 2020 Somebody
@@ -96,6 +96,31 @@ ORIGINAL = {
 }
 
 
+GNU = """\
+This {what} is free software{a} you can redistribute it and/or
+modify it under the terms of the GNU {which} General Public License as
+published by the Free Software Foundation{b} either version {v} of the
+License, or (at your option) any later version."""
+ORIGINAL |= {
+    "bsd.advert": "3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n     This product includes software developed by the Example Group.",
+    "agpl.grant3": GNU.format(what="program", a=":", which="Affero", b=",", v=3),
+    "lgpl.grant21": GNU.format(what="library", a=";", which="Lesser", b=";", v="2.1"),
+    "lgpl.grant3": GNU.format(what="program", a=":", which="Lesser", b=",", v=3),
+    "lgpl.hope": GPL.split(" *\n")[1].replace("program", "library"),
+    "gpl.only2": "// This program is free software; you can redistribute it and/or modify\n// it under the terms of the GNU General Public License version 2 as\n// published by the Free Software Foundation.",
+    "zlib.warranty": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages",
+    "zlib.grant": "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:",
+    "bsl.grant": 'Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license (the "Software") to use, reproduce, display, distribute,\nexecute, and transmit the Software, and to prepare derivative works of the\nSoftware, and to permit third-parties to whom the Software is furnished to\ndo so, all subject to the following:',
+    "epl.grant": "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/\n\nSome words",
+    "apache.head": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS",
+    "gpl.head2": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989",
+    "gpl.head3": "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nCopyright",
+    "lgpl.head21": "GNU LESSER GENERAL PUBLIC LICENSE\n  Version 2.1, February 1999\n\nCopyright",
+    "lgpl.head3": "GNU LESSER GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nCopyright",
+    "agpl.head3": "GNU AFFERO GENERAL PUBLIC LICENSE\n  Version 3, 19 November 2007\n\nCopyright",
+}
+
+
 def test_every_sentence_in_its_punctuation(make):
     assert ORIGINAL.keys() == SENTENCES.keys()
     assert {name: " ".join(parts) for name, parts in PARTS.items()} == {name: SENTENCES[name] for name in PARTS}
@@ -126,3 +151,43 @@ def test_notices_tags_and_both_readings(make):
     }
     got = {r["doc_id"]: r["licenses"] for r in scan(make(list(enumerate(texts)))).collect()}
     assert got == dict(enumerate(texts.values()))
+
+
+def test_holders_advertising_and_choices(make):
+    bsd = "\n".join(ORIGINAL[f"bsd.{part}"] for part in ("grant", "source", "binary"))
+    endorse = ORIGINAL["bsd.endorse"]
+    tail = "\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS"
+    texts = {
+        bsd + tail: "BSD-2-Clause",
+        f"{bsd}\n{endorse}{tail}": "BSD-3-Clause",
+        f"{bsd}\n{endorse.replace('copyright holder', '<organization>')}{tail}": "BSD-3-Clause",
+        f"{bsd}\n{endorse.replace('the copyright holder', 'Example, Inc')}{tail}": "BSD-3-Clause",
+        f"{bsd}\n3. The name of the author may not be used to endorse or promote products\n   derived from this software without specific prior written permission.{tail}": "BSD-3-Clause",
+        f"{bsd}\n{ORIGINAL['bsd.advert']}\n{endorse.replace('3.', '4.').replace('copyright holder', 'University')}{tail}": "BSD-4-Clause",
+        f"{bsd}\n{ORIGINAL['bsd.advert']}{tail}": "BSD-4-Clause",
+        "Neither the name of the ship nor the names of its sailors are known.": "",
+        ORIGINAL["agpl.grant3"] + "\n\n" + ORIGINAL["gpl.hope"]: "AGPL-3.0-or-later",
+        ORIGINAL["lgpl.grant21"] + "\n\n" + ORIGINAL["lgpl.hope"]: "LGPL-2.1-or-later",
+        ORIGINAL["lgpl.grant3"]: "LGPL-3.0-or-later",
+        ORIGINAL["lgpl.grant3"].replace("This program", "This library"): "LGPL-3.0-or-later",
+        ORIGINAL["gpl.only2"]: "GPL-2.0-only",
+        ORIGINAL["zlib.warranty"] + " arising from the use of this software.\n\n" + ORIGINAL["zlib.grant"]: "Zlib",
+        "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + ORIGINAL["bsl.grant"]: "BSL-1.0",
+        ORIGINAL["apache.head"] + "\nand so on\n\n" + APACHE: "Apache-2.0",
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "MIT,Apache-2.0",
+        "This project is licensed under the GPL-3.0 license.": "GPL-3.0",
+        "Released under the terms of the MIT license.": "MIT",
+    }
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["licenses"] for r in scan(make(rows)).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
+def test_every_name_in_every_frame(make):
+    want, rows = {}, []
+    for name in NAMES:
+        for form in forms_of(name):
+            text = ".\n".join(frame.format(form) for frame in FRAMES)
+            want[len(rows)] = (name, len(FRAMES))
+            rows.append((len(rows), f"{text}."))
+    assert {r["doc_id"]: (r["licenses"], r["n_matches"]) for r in scan(make(rows)).collect()} == want
