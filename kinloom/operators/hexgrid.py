@@ -183,9 +183,13 @@ def cell_aggregates(placed: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def cluster_summary(cells: DataFrame) -> DataFrame:
-    """Cells and points per cluster; ``cluster_cells`` names the cells."""
+    """Cells and points per cluster, and its cells in order; ``cluster_cells`` has them as rows."""
     used = cells.where(~F.col("empty"))
-    return used.groupBy("cluster").agg(F.count("*").alias("n_cells"), F.sum("n_points").alias("n_points"))
+    return used.groupBy("cluster").agg(
+        F.count("*").alias("n_cells"),
+        F.sum("n_points").alias("n_points"),
+        F.sort_array(F.collect_list("cell_id")).alias("cell_ids"),
+    )
 
 
 def cluster_cells(cells: DataFrame) -> DataFrame:
