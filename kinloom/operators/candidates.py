@@ -114,11 +114,18 @@ def _block_scores(hm: np.ndarray, hw: np.ndarray, weights: np.ndarray, bias: flo
     out = np.repeat(from_left[:, None], len(hw), axis=1)
     for i, x in enumerate(b):
         out += (hw[:, i] * x)[None, :]
+    room, columns = np.empty_like(out), np.ascontiguousarray(hw.T)
     for i, x in enumerate(c):
-        out += np.abs(hm[:, i][:, None] - hw[:, i][None, :]) * x
+        np.subtract(hm[:, i][:, None], columns[i][None, :], out=room)
+        np.abs(room, out=room)
+        room *= x
+        out += room
     for i, x in enumerate(d):
-        out += hm[:, i][:, None] * hw[:, i][None, :] * x
-    return out + bias
+        np.multiply(hm[:, i][:, None], columns[i][None, :], out=room)
+        room *= x
+        out += room
+    out += bias
+    return out
 
 
 def score_cohorts(
@@ -291,10 +298,24 @@ def _near_blocks(side: DataFrame, d: int, block: int, most: int = 20) -> DataFra
     return coded.join(pieces, ["_c", "_code"]).select("_c", "id", "vec", F.concat_ws(".", "_code", piece).alias("b"))
 
 
+# Rows of a tile: neighbouring blocks whose rows travel and are scored together.
+TILE = 2048
+
+
+def _tiled(blocks: DataFrame) -> DataFrame:
+    """Rows of ``_near_blocks`` with the number of their block in the cohort (``b``) and its tile (``t``)."""
+    sizes = blocks.groupBy("_c", "b").agg(F.count("*").alias("_rows"))
+    order = Window.partitionBy("_c").orderBy("b")
+    before = F.coalesce(F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sizes.select("_c", "b", F.row_number().over(order).alias("_no"), F.floor(before / TILE).cast("int").alias("t"))
+    return blocks.join(placed, ["_c", "b"]).select("_c", "id", "vec", F.col("_no").alias("b"), "t")
+
+
 def _boxes(blocks: DataFrame, d: int, tag: str) -> DataFrame:
     """Least and greatest value of each dimension and the number of rows of every block."""
     ends = [F.array(*[f(F.col("vec")[i]) for i in range(d)]).alias(f"{tag}{n}") for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    return blocks.groupBy("_c", F.col("b").alias(f"{tag}b")).agg(*ends, F.count("*").alias(f"{tag}n"))
+    keys = [F.col("_c").alias(f"{tag}c"), F.col("t").alias(f"{tag}t"), F.col("b").alias(f"{tag}b")]
+    return blocks.groupBy(*keys).agg(*ends, F.count("*").alias(f"{tag}n"))
 
 
 def top_candidates(
@@ -313,8 +334,10 @@ def top_candidates(
     ``score_cohorts``. Near vectors share a block. Least and greatest values of each dimension bound
     the scores of a pair of blocks. Each left block first meets the right blocks of highest bound
     that hold k members; its worst k-th score then rules out all right blocks bounded below it.
-    Vectors travel only to pairs of blocks that are scored. A bound that is no number rules out
-    nothing; a score that is none comes last. Ids are unique within a cohort.
+    Vectors travel only to where blocks are scored with theirs. A bound that is no number rules out
+    nothing; a score that is none comes last. Ids are unique within a cohort. Blocks are small, so that
+    bounds are tight; tasks bound and score pairs of tiles, which are ``TILE`` rows of neighbouring
+    blocks, so a vector travels once to each tile that has a block for it.
 
     Returns ((year, keys, h, top: array of (score, w)), (year, keys, n_block_pairs, n_scored)).
     A member of a cohort without right members has no row.
@@ -326,52 +349,65 @@ def top_candidates(
     # Cohorts as text: one column that also stands for missing keys.
     cohort = F.to_json(F.struct(*names))
     cohorts = left.select(cohort.alias("_c"), *names).distinct()
-    men = settle(_near_blocks(left.select(cohort.alias("_c"), "id", "vec"), d, block))
-    women = settle(_near_blocks(right.select(cohort.alias("_c"), "id", "vec"), d, block))
-    met = _boxes(men, d, "l").join(_boxes(women, d, "r"), "_c")
-
-    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                llo, lhi, rlo, rhi = (np.stack(pdf[c].to_list()) for c in ("llo", "lhi", "rlo", "rhi"))
-                yield pdf[["_c", "lb", "rb", "rn"]].assign(bound=box_bounds((llo, lhi), (rlo, rhi), w) + bias)
+    men = settle(_tiled(_near_blocks(left.select(cohort.alias("_c"), "id", "vec"), d, block)))
+    women = settle(_tiled(_near_blocks(right.select(cohort.alias("_c"), "id", "vec"), d, block)))
 
-    pairs = met.mapInPandas(bound, "_c string, lb string, rb string, rn long, bound double")
+    def bound(key: tuple, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        if lp.empty or rp.empty:
+            return pd.DataFrame(columns=["_c", "lt", "lb", "rt", "rb", "rn", "bound"])
+        rlo, rhi = np.stack(rp["rlo"].to_list()), np.stack(rp["rhi"].to_list())
+        bounds = [box_bounds((llo, lhi), (rlo, rhi), w) + bias for llo, lhi in zip(lp["llo"], lp["lhi"])]
+        rights = {c: np.tile(rp[c].to_numpy(), len(lp)) for c in ("rb", "rn")}
+        each = {"_c": key[0], "lt": key[1], "lb": np.repeat(lp["lb"].to_numpy(), len(rp)), "rt": key[2]}
+        return pd.DataFrame({**each, **rights, "bound": np.concatenate(bounds)})
+
+    left_tiles = men.select(F.col("_c").alias("rc"), F.col("t").alias("rl")).distinct()
+    right_tiles = women.select(F.col("_c").alias("lc"), F.col("t").alias("lr")).distinct()
+    pairs = (
+        _boxes(men, d, "l").join(right_tiles, "lc").groupBy("lc", "lt", "lr")
+        .cogroup(_boxes(women, d, "r").join(left_tiles, "rc").groupBy("rc", "rl", "rt"))
+        .applyInPandas(bound, "_c string, lt int, lb int, rt int, rb int, rn long, bound double")
+    )
     best = Window.partitionBy("_c", "lb").orderBy(F.desc("bound"), "rb").rowsBetween(Window.unboundedPreceding, -1)
     pairs = settle(pairs.withColumn("_first", F.coalesce(F.sum("rn").over(best), F.lit(0)) < k))
 
     schema = T.StructType(
         [
             T.StructField("_c", T.StringType()),
-            T.StructField("lb", T.StringType()),
+            T.StructField("lb", T.IntegerType()),
             T.StructField("h", left.schema["id"].dataType),
             T.StructField("w", right.schema["id"].dataType),
             T.StructField("score", T.DoubleType()),
         ]
     )
 
-    def score_block(key: tuple, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+    def score_tiles(key: tuple, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame(columns=schema.names)
         rp = rp.sort_values("w", kind="stable").reset_index(drop=True)
-        scores = _block_scores(np.stack(lp["hv"].to_list()), np.stack(rp["wv"].to_list()), w, bias)
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(lp)), order.shape[1])
-        data = {"_c": key[0], "lb": key[1], "h": lp["h"].to_numpy()[rows], "w": rp["w"].to_numpy()[order.ravel()]}
-        return pd.DataFrame({**data, "score": scores[rows, order.ravel()]}, columns=schema.names)
+        ids, blocks, vectors = rp["w"].to_numpy(), rp["rb"].to_numpy(), np.stack(rp["wv"].to_list())
+        made = []
+        for lb, mine in lp.groupby("lb", sort=False):
+            at = np.flatnonzero(np.isin(blocks, mine["rbs"].iloc[0]))
+            scores = _block_scores(np.stack(mine["hv"].to_list()), vectors[at], w, bias)
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            rows = np.repeat(np.arange(len(mine)), order.shape[1])
+            data = {"_c": key[0], "lb": lb, "h": mine["h"].to_numpy()[rows], "w": ids[at[order.ravel()]]}
+            made.append(pd.DataFrame({**data, "score": scores[rows, order.ravel()]}, columns=schema.names))
+        return pd.concat(made, ignore_index=True)
 
     # Fresh names: both sides may come from the same table.
     lefts = men.select(F.col("_c").alias("lc"), F.col("b").alias("lb"), F.col("id").alias("h"), F.col("vec").alias("hv"))
     rights = women.select(F.col("_c").alias("rc"), F.col("b").alias("rb"), F.col("id").alias("w"), F.col("vec").alias("wv"))
 
     def scored(which: DataFrame) -> DataFrame:
-        to_left = which.select(F.col("_c").alias("lc"), "lb", F.col("rb").alias("lr"))
-        to_right = which.select(F.col("_c").alias("rc"), F.col("lb").alias("rl"), "rb")
+        to_left = which.groupBy(F.col("_c").alias("lc"), "lb", "lt", F.col("rt").alias("lr")).agg(F.collect_list("rb").alias("rbs"))
+        to_right = which.select(F.col("_c").alias("rc"), "rb", F.col("lt").alias("rl"), "rt").distinct()
         met = (
-            lefts.join(to_left, ["lc", "lb"]).groupBy("lc", "lb", "lr")
-            .cogroup(rights.join(to_right, ["rc", "rb"]).groupBy("rc", "rl", "rb"))
+            lefts.join(to_left, ["lc", "lb"]).groupBy("lc", "lt", "lr")
+            .cogroup(rights.join(to_right, ["rc", "rb"]).groupBy("rc", "rl", "rt"))
         )
-        return settle(met.applyInPandas(score_block, schema))
+        return settle(met.applyInPandas(score_tiles, schema))
 
     worth = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
     order = Window.partitionBy("_c", "h").orderBy(F.desc(worth), F.isnan("score"), "w")
